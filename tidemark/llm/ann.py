@@ -23,7 +23,7 @@ from tidemark.llm.common import read, stored
 #: Centroids of a half, and rows they are fitted on, at most.
 CENTROIDS, SAMPLE_ROWS = 32, 20_000
 #: Entries that a query's cells hold before it stops: this share of all, and no fewer than LEAST.
-SHARE, LEAST = 0.5, 4000
+SHARE, LEAST = 0.6, 4000
 #: Rows of a shard, about.
 SHARD_ROWS = 8192
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.ann import op2_inverted_multi_index
 from tidemark.llm.bpe import op9_byte_bpe
 from tidemark.llm.compaction import OP3_SQL, op3_size_tiered_compaction
+from tidemark.llm.lines import op10_line_dedup
 from tidemark.llm.media import op5_wav_fingerprints
 from tidemark.llm.ngram import op1_elias_fano_lm
 from tidemark.llm.packing import op6_vector_best_fit
@@ -24,6 +25,7 @@ QUERIES = {
         op7_toxicity,
         op8_simhash_near_dedup,
         op9_byte_bpe,
+        op10_line_dedup,
     )
 }
 
