@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidemark.operators import audit, diffs, graph, patterns, profiling, snapshots, text
+
+_MODULES = (audit, patterns, profiling, snapshots, graph, diffs, text)
+
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
