@@ -24,7 +24,7 @@ from tidemark.llm.common import read, slices
 #: Hash buckets of the literal rank map.
 BUCKETS = 1 << 16
 #: Text of a slice, whose words are told apart together.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 24 << 20
 NONE = 2147483647
 
 
@@ -85,7 +85,7 @@ def _fold(word: Column, table: Column) -> Column:
         return F.transform(F.aggregate(F.sequence(F.lit(2), F.size(chars)), state, step)["p"], rank)
 
     whole = rank(word)
-    many = _bind(F.split(word, ""), lambda c: start(F.filter(c, lambda x: x != "")))
+    many = _bind(F.split(word, ""), start)
     return F.when((whole < NONE) | (F.length(word) < 2), F.array(whole)).otherwise(many)
 
 
