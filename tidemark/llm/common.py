@@ -122,6 +122,18 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def spaced(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, starts, ends): the words with one space between those of a text, and none between texts."""
+        keep = ~_SPACE[self.buf]
+        inner = np.ones(len(self.starts), dtype=bool)
+        inner[self.first[:-1][self.counts() > 0]] = False
+        gaps = self.starts[inner] - 1  # the byte before each word that isn't the first of its text
+        keep[gaps] = True
+        flat = self.buf.copy()
+        flat[gaps] = 32
+        place = np.cumsum(keep) - 1
+        return flat[keep], place[self.starts], place[self.ends - 1] + 1
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
         out = np.empty(len(self.starts), np.uint64)

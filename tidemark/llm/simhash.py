@@ -29,18 +29,8 @@ def _shingle_bits(words: Words, k: int, seed: int) -> np.ndarray:
     out = np.zeros(len(counts), np.uint64)
     if not len(words.starts):
         return out
-    keep = np.ones(len(words.buf), dtype=bool)
-    space = np.isin(words.buf, np.array([9, 10, 11, 12, 13, 32], np.uint8))
-    keep[space] = False
-    inner = np.ones(len(words.starts), dtype=bool)
-    inner[words.first[:-1][counts > 0]] = False
-    gaps = words.starts[inner] - 1  # the byte before each word that isn't the first of its text
-    keep[gaps] = True
-    place = np.cumsum(keep) - 1
-    flat = words.buf.copy()
-    flat[gaps] = 32
-    flat = flat[keep].tobytes()
-    starts, ends = place[words.starts], place[words.ends - 1] + 1
+    flat, starts, ends = words.spaced()
+    flat = flat.tobytes()
     n_sh = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
     begin = np.concatenate([[0], np.cumsum(n_sh)])
     which = np.arange(begin[-1]) - np.repeat(begin[:-1], n_sh) + np.repeat(words.first[:-1], n_sh)

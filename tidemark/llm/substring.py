@@ -5,7 +5,8 @@
 2. Phrases named by two or more documents recur. They go, by their hash, to the batches of documents that named
    them: each batch is a shard, which compiles its own Aho-Corasick automaton, so no automaton grows with the input.
 3. Each batch streams its documents through its automaton, which locates every occurrence of the phrases.
-   Windows whose anchor lies at an occurrence are candidates; the first document of each is found by its hash.
+   Windows whose anchor lies at an occurrence are candidates; the first document of each is found by its hash. A
+   document none of whose own anchors recurs has no such window and isn't streamed.
 4. The words of windows seen in an earlier document are removed.
 
 Copies of a text are told by sha256 before that, and only the first is searched: all of a later copy is repeated.
@@ -13,15 +14,15 @@ Copies of a text are told by sha256 before that, and only the first is searched:
 
 from __future__ import annotations
 
-import ahocorasick
 import hashlib
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, mix, read, release, rolling, slices, stored, text_size
+from tidemark.llm.common import Words, read, release, rolling, slices, stored, text_size
 
 WINDOW, PHRASE = 50, 8
 #: Text of a batch: its documents, automaton and windows are held together.
@@ -40,18 +41,18 @@ def _anchors(h: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.nd
 
 
 def _keyed(docs: DataFrame, n_batches: int) -> DataFrame:
-    """doc_id, sha, text, batch; the batch depends on the row alone."""
+    """doc_id, text, sha, key, batch; key and batch depend on the row alone."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("sha")).withColumn("batch", F.pmod(F.xxhash64("doc_id", "sha"), F.lit(n_batches)).cast("int"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("sha")).withColumn("key", F.xxhash64("doc_id", "sha")).withColumn("batch", F.pmod("key", F.lit(n_batches)).cast("int"))
 
 
 def anchors(keyed: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(ph, batch, lo, hi): an anchor phrase by hash, and the least and greatest doc_id of the batch that name it."""
+    """(ph, batch, lo, hi): an anchor phrase by hash, and the least and greatest text, by hash, of the batch that name it."""
 
     def run(batches):
         for batch in slices(batches):
             words = Words(batch.column("text"))
-            h, ids, which = words.hashes(), np.asarray(batch.column("doc_id")), np.asarray(batch.column("batch"))
+            h, ids, which = words.hashes(), np.asarray(batch.column("th")), np.asarray(batch.column("batch"))
             ph, row = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
                 if b - a >= window:
@@ -59,97 +60,102 @@ def anchors(keyed: DataFrame, window: int, phrase: int) -> DataFrame:
                     ph.append(np.unique(p[np.unique(at)]))
                     row.append(np.full(len(ph[-1]), i))
             row = np.concatenate(row)
-            yield pa.record_batch([np.concatenate(ph).view(np.int64), which[row], ids[row]], names=["ph", "batch", "doc_id"])
+            yield pa.record_batch([np.concatenate(ph).view(np.int64), which[row], ids[row]], names=["ph", "batch", "th"])
 
-    found = keyed.filter("doc_id is not null").select("doc_id", "batch", "text").mapInArrow(run, "ph long, batch int, doc_id long")
-    return found.groupBy("ph", "batch").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    found = keyed.filter("doc_id is not null").select(F.xxhash64("sha").alias("th"), "batch", "text").mapInArrow(run, "ph long, batch int, th long")
+    return found.groupBy("ph", "batch").agg(F.min("th").alias("lo"), F.max("th").alias("hi"))
 
 
 def recurring(found: DataFrame) -> DataFrame:
-    """(batch, phrases): what each batch named that two or more documents name."""
+    """(batch, phrases): what each batch named that two or more different texts name."""
     twice = found.groupBy("ph").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("ph")
     return found.select("ph", "batch").join(twice, "ph").groupBy("batch").agg(F.collect_list("ph").alias("phrases"))
 
 
 def _locate(docs: pa.Table, phrases: np.ndarray, window: int, phrase: int):
-    """Streams a batch's documents through the automaton of its phrases: (row, start, window hash) of the candidates."""
+    """Streams a batch's documents through the automaton of its phrases: (row, start, window hash) of the candidates.
+
+    phrases are sorted hashes; words are compared by their own characters, with one space before and after each, so
+    that phrase ends are word ends.
+    """
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
     words = Words(docs.column("text"))
-    h, counts = words.hashes(), words.counts()
-    wanted = np.sort(phrases)
-    automaton, seen, flat = ahocorasick.Automaton(), set(), []
+    h = words.hashes()
+    flat, starts, ends = words.spaced()
+    char = np.concatenate([[0], np.cumsum((flat & 0xC0) != 0x80)])  # characters before each byte
+    automaton, known, todo = ahocorasick.Automaton(), 0, []
     for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
-        if counts[i] < window:
-            flat.append(None)
+        if b - a < window:
             continue
-        # Words by their own characters, one space before and after each: phrase ends are word ends.
-        parts = [words.buf[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist())]
-        flat.append(parts)
         p, at = _anchors(h[a:b], window, phrase)
-        at = np.unique(at)
-        for j in at[np.isin(p[at], wanted)].tolist():
-            text = " " + " ".join(parts[j : j + phrase]) + " "
-            if text not in seen:
-                seen.add(text)
-                automaton.add_word(text, len(seen))
-    if not seen:
+        mine = np.unique(at)
+        found = mine[phrases[np.minimum(np.searchsorted(phrases, p[mine]), len(phrases) - 1)] == p[mine]]
+        if not len(found):
+            continue
+        text = " " + flat[starts[a] : ends[b - 1]].tobytes().decode("utf-8", "replace") + " "
+        # The space before word j is at character place[j].
+        place = np.append(char[starts[a:b]] - char[starts[a]], len(text) - 1)
+        for j in found.tolist():
+            known += automaton.add_word(text[place[j] : place[j + phrase] + 1], known)
+        todo.append((i, a, b, text, place, at))
+    if not todo:
         return out[0]
     automaton.make_automaton()
-    for i, parts in enumerate(flat):
-        if parts is None:
-            continue
-        text = " " + " ".join(parts) + " "
-        ends = np.fromiter((e for e, _ in automaton.iter(text)), np.int64)
-        if not len(ends):
-            continue
-        # The space before word j is at place[j]; a phrase ends at the space after its last word.
-        place = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)])
-        hit = np.zeros(len(parts) + 1, dtype=bool)
-        hit[np.searchsorted(place, ends) - phrase] = True
-        a = words.first[i]
-        _, at = _anchors(h[a : a + len(parts)], window, phrase)
+    for i, a, b, text, place, at in todo:
+        stops = np.fromiter((e for e, _ in automaton.iter(text)), np.int64)
+        hit = np.zeros(len(place), dtype=bool)
+        hit[np.searchsorted(place, stops) - phrase] = True
         start = np.flatnonzero(hit[at])
-        if len(start):
-            out.append((np.full(len(start), i), start, rolling(h[a : a + len(parts)], window)[start]))
+        out.append((np.full(len(start), i), start, rolling(h[a:b], window)[start]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _arrays(table: pa.Table, column: str) -> np.ndarray:
+    """All elements of an array column."""
+    return np.asarray(pa.concat_arrays(table.column(column).chunks).flatten() if table.num_rows else pa.array([], pa.int64())).astype(np.int64)
+
+
 def occurrences(keyed: DataFrame, found: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(wh, doc_id, sha, start): windows by hash that may occur in two documents."""
+    """(wh, doc_id, key, start): windows by hash that may occur in two documents. found: phrases and copies of batches."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        phrases = np.asarray(right.column("phrases").combine_chunks().flatten() if right.num_rows else pa.array([], pa.int64())).astype(np.int64).view(np.uint64)
-        tables = []
+        phrases, copies = np.sort(_arrays(right, "phrases").view(np.uint64)), _arrays(right, "copies")
+        left, tables = left.filter(pa.array(~np.isin(np.asarray(left.column("key")), copies))), []
         for part in slices(left.to_batches()) if len(phrases) else ():
             row, start, wh = _locate(part, phrases, window, phrase)
-            tables.append(pa.table([wh.view(np.int64), part.column("doc_id").take(pa.array(row)), part.column("sha").take(pa.array(row)), start.astype(np.int32)], schema))
+            tables.append(pa.table([wh.view(np.int64), np.asarray(part.column("doc_id"))[row], np.asarray(part.column("key"))[row], start.astype(np.int32)], schema=schema))
         return pa.concat_tables(tables) if tables else schema.empty_table()
 
-    schema = pa.schema([("wh", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.string()), ("start", pa.int32())])
-    docs = keyed.select("doc_id", "sha", "text", "batch")
-    return docs.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(run, "wh long, doc_id long, sha string, start int")
+    schema = pa.schema([("wh", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32())])
+    docs = keyed.select("doc_id", "key", "text", "batch")
+    return docs.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(run, "wh long, doc_id long, key long, start int")
 
 
 def _kept(docs: pa.Table, marks: pa.Table, window: int, keep_text: bool) -> list:
-    starts = {}
-    for i, s, x in zip(marks.column("doc_id").to_pylist(), marks.column("sha").to_pylist(), marks.column("starts").to_pylist()):
-        starts[i, s] = x
+    starts, copies = {}, set(_arrays(marks, "copies").tolist())
+    for key, x in zip(marks.column("key").to_pylist(), marks.column("starts")):
+        starts[key] = x.values if x.is_valid else None
     out = []
     for part in slices(docs.to_batches()):
         words = Words(part.column("text"))
-        ids, shas, copy = part.column("doc_id").to_pylist(), part.column("sha").to_pylist(), part.column("copy").to_pylist()
+        ids, shas, keys = (part.column(c).to_pylist() for c in ("doc_id", "sha", "key"))
+        flat, begin, end = words.spaced()
         for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
             n = b - a
             cover = np.zeros(n + 1, np.int32)
-            if copy[i]:
+            if keys[i] in copies:
                 gone = np.full(n, n >= window)
             else:
-                s = np.array(starts.get((ids[i], shas[i]), ()), np.int64)
-                np.add.at(cover, s, 1)
-                np.add.at(cover, np.minimum(s + window, n), -1)
+                if starts.get(keys[i]) is not None:
+                    s = starts[keys[i]].to_numpy()
+                    np.add.at(cover, s, 1)
+                    np.add.at(cover, np.minimum(s + window, n), -1)
                 gone = np.cumsum(cover)[:n] > 0
-            stay = np.flatnonzero(~gone) + a
-            text = b" ".join(words.buf[x:y].tobytes() for x, y in zip(words.starts[stay].tolist(), words.ends[stay].tolist()))
+            if not gone.any():
+                text = flat[begin[a] : end[b - 1]].tobytes() if n else b""
+            else:
+                stay = np.flatnonzero(~gone) + a
+                text = b" ".join(flat[x:y].tobytes() for x, y in zip(begin[stay].tolist(), end[stay].tolist()))
             out.append((ids[i], shas[i], n, int(gone.sum()), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace") if keep_text and gone.any() else None))
     return out
 
@@ -167,14 +173,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     _, size = text_size(docs)
     n_batches = max(4, -(-size // BATCH_BYTES))
     keyed = _keyed(docs, n_batches)
-    firsts = stored(keyed.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first")))
+    ids = keyed.filter("doc_id is not null").select("doc_id", "sha", "key", "batch")
+    firsts = ids.groupBy("sha").agg(F.min("doc_id").alias("first"))
+    copies = stored(ids.join(firsts, "sha").filter("first < doc_id").groupBy("batch").agg(F.collect_set("key").alias("copies")))
     named = stored(anchors(keyed, window, phrase))
-    cand = stored(occurrences(keyed.filter("doc_id is not null"), stored(recurring(named)), window, phrase))
+    found = stored(recurring(named)).unionByName(copies, allowMissingColumns=True)
+    cand = stored(occurrences(keyed.filter("doc_id is not null"), found, window, phrase))
     release(spark)
     first = cand.groupBy("wh").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("wh", "first")
     again = cand.join(first, "wh").filter("first < doc_id")
-    marks = again.groupBy("doc_id", "sha").agg(F.collect_set("start").alias("starts"))
-    marks = stored(marks.withColumn("batch", F.pmod(F.xxhash64("doc_id", "sha"), F.lit(n_batches)).cast("int")))
+    marks = again.groupBy("key").agg(F.collect_set("start").alias("starts"))
+    marks = stored(marks.withColumn("batch", F.pmod("key", F.lit(n_batches)).cast("int")))
     release(spark)
 
     schema = pa.schema([("doc_id", pa.int64()), ("sha", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
@@ -183,8 +192,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
         rows = _kept(left, right, window, keep_text)
         return pa.table([list(x) for x in zip(*rows)], schema) if rows else schema.empty_table()
 
-    flagged = keyed.join(firsts, "sha", "left").select("doc_id", "sha", "text", "batch", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).alias("copy"))
-    return flagged.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(run, "doc_id long, sha string, n_words long, n_removed long, kept_sha256 string, kept string")
+    found = marks.unionByName(copies, allowMissingColumns=True)
+    texts = keyed.select("doc_id", "sha", "key", "text", "batch")
+    return texts.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(run, "doc_id long, sha string, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op4_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
