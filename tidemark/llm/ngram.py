@@ -246,6 +246,7 @@ def score(docs: DataFrame, train, order: int = 2) -> DataFrame:
     shards = stored(shards)
     release(spark)
     n, v = (int(x or 0) for x in shards.agg(F.sum("tokens"), F.sum("types")).first())
+    release(spark)  # again, as the first call may come before Spark has let go of the job just ended
     out = pa.schema([("doc_id", pa.int64()), ("trained", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def add(table: pa.Table, answers: pa.Table) -> pa.Table:
