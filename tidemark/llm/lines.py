@@ -1,12 +1,13 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame operations only.
 
-1. Words are counted in a sketch of a fixed number of hash buckets; the words of a line are ordered by their
-   bucket's count, rarest first, then by hash: one order for all lines, which is all that a prefix filter needs.
+1. Words are counted in a sketch of a fixed number of hash buckets; the words of a line are ordered by the level of
+   their bucket's count, rarest first, then by hash: one order for all lines, which is all that a prefix filter needs.
 2. Lines of equal word sets are one class, pre-aggregated, at its first place (doc_id, line number).
-3. Two sets of a Jaccard similarity of s have a word in common among the first n - ceil(s * n) + 1 of each. Classes
-   that share one meet if their sizes, the places of that word and a 128-bit parity of their words still allow the
-   similarity; first only with the earliest classes of the word's bucket, which settles groups of near copies in
-   linear work, then, for what is not yet removed, with all earlier ones.
+3. Two sets of a Jaccard similarity of s have their first common word among the first n - ceil(s * n) + 1 of each.
+   Classes that share a word there meet if what follows it in both still allows the similarity, which bounds
+   lengths and places at once, and so does a 64-bit parity of their words; first only with the earliest class
+   of that word and the one before, which settles groups of near copies in linear work, then, for what is not
+   yet removed, with all.
 4. What met is verified by the whole sets. A class similar to an earlier class is removed, and so is every place of
    a class but the first.
 """
@@ -14,94 +15,112 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read, release, stored
+from tidemark.llm.common import discard, read, release, stored
 
-#: Buckets of the rarity sketch.
+#: Buckets of the rarity sketch, a power of two.
 SKETCH = 1 << 16
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
-SPACES = "[ \\t\\x0B\\f\\r]+"
 LAST = 2**63 - 1
 
 
-def _bucket(w: Column) -> Column:
-    return F.pmod(F.xxhash64(w), F.lit(SKETCH)).cast("int")
+def _spaced(text: Column) -> Column:
+    """text with a space for each run of other blanks, so that words and lines are split at one byte each."""
+    return F.when(text.rlike("[\\t\\x0B\\f\\r]"), F.regexp_replace(text, "[\\t\\x0B\\f\\r]+", " ")).otherwise(text)
+
+
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(SKETCH - 1))
 
 
 def rarity(docs: DataFrame) -> Column:
-    """A literal array of the count of words of each bucket; the counts are as many as the sketch has buckets."""
-    words = docs.select(F.explode(F.split(F.col("text"), "[ \\t\\n\\x0B\\f\\r]+")).alias("w")).select(_bucket(F.col("w")).alias("b"))
-    counts = [0] * SKETCH
-    for b, n in words.groupBy("b").count().collect():
-        counts[b] = min(int(n), 2**31 - 1)
-    return F.from_json(F.lit(json.dumps(counts)), "array<int>")
+    """A literal array of the level of each bucket, the logarithm of its count of words in quarters, times 2^33."""
+    words = docs.select(F.explode(F.split(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    levels = [0] * SKETCH
+    for b, n in words.select(_bucket(F.hash("w")).alias("b")).groupBy("b").count().collect():  # at most SKETCH rows
+        levels[b] = int(4 * math.log2(n + 1)) << 33
+    return F.from_json(F.lit(json.dumps(levels)), "array<bigint>")
 
 
-def _lines(docs: DataFrame, counts: Column) -> DataFrame:
-    """(doc_id, th, line, toks, h): the distinct words of each line as 31-bit hashes, rarest first; lines with words only."""
-    code = lambda w: F.shiftleft(F.element_at(counts, _bucket(w) + 1).cast("long"), 32).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(0x7FFFFFFF)))
-    found = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "l"))
-    words = F.array_remove(F.split("l", SPACES), "")
-    found = found.select("doc_id", "th", "line", F.sort_array(F.array_distinct(F.transform(words, code))).alias("codes")).filter(F.size("codes") > 0)
-    return found.select("doc_id", "th", "line", F.transform("codes", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("toks"), F.xxhash64("codes").alias("h"))
+def _lines(docs: DataFrame, levels: Column) -> DataFrame:
+    """(doc_id, th, line, toks, h): the distinct words of each line as a level and a 32-bit hash, rarest first; lines with words only."""
+    place = F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line", "l")
+    found = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("th"), place)
+    hashes = F.transform(F.array_remove(F.split("l", " "), ""), lambda w: F.hash(w))
+    codes = F.transform(hashes, lambda h: F.coalesce(F.get(levels, _bucket(h)), F.lit(0).cast("long")) + h)
+    found = found.select("doc_id", "th", "line", F.sort_array(F.array_distinct(codes)).alias("toks")).filter(F.size("toks") > 0)
+    return found.withColumn("h", F.xxhash64("toks"))
 
 
 def _prefix(n: Column) -> Column:
     return n - F.ceil(n * NUM / DEN).cast("int") + 1
 
 
-def _keys(classes: DataFrame) -> DataFrame:
-    """(t, i, n, h, doc_id, line, b1, b2): a row for each prefix word of each class."""
-    parity = lambda shift: F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.when(F.shiftright(x, 6).bitwiseAND(F.lit(1)) == shift, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("long"))))
+def _classes(lines: DataFrame) -> DataFrame:
+    """(h, doc_id, line, toks, n, head, parity): classes of equal sets at their first place, with prefix and parity."""
+    found = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("toks").alias("toks"))
+    parity = F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     n = F.size("toks")
+    return found.select("h", "at.doc_id", "at.line", "toks", n.alias("n"), F.slice("toks", F.lit(1), _prefix(n)).alias("head"), parity.alias("parity"))
+
+
+def _keys(classes: DataFrame, *also: str) -> DataFrame:
+    """(t, n, left, h, parity, *also): a row for each prefix word of each class; left: its words from that word on."""
     # Sets of fewer than four words are similar only when equal.
-    found = classes.filter(n >= NUM).select("h", "doc_id", "line", n.alias("n"), parity(0).alias("b1"), parity(1).alias("b2"), F.posexplode(F.slice("toks", F.lit(1), _prefix(n))).alias("i", "t"))
-    return found.select("t", "i", "n", "h", "doc_id", "line", "b1", "b2")
+    found = classes.filter(F.col("n") >= NUM).select("n", "h", "parity", *also, F.posexplode("head").alias("i", "t"))
+    return found.select("t", "n", (F.col("n") - F.col("i")).alias("left"), "h", "parity", *also)
 
 
 def _may(a: str, b: str) -> Column:
-    """Whether the sets of rows a and b may be similar, by size, the word's places, and parity."""
+    """Whether this word may be the first in common of similar sets a and b, by what follows it, and by parity."""
     c = lambda side, name: F.col(f"{side}.{name}")
     both = c(a, "n") + c(b, "n")
-    length = (c(a, "n") * DEN >= c(b, "n") * NUM) & (c(b, "n") * DEN >= c(a, "n") * NUM)
-    # Words in common at least, for this similarity: both * NUM / (NUM + DEN).
-    place = (F.least(c(a, "n") - c(a, "i"), c(b, "n") - c(b, "i")) + F.least(c(a, "i"), c(b, "i"))) * (NUM + DEN) >= both * NUM
-    apart = F.bit_count(c(a, "b1").bitwiseXOR(c(b, "b1"))) + F.bit_count(c(a, "b2").bitwiseXOR(c(b, "b2")))
-    return length & place & (apart * (NUM + DEN) <= both * (DEN - NUM))
+    # Words in common at least, for this similarity: both * NUM / (NUM + DEN); none of them comes before this one.
+    place = F.least(c(a, "left"), c(b, "left")) * (NUM + DEN) >= both * NUM
+    return place & (F.bit_count(c(a, "parity").bitwiseXOR(c(b, "parity"))) * (NUM + DEN) <= both * (DEN - NUM))
+
 
+def _removed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(h): the later class of each pair (h, g) whose sets are similar.
 
-def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(h): the later class of each pair (h, g) whose sets are similar."""
-    sets = classes.select("h", "toks")
-    met = pairs.distinct().join(sets, "h").join(sets.select(F.col("h").alias("g"), F.col("toks").alias("other")), "g")
-    common = F.size(F.array_intersect("toks", "other"))
-    return met.filter(common * (NUM + DEN) >= (F.size("toks") + F.size("other")) * NUM).select("h").distinct()
+    The pairs are stored, so that Spark knows their size when it chooses how to bring the sets to them.
+    """
+    pairs = stored(pairs.distinct())
+    sets = classes.select("h", F.struct("doc_id", "line", "h").alias("at"), "toks")
+    one = sets.join(pairs, "h")
+    two = sets.select(F.col("h").alias("g"), F.col("at").alias("at2"), F.col("toks").alias("toks2")).join(pairs, "g")
+    met = one.join(two, ["h", "g"])
+    similar = F.size(F.array_intersect("toks", "toks2")) * (NUM + DEN) >= (F.size("toks") + F.size("toks2")) * NUM
+    return stored(met.filter(similar).select(F.greatest("at", "at2")["h"].alias("h")).distinct())
 
 
 def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, classes): places of lines (doc_id, th, line, h), and per class its first place and whether an earlier class is similar."""
+    spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lines = stored(_lines(docs, rarity(docs)))
-    classes = stored(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("toks").alias("toks")).select("h", "at.doc_id", "at.line", "toks"))
-    release(docs.sparkSession)
-    keys = _keys(classes)
+    whole = stored(_lines(docs, rarity(docs)))
+    classes, lines = stored(_classes(whole)), stored(whole.select("doc_id", "th", "line", "h"))
+    discard(whole)
+    release(spark)
     order = Window.partitionBy("t").orderBy("doc_id", "line", "h")
-    row = F.struct("h", "n", "i", "b1", "b2")
-    near = keys.select(row.alias("a"), F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("p"), F.lag(row, 1).over(order).alias("q"))
+    row = F.struct("h", "n", "left", "parity")
+    near = _keys(classes, "doc_id", "line").select("t", row.alias("a"), F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("p"), F.lag(row, 1).over(order).alias("q"))
     near = near.select("a", F.explode(F.array("p", "q")).alias("b")).filter("b is not null and a.h <> b.h").filter(_may("a", "b"))
-    settled = stored(_verified(near.select(F.col("a.h").alias("h"), F.col("b.h").alias("g")), classes))
-    left = keys.join(settled, "h", "left_anti").alias("a")
-    right = keys.alias("b")
-    earlier = F.struct("b.doc_id", "b.line", "b.h") < F.struct("a.doc_id", "a.line", "a.h")
-    rest = left.join(right, (F.col("a.t") == F.col("b.t")) & earlier & _may("a", "b")).select(F.col("a.h").alias("h"), F.col("b.h").alias("g"))
-    removed = settled.unionByName(stored(_verified(rest, classes)))
-    release(docs.sparkSession)
+    settled = _removed(near.select(F.col("a.h").alias("h"), F.col("b.h").alias("g")), classes)
+    release(spark)
+    flagged = classes.drop("toks").join(settled.withColumn("settled", F.lit(True)), "h", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    open_keys, keys = _keys(flagged.filter("not settled")).alias("a"), _keys(flagged, "settled").alias("b")
+    met = (F.col("a.t") == F.col("b.t")) & (F.col("b.settled") & (F.col("a.h") != F.col("b.h")) | (F.col("a.h") < F.col("b.h")))
+    rest = open_keys.join(keys, met & _may("a", "b")).select(F.col("a.h").alias("h"), F.col("b.h").alias("g"))
+    removed = settled.unionByName(_removed(rest, classes)).distinct()
+    release(spark)
     flagged = classes.select("h", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")).join(removed.withColumn("removed", F.lit(True)), "h", "left")
-    return lines.select("doc_id", "th", "line", "h"), flagged.withColumn("removed", F.coalesce("removed", F.lit(False)))
+    return lines, flagged.withColumn("removed", F.coalesce("removed", F.lit(False)))
 
 
 def remove_similar_lines(docs: DataFrame) -> DataFrame:
