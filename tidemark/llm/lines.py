@@ -62,18 +62,23 @@ def _prefix(n: Column) -> Column:
 
 
 def _classes(lines: DataFrame) -> DataFrame:
-    """(h, doc_id, line, toks, n, head, parity): classes of equal sets at their first place, with prefix and parity."""
-    found = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("toks").alias("toks"))
+    """(c, h, doc_id, line, toks, n, head, parity): classes of equal sets at their first place, with prefix and parity.
+
+    c numbers the classes in the order of their first places; it is short where a place and a hash are long.
+    """
+    at = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"))
+    numbered = stored(at.select("h", "at.doc_id", "at.line").orderBy("doc_id", "line", "h").withColumn("c", F.monotonically_increasing_id()))
+    found = lines.groupBy("h").agg(F.first("toks").alias("toks")).join(numbered, "h")
     parity = F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     n = F.size("toks")
-    return found.select("h", "at.doc_id", "at.line", "toks", n.alias("n"), F.slice("toks", F.lit(1), _prefix(n)).alias("head"), parity.alias("parity"))
+    return found.select("c", "h", "doc_id", "line", "toks", n.alias("n"), F.slice("toks", F.lit(1), _prefix(n)).alias("head"), parity.alias("parity"))
 
 
-def _keys(classes: DataFrame, *also: str) -> DataFrame:
-    """(t, n, left, h, parity, *also): a row for each prefix word of each class; left: its words from that word on."""
+def _keys(classes: DataFrame) -> DataFrame:
+    """(t, n, left, c, parity): a row for each prefix word of each class; left: its words from that word on."""
     # Sets of fewer than four words are similar only when equal.
-    found = classes.filter(F.col("n") >= NUM).select("n", "h", "parity", *also, F.posexplode("head").alias("i", "t"))
-    return found.select("t", "n", (F.col("n") - F.col("i")).alias("left"), "h", "parity", *also)
+    found = classes.filter(F.col("n") >= NUM).select("n", "c", "parity", F.posexplode("head").alias("i", "t"))
+    return found.select("t", "n", (F.col("n") - F.col("i")).alias("left"), "c", "parity")
 
 
 def _may(a: str, b: str) -> Column:
@@ -86,17 +91,15 @@ def _may(a: str, b: str) -> Column:
 
 
 def _removed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(h): the later class of each pair (h, g) whose sets are similar.
+    """(c): the later class c of each pair (c, g) whose sets are similar.
 
     The pairs are stored, so that Spark knows their size when it chooses how to bring the sets to them.
     """
     pairs = stored(pairs.distinct())
-    sets = classes.select("h", F.struct("doc_id", "line", "h").alias("at"), "toks")
-    one = sets.join(pairs, "h")
-    two = sets.select(F.col("h").alias("g"), F.col("at").alias("at2"), F.col("toks").alias("toks2")).join(pairs, "g")
-    met = one.join(two, ["h", "g"])
+    one = classes.select("c", "toks").join(pairs, "c")
+    two = classes.select(F.col("c").alias("g"), F.col("toks").alias("toks2")).join(pairs, "g")
     similar = F.size(F.array_intersect("toks", "toks2")) * (NUM + DEN) >= (F.size("toks") + F.size("toks2")) * NUM
-    return stored(met.filter(similar).select(F.greatest("at", "at2")["h"].alias("h")).distinct())
+    return stored(one.join(two, ["c", "g"]).filter(similar).select("c").distinct())
 
 
 def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,20 +110,18 @@ def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes, lines = stored(_classes(whole)), stored(whole.select("doc_id", "th", "line", "h"))
     discard(whole)
     release(spark)
-    order = Window.partitionBy("t").orderBy("doc_id", "line", "h")
-    row = F.struct("h", "n", "left", "parity")
-    near = _keys(classes, "doc_id", "line").select("t", row.alias("a"), F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("p"), F.lag(row, 1).over(order).alias("q"))
-    near = near.select("a", F.explode(F.array("p", "q")).alias("b")).filter("b is not null and a.h <> b.h").filter(_may("a", "b"))
-    settled = _removed(near.select(F.col("a.h").alias("h"), F.col("b.h").alias("g")), classes)
+    order = Window.partitionBy("t").orderBy("c")
+    row = F.struct("c", "n", "left", "parity")
+    near = _keys(classes).select(row.alias("a"), F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("p"), F.lag(row, 1).over(order).alias("q"))
+    near = near.select("a", F.explode(F.array("p", "q")).alias("b")).filter("b.c < a.c").filter(_may("a", "b"))
+    settled = _removed(near.select(F.col("a.c").alias("c"), F.col("b.c").alias("g")), classes)
     release(spark)
-    flagged = classes.drop("toks").join(settled.withColumn("settled", F.lit(True)), "h", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    open_keys, keys = _keys(flagged.filter("not settled")).alias("a"), _keys(flagged, "settled").alias("b")
-    met = (F.col("a.t") == F.col("b.t")) & (F.col("b.settled") & (F.col("a.h") != F.col("b.h")) | (F.col("a.h") < F.col("b.h")))
-    rest = open_keys.join(keys, met & _may("a", "b")).select(F.col("a.h").alias("h"), F.col("b.h").alias("g"))
-    removed = settled.unionByName(_removed(rest, classes)).distinct()
+    later, earlier = _keys(classes.drop("toks").join(settled, "c", "left_anti")).alias("a"), _keys(classes).alias("b")
+    rest = later.join(earlier, (F.col("a.t") == F.col("b.t")) & (F.col("b.c") < F.col("a.c")) & _may("a", "b"))
+    removed = settled.unionByName(_removed(rest.select(F.col("a.c").alias("c"), F.col("b.c").alias("g")), classes))
     release(spark)
-    flagged = classes.select("h", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")).join(removed.withColumn("removed", F.lit(True)), "h", "left")
-    return lines, flagged.withColumn("removed", F.coalesce("removed", F.lit(False)))
+    flagged = classes.select("c", "h", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")).join(removed.withColumn("removed", F.lit(True)), "c", "left")
+    return lines, flagged.drop("c").withColumn("removed", F.coalesce("removed", F.lit(False)))
 
 
 def remove_similar_lines(docs: DataFrame) -> DataFrame:
@@ -134,7 +135,8 @@ def remove_similar_lines(docs: DataFrame) -> DataFrame:
     docs = docs.drop("kept", "n_lines", "n_removed", "_th", "_gone", "_id")
     lines, classes = similar_lines(docs)
     gone = lines.join(classes, "h").filter("removed or doc_id <> first_doc or line <> first_line")
-    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("line").alias("_gone"))
+    gone = stored(gone.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("line").alias("_gone")))
+    release(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_th": F.xxhash64(text)}).join(gone, ["_id", "_th"], "left")
     kept = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n"))
