@@ -48,12 +48,14 @@ def rarity(docs: DataFrame) -> Column:
 
 
 def _lines(docs: DataFrame, levels: Column) -> DataFrame:
-    """(doc_id, th, line, toks, h): the distinct words of each line as a level and a 32-bit hash, rarest first; lines with words only."""
+    """(doc_id, th, line, toks, h): the distinct words of each line as 31-bit hashes, rarest first; lines with words only."""
     place = F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line", "l")
     found = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("th"), place)
     hashes = F.transform(F.array_remove(F.split("l", " "), ""), lambda w: F.hash(w))
     codes = F.transform(hashes, lambda h: F.coalesce(F.get(levels, _bucket(h)), F.lit(0).cast("long")) + h)
-    found = found.select("doc_id", "th", "line", F.sort_array(F.array_distinct(codes)).alias("toks")).filter(F.size("toks") > 0)
+    # The level has done its work once the words are in order; without it the sets take half the room.
+    toks = F.array_distinct(F.transform(F.sort_array(codes), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
+    found = found.select("doc_id", "th", "line", toks.alias("toks")).filter(F.size("toks") > 0)
     return found.withColumn("h", F.xxhash64("toks"))
 
 
@@ -69,7 +71,7 @@ def _classes(lines: DataFrame) -> DataFrame:
     at = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"))
     numbered = stored(at.select("h", "at.doc_id", "at.line").orderBy("doc_id", "line", "h").withColumn("c", F.monotonically_increasing_id()))
     found = lines.groupBy("h").agg(F.first("toks").alias("toks")).join(numbered, "h")
-    parity = F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    parity = F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))))
     n = F.size("toks")
     return found.select("c", "h", "doc_id", "line", "toks", n.alias("n"), F.slice("toks", F.lit(1), _prefix(n)).alias("head"), parity.alias("parity"))
 
