@@ -128,9 +128,11 @@ class Dataset:
             merged = tiers[full]
             name = uuid.uuid4().hex
             files = max(1, round(sum(r.bytes for r in merged) / self.target))
-            rows = self.read_runs(merged)
-            rows.repartition(files).write.parquet(f"{self.path}/runs/{name}")
-            run = replace(self._written(name, 0), rows=sum(r.rows for r in merged))
+            n_rows = sum(r.rows for r in merged)
+            # Whole input splits are put together in tasks, without a shuffle; a task with more than a file's rows writes several.
+            out = self.read_runs(merged).coalesce(files).write.option("maxRecordsPerFile", -(-n_rows // files))
+            out.parquet(f"{self.path}/runs/{name}")
+            run = replace(self._written(name, 0), rows=n_rows)
             self.commit(version, [r for r in runs if r not in merged] + [run])
 
     def read_runs(self, runs: list[Run]) -> DataFrame:
