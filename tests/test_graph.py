@@ -32,3 +32,17 @@ def test_lock_roots_counts_all_descendants(spark):
         got = lock_roots(spark.createDataFrame(edges, "blocker long, blocked long")).collect()
         assert {r.root: r.affected for r in got} == _roots(edges) and len(got) == len(_roots(edges))
     assert lock_roots(spark.createDataFrame([], "blocker long, blocked long")).count() == 0
+
+
+def test_waits_take_every_order(spark):
+    from tidemark.operators.graph import waits
+
+    rng = random.Random(4)
+    orders = [(k, rng.randrange(8), f"day{rng.randrange(3)}", f"p{rng.randrange(2)}") for k in range(60)]
+    want, last = set(), {}
+    for k, c, day, p in orders:
+        if last.get((day, p), c) != c:
+            want.add((last[day, p], c))
+        last[day, p] = c
+    got = waits(spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string, o_orderpriority string")).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
