@@ -46,3 +46,20 @@ def test_waits_take_every_order(spark):
         last[day, p] = c
     got = waits(spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string, o_orderpriority string")).collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_supply_paths_take_single_lines(spark):
+    from tidemark.operators.graph import supply_paths
+
+    rng = random.Random(6)
+    lines = [(rng.randrange(6), rng.randrange(9)) for _ in range(40)] + [(6, 2)]
+    total, links, want = defaultdict(int), defaultdict(int), defaultdict(list)
+    for s, p in lines:
+        total[s] += 1
+        links[s, p] += 1
+    for s, p in links:
+        for s2, p2 in links:
+            if p == p2 and s < s2:
+                want[s, s2].append(min(links[s, p] / total[s], links[s2, p] / total[s2]))
+    got = {(r.s1, r.s2): (r.confidence, r.paths) for r in supply_paths(spark.createDataFrame(lines, "l_suppkey long, l_partkey long")).collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == len(v) and abs(got[k][0] - max(max(v) - 0.05, 0)) < 0.00501 for k, v in want.items())

@@ -1,4 +1,4 @@
-"""Relation and lock graphs: shortest paths, path confidence, one-hop expansion, root blockers."""
+"""Relation and lock graphs: path confidence, one-hop expansion, root blockers."""
 
 from __future__ import annotations
 
@@ -68,7 +68,7 @@ def supply_paths(lineitem: DataFrame) -> DataFrame:
     """Confidence of supplier-to-part links: the share of a supplier's lines; two-step paths between suppliers through a part keep the lesser of both, less 0.05, and no less than 0."""
     n = lineitem.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
     total = lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("total"))
-    e = n.filter("n >= 2").join(total, "l_suppkey").select("l_suppkey", "l_partkey", (F.col("n") / F.col("total")).alias("conf"))
+    e = n.join(total, "l_suppkey").select("l_suppkey", "l_partkey", (F.col("n") / F.col("total")).alias("conf"))
     a, b = e.alias("a"), e.alias("b")
     met = a.join(b, (F.col("a.l_partkey") == F.col("b.l_partkey")) & (F.col("a.l_suppkey") < F.col("b.l_suppkey")))
     conf = F.floor(F.greatest(F.max(F.least("a.conf", "b.conf")) - 0.05, F.lit(0.0)) * 100 + 0.5) / 100
