@@ -1,7 +1,8 @@
 """Media columns: texts as WAV, read by the wave module, with short-time Fourier transforms and spectral-peak pairs.
 
 A fingerprint is an array of (time, delta, low, high): two peaks of the spectrogram, the frame of the first, the
-frames between them and their frequency bins.
+frames between them and their frequency bins. A passage moved by other than a multiple of HOP samples falls into frames
+otherwise and keeps only some of its pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import read, slices
 
-RATE, UNIT, FRAME, FAN_OUT, REACH = 8000, 192, 192, 3, 8
+RATE, UNIT, FRAME, HOP, PEAKS, FAN_OUT, REACH = 8000, 192, 192, 96, 3, 3, 8
 #: Frames transformed at a time.
 _FRAMES = 2048
 _WINDOW = np.hanning(FRAME).astype(np.float32)
@@ -45,28 +46,39 @@ def decode(media: bytes) -> bytes:
 
 
 def peaks(samples: bytes) -> np.ndarray:
-    """The loudest bin but the constant one of each frame of FRAME samples, frames starting every FRAME samples."""
-    x = np.frombuffer(samples, np.uint8)[: len(samples) // FRAME * FRAME].reshape(-1, FRAME)
+    """The loudest PEAKS local maxima of each frame's spectrum, loudest first, 0 where there are fewer.
+
+    Frames of FRAME samples start every HOP samples, the first and last reach over the ends by as much, so that each
+    sample has the same weight in all.
+    """
+    x = np.frombuffer(b" " * HOP + samples + b" " * HOP, np.uint8)
+    x = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     out = []
     for lo in range(0, len(x), _FRAMES):
         frames = x[lo : lo + _FRAMES].astype(np.float32)
         frames -= frames.mean(axis=1, keepdims=True)
         spectrum = np.abs(np.fft.rfft(frames * _WINDOW, axis=1))
-        out.append(spectrum[:, 1:].argmax(axis=1) + 1)
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+        inner = spectrum[:, 1:-1]
+        loud = np.where((inner > spectrum[:, :-2]) & (inner >= spectrum[:, 2:]), inner, 0)
+        bins = np.argsort(-loud, axis=1, kind="stable")[:, :PEAKS]
+        out.append(np.where(np.take_along_axis(loud, bins, axis=1) > 0, bins + 1, 0))
+    return np.concatenate(out) if out else np.zeros((0, PEAKS), np.int64)
 
 
 def pairs(peak: np.ndarray) -> np.ndarray:
-    """(time, delta, low, high) rows: each peak with the next FAN_OUT peaks of another bin within REACH frames."""
-    n, taken, out = len(peak), np.zeros(len(peak), np.int8), []
-    for delta in range(1, REACH + 1):
-        a = np.arange(max(0, n - delta))
-        ok = (peak[a] != peak[a + delta]) & (taken[a] < FAN_OUT)
-        a = a[ok]
-        taken[a] += 1
-        out.append(np.stack([a, np.full(len(a), delta), peak[a], peak[a + delta]], axis=1))
-    rows = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-    return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    """(time, delta, low, high) rows: each peak with the next FAN_OUT peaks of another bin within REACH later frames."""
+    n, taken, out = len(peak), np.zeros(peak.shape, np.int8), [np.zeros((0, 4), np.int64)]
+    for delta in range(1, min(REACH, n - 1) + 1):
+        if not ((taken[: n - delta] < FAN_OUT) & (peak[: n - delta] > 0)).any():
+            break
+        for k in range(PEAKS):
+            high = peak[delta:, k, None]
+            low = peak[: n - delta]
+            a, i = np.nonzero((low > 0) & (high > 0) & (low != high) & (taken[: n - delta] < FAN_OUT))
+            taken[a, i] += 1
+            out.append(np.stack([a, np.full(len(a), delta), low[a, i], high[a, 0]], axis=1))
+    rows = np.concatenate(out)
+    return rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
 
 
 def digest(rows: np.ndarray) -> str:
