@@ -104,10 +104,33 @@ def test_lines(docs, rows, empty):
 
     found = remove_similar_lines(docs)
     assert set(docs.columns) < set(found.columns)
-    assert _sorted(found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256)).collect()) == _sorted(_kept_lines(rows))
+    assert _sorted(found.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2("line_dedup.kept", 256)).collect()) == _sorted(_kept_lines(rows))
     assert remove_similar_lines(empty).count() == 0
 
 
+def test_lines_by_their_words(spark):
+    """Near copies in a large group, words whose 31-bit hashes are equal, sets at the edge of the similarity, and clashing names."""
+    from tidemark.llm.lines import dedup_lines, remove_similar_lines
+
+    rng = random.Random(3)
+    vocab = [f"v{k}" for k in range(60)]
+    base = [rng.choice(vocab) for _ in range(20)]
+    rows = [(0, "w138121 one two three"), (1, "w314567 one two three"), (2, "a b c d"), (3, "a b c d e"), (4, "a b c e f")]
+    for k in range(5, 120):
+        line = list(base)
+        for _ in range(rng.randint(0, 3)):
+            line[rng.randrange(20)] = rng.choice(vocab)
+        rows.append((k, " ".join(line) + "\n" + " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 9)))))
+    docs = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in rows], "doc_id long, text string, _id int, kept int, n_chars long")
+    found = remove_similar_lines(docs).select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2("line_dedup.kept", 256), "_id", "kept")
+    assert _sorted(found.collect()) == _sorted((*r, 1, 2) for r in _kept_lines(rows))
+    less = dedup_lines(docs)
+    assert less.columns == docs.columns and less.filter("doc_id = 3").first().text == ""
+    assert less.filter("n_chars <> length(text) and n_chars <> 3").count() == 0
+    with pytest.raises(ValueError):
+        remove_similar_lines(docs, "kept")
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_language_model(docs, rows, empty, order):
     from tidemark.llm.ngram import DISCOUNT, PER_DECADE, score

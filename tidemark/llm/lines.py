@@ -2,14 +2,16 @@
 
 1. Words are counted in a sketch of a fixed number of hash buckets; the words of a line are ordered by the level of
    their bucket's count, rarest first, then by hash: one order for all lines, which is all that a prefix filter needs.
-2. Lines of equal word sets are one class, pre-aggregated, at its first place (doc_id, line number).
+2. Lines of equal word sets are one class, pre-aggregated, numbered in the order of first places (doc_id, line number).
 3. Two sets of a Jaccard similarity of s have their first common word among the first n - ceil(s * n) + 1 of each.
    Classes that share a word there meet if what follows it in both still allows the similarity, which bounds
-   lengths and places at once, and so does a 64-bit parity of their words; first only with the earliest class
-   of that word and the one before, which settles groups of near copies in linear work, then, for what is not
-   yet removed, with all.
-4. What met is verified by the whole sets. A class similar to an earlier class is removed, and so is every place of
-   a class but the first.
+   lengths and places at once; first only with the earliest class of that word and the one before, which
+   settles groups of near copies in linear work, then, for what is not yet removed, with all. A word that many lines
+   may hold is cut into ranges of classes for the first, so that no task holds all of them.
+4. What met is verified by the words themselves, read again from the texts. A class similar to an earlier class is
+   removed, and so is every place of a class but the first.
+
+Candidates are found by hashes: a word is its level and 58 bits, a class 128 bits of these.
 """
 
 from __future__ import annotations
@@ -19,68 +21,71 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from tidemark.llm.common import discard, read, release, stored
+from tidemark.llm.common import discard, free_name, read, release, stored
 
 #: Buckets of the rarity sketch, a power of two.
 SKETCH = 1 << 16
+#: Bits of a word's hash; the level stands above them.
+HASH_BITS = 58
+#: Classes of one word that meet in one task, about.
+RANGE_ROWS = 20_000
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
 LAST = 2**63 - 1
 
 
+def _text(docs: DataFrame) -> Column:
+    return F.coalesce(docs["text"].cast("string"), F.lit(""))
+
+
 def _spaced(text: Column) -> Column:
     """text with a space for each run of other blanks, so that words and lines are split at one byte each."""
     return F.when(text.rlike("[\\t\\x0B\\f\\r]"), F.regexp_replace(text, "[\\t\\x0B\\f\\r]+", " ")).otherwise(text)
 
 
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
+
+
 def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(SKETCH - 1))
+    return h.bitwiseAND(F.lit(SKETCH - 1)).cast("int")
 
 
 def rarity(docs: DataFrame) -> Column:
-    """A literal array of the level of each bucket, the logarithm of its count of words in quarters, times 2^33."""
+    """A literal array of the level of each bucket: the logarithm of its count of words, above the bits of a hash."""
     words = docs.select(F.explode(F.split(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     levels = [0] * SKETCH
-    for b, n in words.select(_bucket(F.hash("w")).alias("b")).groupBy("b").count().collect():  # at most SKETCH rows
-        levels[b] = int(4 * math.log2(n + 1)) << 33
+    for b, n in words.select(_bucket(F.xxhash64("w")).alias("b")).groupBy("b").count().collect():  # at most SKETCH rows
+        levels[b] = min(31, int(math.log2(n + 1))) << HASH_BITS
     return F.from_json(F.lit(json.dumps(levels)), "array<bigint>")
 
 
-def _lines(docs: DataFrame, levels: Column) -> DataFrame:
-    """(doc_id, th, line, toks, h): the distinct words of each line as 31-bit hashes, rarest first; lines with words only."""
-    place = F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line", "l")
-    found = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("th"), place)
-    hashes = F.transform(F.array_remove(F.split("l", " "), ""), lambda w: F.hash(w))
-    codes = F.transform(hashes, lambda h: F.coalesce(F.get(levels, _bucket(h)), F.lit(0).cast("long")) + h)
-    # The level has done its work once the words are in order; without it the sets take half the room.
-    toks = F.array_distinct(F.transform(F.sort_array(codes), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
-    found = found.select("doc_id", "th", "line", toks.alias("toks")).filter(F.size("toks") > 0)
-    return found.withColumn("h", F.xxhash64("toks"))
-
-
 def _prefix(n: Column) -> Column:
     return n - F.ceil(n * NUM / DEN).cast("int") + 1
 
 
-def _classes(lines: DataFrame) -> DataFrame:
-    """(c, h, doc_id, line, toks, n, head, parity): classes of equal sets at their first place, with prefix and parity.
-
-    c numbers the classes in the order of their first places; it is short where a place and a hash are long.
-    """
-    at = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"))
-    numbered = stored(at.select("h", "at.doc_id", "at.line").orderBy("doc_id", "line", "h").withColumn("c", F.monotonically_increasing_id()))
-    found = lines.groupBy("h").agg(F.first("toks").alias("toks")).join(numbered, "h")
-    parity = F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))))
+def _lines(docs: DataFrame, levels: Column) -> DataFrame:
+    """(doc_id, th, line, k, k2, n, head, parity): lines with words; k, k2 tell sets apart, head has the rarest words that the filter needs."""
+    place = F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line", "l")
+    hashes = F.transform(F.split("l", " "), lambda w: F.xxhash64(w))
+    blank = F.xxhash64(F.lit(""))
+    codes = F.transform(F.array_remove(hashes, blank), lambda h: F.get(levels, _bucket(h)) + h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    found = docs.select("doc_id", "th", place).select("doc_id", "th", "line", F.array_distinct(F.sort_array(codes)).alias("toks"))
     n = F.size("toks")
-    return found.select("c", "h", "doc_id", "line", "toks", n.alias("n"), F.slice("toks", F.lit(1), _prefix(n)).alias("head"), parity.alias("parity"))
+    parity = F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))))
+    # Sets of fewer than four words are similar only when equal.
+    head = F.when(n >= NUM, F.slice("toks", F.lit(1), _prefix(n)))
+    return found.filter(n > 0).select("doc_id", "th", "line", F.xxhash64("toks").alias("k"), F.xxhash64("toks", F.lit(1)).alias("k2"), n.alias("n"), head.alias("head"), parity.alias("parity"))
 
 
-def _keys(classes: DataFrame) -> DataFrame:
-    """(t, n, left, c, parity): a row for each prefix word of each class; left: its words from that word on."""
-    # Sets of fewer than four words are similar only when equal.
-    found = classes.filter(F.col("n") >= NUM).select("n", "c", "parity", F.posexplode("head").alias("i", "t"))
-    return found.select("t", "n", (F.col("n") - F.col("i")).alias("left"), "c", "parity")
+def _classes(lines: DataFrame) -> DataFrame:
+    """lines with c, the number of their class in the order of first places, and at_first; n, head and parity at these places only."""
+    at = lines.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "line", "th")).alias("at"))
+    numbered = stored(at.orderBy("at.doc_id", "at.line", "k", "k2").withColumn("c", F.monotonically_increasing_id()))
+    first = F.struct("doc_id", "line", "th") == F.col("at")
+    return lines.join(numbered, ["k", "k2"]).select("doc_id", "th", "line", "c", first.alias("at_first"), *(F.when(first, F.col(x)).alias(x) for x in ("n", "head", "parity")))
 
 
 def _may(a: str, b: str) -> Column:
@@ -89,63 +94,122 @@ def _may(a: str, b: str) -> Column:
     both = c(a, "n") + c(b, "n")
     # Words in common at least, for this similarity: both * NUM / (NUM + DEN); none of them comes before this one.
     place = F.least(c(a, "left"), c(b, "left")) * (NUM + DEN) >= both * NUM
-    return place & (F.bit_count(c(a, "parity").bitwiseXOR(c(b, "parity"))) * (NUM + DEN) <= both * (DEN - NUM))
+    # A word in one of the sets only changes one bit.
+    return (c(b, "c") < c(a, "c")) & place & (F.bit_count(c(a, "parity").bitwiseXOR(c(b, "parity"))) * (NUM + DEN) <= both * (DEN - NUM))
 
 
-def _removed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(c): the later class c of each pair (c, g) whose sets are similar.
+def _met(rows: DataFrame, order: WindowSpec) -> list[Column]:
+    """(p, q): the first class of a window and the one before each, where it may be similar to the class `a`."""
+    first, last = F.first("a").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lag("a", 1).over(order)
+    return [rows.withColumns({"p": first, "q": last}), *(F.when(_may("a", x), F.col(f"{x}.c")).alias(x) for x in ("p", "q"))]
 
-    The pairs are stored, so that Spark knows their size when it chooses how to bring the sets to them.
+
+def _shared(classes: DataFrame) -> DataFrame:
+    """(t, a, cut, i, m, p, q): a row for each prefix word of each class that other classes may share.
+
+    a: class, its words, those from this one on, and its parity; p, q: the first of the part's classes and the one
+    before; i: its place in the part, m: the part's size. Words that may be frequent, by their level, are cut into parts.
+    """
+    rows = classes.filter("at_first and head is not null").select("c", "n", "parity", F.posexplode("head").alias("i", "t"))
+    parts = F.ceil(F.pow(F.lit(2.0), F.shiftrightunsigned("t", HASH_BITS) + 1) / RANGE_ROWS).cast("long")
+    part = F.when(parts > 1, F.pmod(F.xxhash64(F.shiftright("c", 10)), parts)).otherwise(F.lit(0).cast("long"))
+    rows = rows.select("t", part.alias("part"), F.struct("c", "n", (F.col("n") - F.col("i")).alias("left"), "parity").alias("a"), (parts > 1).alias("cut"))
+    by = Window.partitionBy("t", "part")
+    rows = rows.withColumns({"i": F.row_number().over(by.orderBy("a.c")), "m": F.count(F.lit(1)).over(by)})
+    found, p, q = _met(rows, by.orderBy("a.c"))
+    return found.filter("m > 1 or cut").select("t", "a", "cut", "i", "m", p, q)
+
+
+def _near(shared: DataFrame) -> DataFrame:
+    """(c, g): each class with the first class of its part and the one before, and the firsts of parts with each other likewise."""
+    firsts, p, q = _met(shared.filter("cut and i = 1").select("t", "a"), Window.partitionBy("t").orderBy("a.c"))
+    both = shared.select("a.c", "p", "q").unionByName(firsts.select("a.c", p, q))
+    return both.select("c", F.explode(F.array("p", "q")).alias("g")).filter("g is not null")
+
+
+def _rest(shared: DataFrame, settled: DataFrame) -> DataFrame:
+    """(c, g): classes not settled with all earlier classes of their words. Words of up to three classes have been met in full."""
+    shared = shared.filter("m > 3 or cut")
+    a = shared.select("t", "a").join(settled, F.col("a.c") == F.col("c"), "left_anti").alias("x")
+    b = shared.select(F.col("t").alias("t2"), F.col("a").alias("b"))
+    met = a.join(b, (F.col("t") == F.col("t2")) & _may("a", "b"))
+    return met.select(F.col("a.c").alias("c"), F.col("b.c").alias("g"))
+
+
+def _removed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(c): the later class c of each pair (c, g) whose sets of words are similar.
+
+    The pairs are stored, so that Spark knows their size when it chooses how to bring the words to them.
     """
     pairs = stored(pairs.distinct())
-    one = classes.select("c", "toks").join(pairs, "c")
-    two = classes.select(F.col("c").alias("g"), F.col("toks").alias("toks2")).join(pairs, "g")
-    similar = F.size(F.array_intersect("toks", "toks2")) * (NUM + DEN) >= (F.size("toks") + F.size("toks2")) * NUM
-    return stored(one.join(two, ["c", "g"]).filter(similar).select("c").distinct())
+    asked = pairs.select("c").unionByName(pairs.select(F.col("g").alias("c"))).distinct()
+    places = classes.filter("at_first").select("c", "doc_id", "th", "line").join(asked, "c")
+    places = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("c", "line")).alias("at"))
+    lines = docs.join(places, ["doc_id", "th"]).withColumn("ls", F.split(_spaced(F.col("text")), "\n")).select("ls", F.explode("at").alias("at"))
+    words = stored(lines.select("at.c", F.array_distinct(_words(F.get("ls", F.col("at.line")))).alias("w")))
+    release(docs.sparkSession)
+    one, two = words.join(pairs, "c"), words.select(F.col("c").alias("g"), F.col("w").alias("w2"))
+    similar = F.size(F.array_intersect("w", "w2")) * (NUM + DEN) >= (F.size("w") + F.size("w2")) * NUM
+    found = stored(one.join(two, "g").filter(similar).select("c").distinct())
+    discard(words, pairs)
+    release(docs.sparkSession)
+    return found
 
 
 def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, classes): places of lines (doc_id, th, line, h), and per class its first place and whether an earlier class is similar."""
+    """(classes, removed): places of lines (doc_id, th, line, c, at_first), and the classes (c) that are similar to an earlier one.
+
+    docs: doc_id (long, not null), th (a hash of the text), text (not null).
+    """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     whole = stored(_lines(docs, rarity(docs)))
-    classes, lines = stored(_classes(whole)), stored(whole.select("doc_id", "th", "line", "h"))
-    discard(whole)
     release(spark)
-    order = Window.partitionBy("t").orderBy("c")
-    row = F.struct("c", "n", "left", "parity")
-    near = _keys(classes).select(row.alias("a"), F.first(row).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("p"), F.lag(row, 1).over(order).alias("q"))
-    near = near.select("a", F.explode(F.array("p", "q")).alias("b")).filter("b.c < a.c").filter(_may("a", "b"))
-    settled = _removed(near.select(F.col("a.c").alias("c"), F.col("b.c").alias("g")), classes)
+    classes = stored(_classes(whole))
+    discard(whole)
     release(spark)
-    later, earlier = _keys(classes.drop("toks").join(settled, "c", "left_anti")).alias("a"), _keys(classes).alias("b")
-    rest = later.join(earlier, (F.col("a.t") == F.col("b.t")) & (F.col("b.c") < F.col("a.c")) & _may("a", "b"))
-    removed = settled.unionByName(_removed(rest.select(F.col("a.c").alias("c"), F.col("b.c").alias("g")), classes))
+    shared = stored(_shared(classes))
     release(spark)
-    flagged = classes.select("c", "h", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")).join(removed.withColumn("removed", F.lit(True)), "c", "left")
-    return lines, flagged.drop("c").withColumn("removed", F.coalesce("removed", F.lit(False)))
+    settled = _removed(_near(shared), classes, docs)
+    removed = stored(settled.unionByName(_removed(_rest(shared, settled), classes, docs)))
+    discard(shared)
+    return classes, removed
 
 
-def remove_similar_lines(docs: DataFrame) -> DataFrame:
-    """docs with `kept` (the lines that stay), n_lines and n_removed added.
+def remove_similar_lines(docs: DataFrame, into: str = "line_dedup") -> DataFrame:
+    """docs with a struct column `into` added: kept (the text of the lines that stay), n_lines and n_removed.
 
     A line is removed when an earlier line, by (doc_id, line number), has a Jaccard similarity of words of 0.8 or more;
-    lines are judged on the input, and lines without words stay. Null and empty texts have no lines; a null doc_id comes
-    last; rows of equal doc_id and text are treated alike, and equal places of rows that share only the doc_id
-    don't remove each other. Columns that clash with the added ones are replaced.
+    lines are judged on the input, and lines without words stay. Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Null and
+    empty texts have no lines and kept is empty. A null doc_id comes last; rows of equal doc_id and text are treated
+    alike, and equal places of rows that share only the doc_id don't remove each other. Texts and lines of any length are
+    taken whole. No rows, no rows. Other columns pass through whatever their names; a column named `into` is an error.
     """
-    docs = docs.drop("kept", "n_lines", "n_removed", "_th", "_gone", "_id")
-    lines, classes = similar_lines(docs)
-    gone = lines.join(classes, "h").filter("removed or doc_id <> first_doc or line <> first_line")
-    gone = stored(gone.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("line").alias("_gone")))
+    if into in docs.columns:
+        raise ValueError(f"docs has a column {into} already")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(row.alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(_text(docs)).alias("th"), _text(docs).alias("text"))
+    classes, removed = similar_lines(keyed.select("doc_id", "th", "text"))
+    gone = classes.select("doc_id", "th", "line", "c", "at_first").join(removed.withColumn("similar", F.lit(True)), "c", "left").filter("similar or not at_first")
+    gone = stored(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone")))
+    discard(classes, removed)
     release(docs.sparkSession)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_th": F.xxhash64(text)}).join(gone, ["_id", "_th"], "left")
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    out = keyed.withColumns({"kept": kept, "n_lines": F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
-    return out.drop("_id", "_th", "_gone")
+    lines = F.split("text", "\n")
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    added = F.struct(kept.alias("kept"), F.when(F.col("text") == "", 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return keyed.join(gone, ["doc_id", "th"], "left").select("row.*", added.alias(into))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """docs without the lines that remove_similar_lines removes; columns as before, text and n_chars (where it exists) renewed where lines went."""
+    name = free_name(docs, "line_dedup")
+    found = remove_similar_lines(docs, name)
+    less = F.col(f"{name}.n_removed") > 0
+    renew = {"text": F.when(less, F.col(f"{name}.kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        renew["n_chars"] = F.when(less, F.length(f"{name}.kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumns(renew).drop(name)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_similar_lines(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2("line_dedup.kept", 256).alias("kept_sha256"))
