@@ -72,6 +72,7 @@ def free_name(df: DataFrame, name: str) -> str:
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of jobs whose results are stored."""
     gc.collect()
+    spark.range(1).count()  # a next job, as Spark holds on to the one just ended
     spark.sparkContext._jvm.System.gc()
 
 

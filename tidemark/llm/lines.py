@@ -26,7 +26,7 @@ from pyspark.sql.window import WindowSpec
 from tidemark.llm.common import discard, free_name, read, release, stored
 
 #: Buckets of the rarity sketch, a power of two.
-SKETCH = 1 << 16
+SKETCH = 1 << 20
 #: Bits of a word's hash; the level stands above them.
 HASH_BITS = 58
 #: Classes of one word that meet in one task, about.
@@ -54,12 +54,12 @@ def _bucket(h: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """A literal array of the level of each bucket: the logarithm of its count of words, above the bits of a hash."""
+    """A literal array of the level of each bucket: the logarithm of its count of words."""
     words = docs.select(F.explode(F.split(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     levels = [0] * SKETCH
     for b, n in words.select(_bucket(F.xxhash64("w")).alias("b")).groupBy("b").count().collect():  # at most SKETCH rows
-        levels[b] = min(31, int(math.log2(n + 1))) << HASH_BITS
-    return F.from_json(F.lit(json.dumps(levels)), "array<bigint>")
+        levels[b] = min(31, int(math.log2(n + 1)))
+    return F.from_json(F.lit(json.dumps(levels)), "array<tinyint>")
 
 
 def _prefix(n: Column) -> Column:
@@ -71,7 +71,7 @@ def _lines(docs: DataFrame, levels: Column) -> DataFrame:
     place = F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line", "l")
     hashes = F.transform(F.split("l", " "), lambda w: F.xxhash64(w))
     blank = F.xxhash64(F.lit(""))
-    codes = F.transform(F.array_remove(hashes, blank), lambda h: F.get(levels, _bucket(h)) + h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    codes = F.transform(F.array_remove(hashes, blank), lambda h: F.shiftleft(F.get(levels, _bucket(h)).cast("long"), HASH_BITS) + h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
     found = docs.select("doc_id", "th", place).select("doc_id", "th", "line", F.array_distinct(F.sort_array(codes)).alias("toks"))
     n = F.size("toks")
     parity = F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))))
