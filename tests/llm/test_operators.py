@@ -232,6 +232,8 @@ def test_packing(docs, rows, empty):
                 at += length
             assert at <= 2048 and len(s) <= limits.get("max_docs", 2048)
         assert sum(r.piece == 0 for r in found) == len(rows)
+        if not limits:  # the least number possible, as all but a few pieces are short
+            assert len(seqs) == -(-sum(r.length for r in found) // 2048)
     assert pack_documents(empty, default_tokenizer()).count() == 0
 
 
@@ -241,8 +243,9 @@ def test_packing_ids_are_those_of_whole_texts(docs, rows):
     from tidemark.llm.packing import default_tokenizer, pieces
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     want = []
+    rows = [*rows, (50, "say <|endoftext|> or<|startoftext|>x"), (51, "It's\u00a0n\u0303ot\x0bTHE\x0c\x1c end\u3000."), (52, "a" * 9000), (53, "<|EndOfText|> Mr.X's a.b,c;'.s don't.'t 1.2!?x <|endoftext|>.Y"), (54, "A\u0301.\u0323b İ.I ΑΣ. ǅ,x \u212a.K")]
+    docs = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
     for d, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
         want += [(d, i // 64, i, len(ids[i : i + 64]), zlib.crc32(np.array(ids[i : i + 64], "<u4").tobytes())) for i in range(0, len(ids), 64)]

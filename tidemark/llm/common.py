@@ -21,10 +21,10 @@ CHUNK_BYTES = 6 << 20
 #: Bytes hashed at a time: eight of these in 64-bit words are held.
 _BLOCK = 1 << 19
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -120,9 +120,9 @@ class Words:
 
     def __init__(self, column, lower: bool = False):
         raw, off = utf8(column)
-        self.buf = _LOWER[raw] if lower else raw
+        self.buf = LOWER[raw] if lower else raw
         self.off = off
-        space = _SPACE[self.buf]
+        space = SPACE[self.buf]
         word = ~space
         n = len(self.buf)
         begins = np.zeros(n + 1, dtype=bool)
@@ -142,7 +142,7 @@ class Words:
 
     def spaced(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(bytes, starts, ends): the words with one space between those of a text, and none between texts."""
-        keep = ~_SPACE[self.buf]
+        keep = ~SPACE[self.buf]
         inner = np.ones(len(self.starts), dtype=bool)
         inner[self.first[:-1][self.counts() > 0]] = False
         gaps = self.starts[inner] - 1  # the byte before each word that isn't the first of its text

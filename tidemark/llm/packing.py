@@ -5,11 +5,14 @@ length are alike, so the packing is planned on the histogram of lengths, which h
 the input: bins of equal content are one class with a count, and the longest pieces are placed first, each into
 the class that fits best: by the weighted dot product of what the piece needs and what the bin has left, or by the
 norm of what would be left. Pieces get their places by a rank within their length, made of salted counts, so that no
-length is ranked in one task.
+length is ranked in one task. As one piece may fill a sequence, no cost below tokens squared is possible where texts
+are cut at `tokens` only; documents and cost bind where a caller sets them lower for shorter pieces.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import zlib
 
 import numpy as np
@@ -17,57 +20,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read, slices, stored
-
-#: Pieces of one length and salt, about.
-SALT_ROWS = 100_000
-
-
-class _Encoder:
-    """Token ids of whole texts. Words are cut at spaces and line feeds, which the tokenizer drops, and each distinct word of a slice is encoded once."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.ids) > 400_000:
-            self.known, self.ids = {}, []
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*words).difference(self.known, ("",)))
-        for lo in range(0, len(new), 20_000):
-            for w, e in zip(new[lo : lo + 20_000], self.tokenizer.encode_batch_fast(new[lo : lo + 20_000], add_special_tokens=False)):
-                self.known[w] = len(self.ids)
-                self.ids.append(np.array(e.ids, np.uint32))
-        sizes = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        begin = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
-        get, out = self.known.__getitem__, []
-        for ws in words:
-            i = np.fromiter((get(w) for w in ws if w), np.int64)
-            n = sizes[i]
-            at = np.repeat(begin[i] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(i) else i, n) + np.arange(n.sum())
-            out.append(flat[at])
-        return out
+from tidemark.llm.common import LOWER, SPACE, read, slices, stored, utf8
+
+#: Pieces of one length that are ranked in one task, about.
+SALT_ROWS = 500
+#: Text whose distinct words are encoded together, and text turned over at a time.
+SLICE_BYTES, PART_BYTES = 32 << 20, 1 << 20
+_STOP, _ALNUM = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_STOP[list(b".,;:!?")] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+#: Pieces in a sequence of the registered query, at most.
+MAX_DOCS = 512
+
+
+def _items(column) -> tuple[pa.Array, np.ndarray]:
+    """(words, first word of each text): cut at blanks, which the tokenizer drops, and where a letter or digit meets a stop, where it cuts too."""
+    raw, off = utf8(column)
+    # Case is the tokenizer's to drop, but a special token's string stands for it in one spelling only.
+    buf = raw if b"<|" in raw.tobytes() else LOWER[raw]
+    keep, begins = ~SPACE[buf], np.zeros(len(buf) + 1, dtype=bool)
+    begins[off] = True
+    before = np.append(np.uint8(32), buf[:-1])[: len(buf)]
+    start = keep & (SPACE[before] | begins[:-1] | (_STOP[buf] & _ALNUM[before]) | (_ALNUM[buf] & _STOP[before]))
+    flat, place = buf[keep], np.cumsum(keep) - 1
+    starts = np.flatnonzero(start)
+    items = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(place[starts], len(flat))), pa.py_buffer(flat)])
+    return items.dictionary_encode(), np.searchsorted(starts, off)
+
+
+def token_ids(batch, tokenizer, end: int):
+    """(ids of all texts, each with `end` after it; where each text begins; doc ids) of runs of rows. Each distinct word of the batch is encoded once."""
+    parts = list(slices([batch], limit=PART_BYTES))
+    items, firsts = zip(*(_items(p.column(1)) for p in parts))
+    items = pa.chunked_array(items).unify_dictionaries().chunks
+    known, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+    distinct = items[0].dictionary
+    for lo in range(0, len(distinct), 20_000):
+        ids = [e.ids for e in tokenizer.encode_batch_fast(distinct.slice(lo, 20_000).to_pylist(), add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        known.append(np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(sizes[-1].sum())))
+    known, sizes = np.concatenate(known), np.concatenate(sizes)
+    begin = np.cumsum(sizes) - sizes
+    for part, words, first in zip(parts, items, firsts):
+        which = words.indices.to_numpy()
+        n = sizes[which]
+        stop = np.concatenate([[0], np.cumsum(n)])
+        texts = stop[first] + np.arange(len(first))
+        out = np.full(int(texts[-1]), end, "<u4")
+        inner = np.ones(len(out), dtype=bool)
+        inner[texts[1:] - 1] = False
+        out[inner] = known[np.repeat(begin[which] - stop[:-1], n) + np.arange(stop[-1])]
+        yield out, texts, part.column(0)
 
 
 def pieces(docs: DataFrame, tokenizer: str, tokens: int = 2048, end: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the ids of each text with `end` appended, cut only where longer than tokens."""
 
     def run(batches):
-        encoder = _Encoder(tokenizer)
-        for batch in slices(batches, limit=4 << 20):
-            rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder([t or "" for t in batch.column(1).to_pylist()])):
-                ids = np.append(ids, np.uint32(end)).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), tokens)):
-                    rows.append((doc_id, k, at, len(ids[at : at + tokens]), zlib.crc32(ids[at : at + tokens].tobytes())))
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        from tokenizers import Tokenizer
+
+        encoder = Tokenizer.from_file(tokenizer)
+        for batch in slices(batches, limit=SLICE_BYTES):
+            for ids, texts, doc_ids in token_ids(batch, encoder, end):
+                size = np.diff(texts)
+                count = -(-size // tokens)
+                row = np.repeat(np.arange(len(size)), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * tokens
+                length = np.minimum(tokens, size[row] - start)
+                crc = [zlib.crc32(ids[a : a + n]) for a, n in zip((texts[row] + start).tolist(), length.tolist())]
+                yield pa.record_batch([doc_ids.take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -134,10 +156,13 @@ def pack(found: DataFrame, tokens: int = 2048, max_docs: int | None = None, max_
     histogram = {int(r[0]): int(r[1]) for r in found.groupBy("length").count().collect()}  # at most `tokens` rows
     if not histogram:
         return found.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
-    salts = -(-max(histogram.values()) // SALT_ROWS)
+    salts = [1] * (tokens + 1)
+    for length, n in histogram.items():
+        salts[length] = -(-n // SALT_ROWS)
     spark = found.sparkSession
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    # At most tokens * salts rows.
+    of_length = F.element_at(F.from_json(F.lit(json.dumps(salts)), "array<bigint>"), F.col("length").cast("int") + 1)
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), of_length))
+    # A row for every SALT_ROWS pieces and length.
     base = salted.groupBy("length", "salt").count().withColumn("base", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
     ranked = salted.join(base, ["length", "salt"]).withColumn("rank", F.col("base") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
     placed = plan(histogram, tokens, max_docs, max_cost, rule)
@@ -152,7 +177,8 @@ def pack(found: DataFrame, tokens: int = 2048, max_docs: int | None = None, max_
 def pack_documents(docs: DataFrame, tokenizer: str, tokens: int = 2048, **limits) -> DataFrame:
     """One row per piece of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is the end id alone; repeated rows are packed each; other columns are not read.
+    A null or empty text is the end id alone; repeated rows are packed each, of a null doc_id as well; a long text has as
+    many pieces as it needs; other columns are not read. Strings of special tokens have the ids that the tokenizer gives.
     """
     return pack(pieces(docs, tokenizer, tokens), tokens, **limits)
 
@@ -164,4 +190,4 @@ def default_tokenizer() -> str:
 
 
 def op6_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read(spark, sf_dir, "documents"), default_tokenizer())
+    return pack_documents(read(spark, sf_dir, "documents"), default_tokenizer(), max_docs=MAX_DOCS)
