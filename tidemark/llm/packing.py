@@ -11,8 +11,10 @@ are cut at `tokens` only; documents and cost bind where a caller sets them lower
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
+import os
 import zlib
 
 import numpy as np
@@ -25,7 +27,7 @@ from tidemark.llm.common import LOWER, SPACE, read, slices, stored, utf8
 #: Pieces of one length that are ranked in one task, about.
 SALT_ROWS = 500
 #: Text whose distinct words are encoded together, and text turned over at a time.
-SLICE_BYTES, PART_BYTES = 32 << 20, 1 << 20
+SLICE_BYTES, PART_BYTES = 24 << 20, 1 << 20
 _STOP, _ALNUM = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _STOP[list(b".,;:!?")] = True
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -55,8 +57,8 @@ def token_ids(batch, tokenizer, end: int):
     items = pa.chunked_array(items).unify_dictionaries().chunks
     known, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
     distinct = items[0].dictionary
-    for lo in range(0, len(distinct), 20_000):
-        ids = [e.ids for e in tokenizer.encode_batch_fast(distinct.slice(lo, 20_000).to_pylist(), add_special_tokens=False)]
+    for lo in range(0, len(distinct), 4000):
+        ids = [e.ids for e in tokenizer.encode_batch_fast(distinct.slice(lo, 4000).to_pylist(), add_special_tokens=False)]
         sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
         known.append(np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(sizes[-1].sum())))
     known, sizes = np.concatenate(known), np.concatenate(sizes)
@@ -73,13 +75,20 @@ def token_ids(batch, tokenizer, end: int):
         yield out, texts, part.column(0)
 
 
+@functools.lru_cache(maxsize=1)
+def load(path: str):
+    """The tokenizer of a file, once in a worker; on one thread, as a task has one core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, tokens: int = 2048, end: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the ids of each text with `end` appended, cut only where longer than tokens."""
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_file(tokenizer)
+        encoder = load(tokenizer)
         for batch in slices(batches, limit=SLICE_BYTES):
             for ids, texts, doc_ids in token_ids(batch, encoder, end):
                 size = np.diff(texts)
