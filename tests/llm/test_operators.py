@@ -260,6 +260,9 @@ def test_bpe(docs, rows, empty):
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
+    rng = random.Random(2)
+    rows = [*rows, *((60 + k, "".join(rng.choice("abcde\u00e9\u4e2d\U0001f600\n 12") for _ in range(300))) for k in range(6)), (70, "".join(rng.choice("thereandiot") for _ in range(40_000))), (71, "a" * 5000)]
+    docs = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
     found = encode_decode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids", "decoded").collect()
     want = [(d, e.encode_ordinary(t or ""), (t or "").encode()) for d, t in rows]
     assert _sorted((r.doc_id, list(r.ids), bytes(r.decoded)) for r in found) == _sorted(want)

@@ -1,30 +1,32 @@
 """Byte-level BPE: ranked merges folded over distinct words by higher-order functions.
 
 Slices of documents are turned into their distinct words and the place of each word in each text. Spark then folds
-the merges over every distinct word: a word is an array of byte strings with the ranks of its neighbouring pairs,
-and a step joins the pair of least rank and looks up the two new pairs beside it. The rank map is one literal: an
-array of small maps found by hash, as a look-up in one large map would walk all of it. Decoding concatenates the
-binary pieces of the ids. Nothing is shuffled, and a slice has a bounded size.
+the merges over every distinct word: a word is an array of ids, of its bytes at first, with the ranks of the neighbouring
+pairs, and a step joins the pair of least rank, whose rank is the joined piece's id, and looks up the two new pairs
+beside it. The rank map is one literal: pairs of ids in hash buckets, as a look-up in one large map would walk all of
+it. Decoding concatenates the binary pieces of the ids. Nothing is shuffled, and a slice has a bounded size.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import read, slices
 
 #: Hash buckets of the literal rank map.
-BUCKETS = 1 << 16
+BUCKETS, SPREAD = 1 << 16, 40503
 #: Text of a slice, whose words are told apart together.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 16 << 20
+#: Bytes of a match that is folded; a step costs the length, so a longer one is encoded where it is found, with a heap.
+LONG = 1024
 NONE = 2147483647
 
 
@@ -38,16 +40,28 @@ def _chars(b: bytes) -> str:
     return b.decode("latin-1")
 
 
+def _literal(value, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def _literals(table: dict[bytes, int]) -> tuple[Column, Column]:
-    """(array of maps from a byte string, one character a byte, to its rank; array of binary pieces by id)."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    """(one: id of each byte, two: rank of each pair of bytes, k and v: bucketed pairs of ids and their ranks; binary pieces by id)."""
+    pairs: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in table.items():
-        s = _chars(piece)
-        buckets[xxhash.xxh64_intdigest(s.encode(), 42) % BUCKETS][s] = rank
+        for k in range(1, len(piece)):
+            a, b = table.get(piece[:k]), table.get(piece[k:])
+            if a is not None and b is not None:
+                pairs[(a * SPREAD + b) % BUCKETS][a << 32 | b] = rank
+    find = F.struct(
+        _literal([table[bytes([x])] for x in range(256)], "array<int>").alias("one"),
+        _literal([table.get(bytes([x, y]), NONE) for x in range(256) for y in range(256)], "array<int>").alias("two"),
+        _literal([list(x) for x in pairs], "array<array<bigint>>").alias("k"),
+        _literal([list(x.values()) for x in pairs], "array<array<int>>").alias("v"),
+    )
     pieces = [""] * (max(table.values()) + 1)
     for piece, rank in table.items():
         pieces[rank] = base64.b64encode(piece).decode()
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>"), F.from_json(F.lit(json.dumps(pieces)), "array<binary>")
+    return find, _literal(pieces, "array<binary>")
 
 
 def _bind(value: Column, use) -> Column:
@@ -55,47 +69,67 @@ def _bind(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _fold(word: Column, table: Column) -> Column:
+def _fold(word: Column, find: Column) -> Column:
     """Ids of one word given as a string with a character for each byte."""
 
-    def rank(s: Column) -> Column:
-        return F.coalesce(F.element_at(table, F.pmod(F.xxhash64(s), F.lit(BUCKETS)).cast("int") + 1)[s], F.lit(NONE))
+    def rank(x: Column, y: Column) -> Column:
+        def at(k: Column) -> Column:
+            place = F.array_position(F.get(find["k"], k), F.shiftleft(x.cast("long"), 32) + y)
+            return F.coalesce(F.get(F.get(find["v"], k), place.cast("int") - 1), F.lit(NONE))
 
-    def merge(state: Column, at: Column) -> Column:
-        p, r = state["p"], state["r"]
+        return _bind(((x.cast("long") * SPREAD + y) % BUCKETS).cast("int"), at)
 
-        def join(m: Column) -> Column:
-            empty = F.array().cast("array<int>")
-            left = F.when(at > 1, F.array(rank(F.concat(F.element_at(p, F.greatest(at - 1, F.lit(1))), m)))).otherwise(empty)
-            right = F.when(at < F.size(r), F.array(rank(F.concat(m, F.element_at(p, F.least(at + 2, F.size(p))))))).otherwise(empty)
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), at - 1), F.array(m), F.slice(p, at + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r))).alias("r"),
-            )
-
-        return _bind(F.concat(F.element_at(p, at), F.element_at(p, at + 1)), join)
+    def merge(state: Column, at: Column, m: Column) -> Column:
+        p, r = state["p"], state["r"]
+        empty = F.array().cast("array<int>")
+        left = F.when(at > 1, F.array(rank(F.get(p, at - 2), m))).otherwise(empty)
+        right = F.when(at < F.size(r), F.array(rank(m, F.get(p, at + 1)))).otherwise(empty)
+        return F.struct(
+            F.concat(F.slice(p, F.lit(1), at - 1), F.array(m), F.slice(p, at + 2, F.size(p))).alias("p"),
+            F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r))).alias("r"),
+        )
 
     def step(state: Column, _: Column) -> Column:
         least = F.array_min(state["r"])
-        return F.when(least < NONE, _bind(F.array_position(state["r"], least).cast("int"), lambda at: merge(state, at))).otherwise(state)
-
-    def start(chars: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: rank(F.concat(F.element_at(chars, i), F.element_at(chars, i + 1))))
-        state = F.struct(chars.alias("p"), pairs.alias("r"))
-        return F.transform(F.aggregate(F.sequence(F.lit(2), F.size(chars)), state, step)["p"], rank)
-
-    whole = rank(word)
-    many = _bind(F.split(word, ""), start)
-    return F.when((whole < NONE) | (F.length(word) < 2), F.array(whole)).otherwise(many)
-
-
-def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
-    """One row per slice of docs: its distinct matches as strings of a character a byte, and for each text the places of its matches in them."""
+        return F.when(least < NONE, _bind(F.array_position(state["r"], least).cast("int"), lambda at: merge(state, at, F.get(state["r"], at - 1)))).otherwise(state)
+
+    def start(codes: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.size(codes) - 1), lambda i: F.get(find["two"], F.get(codes, i - 1) * 256 + F.get(codes, i)))
+        state = F.struct(F.transform(codes, lambda c: F.get(find["one"], c)).alias("p"), pairs.alias("r"))
+        return F.aggregate(F.sequence(F.lit(2), F.size(codes)), state, step)["p"]
+
+    codes = F.transform(F.split(word, ""), lambda c: F.ascii(c))
+    return F.when(F.length(word) < 2, F.transform(codes, lambda c: F.get(find["one"], c))).otherwise(_bind(codes, start))
+
+
+def encode_long(piece: bytes, table: dict[bytes, int]) -> list[int]:
+    """Ids of one match, by a heap of pairs: the least rank first, the leftmost of equal ranks; n log n steps for n bytes."""
+    n = len(piece)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at each byte; 0: joined to another
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := table.get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = end[i]
+        if not j or j >= n or end[j] != stop:
+            continue  # one of the two has been joined to another since
+        end[i], end[j] = stop, 0
+        if stop < n:
+            before[stop] = i
+            if (r := table.get(piece[i : end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        if (k := before[i]) >= 0 and (r := table.get(piece[k:stop])) is not None:
+            heapq.heappush(heap, (r, k, stop))
+    return [table[piece[i:e]] for i, e in enumerate(end) if e]
+
+
+def distinct_words(docs: DataFrame, pattern: str, rank_file: str) -> DataFrame:
+    """One row per slice of docs: its distinct matches as strings of a character a byte, the ids of long ones, and for each text the places of its matches in words and then longer."""
 
     def run(batches):
         import regex
 
-        find = regex.compile(pattern).findall
+        find, table = regex.compile(pattern).findall, None
         for batch in slices(batches, limit=SLICE_BYTES):
             known: dict[str, int] = {}
             sizes, where = [], []
@@ -103,24 +137,33 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
                 found = find(text or "")
                 where.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found)))
                 sizes.append(len(found))
-            words = pa.array([_chars(w.encode()) for w in known], pa.string())
+            words = [w.encode() for w in known]
+            order = np.argsort([len(w) > LONG for w in words], kind="stable")  # short ones first
+            place = np.zeros(len(words), np.int32)
+            place[order] = np.arange(len(words))
+            words = [words[i] for i in order.tolist()]
+            cut = sum(len(w) <= LONG for w in words)
+            if cut < len(words):
+                table = table or ranks(rank_file)
+            longer = [encode_long(w, table) for w in words[cut:]]
             one = lambda x, t: pa.ListArray.from_arrays([0, len(x)], pa.array(x, t))
-            yield pa.record_batch([one(batch.column(0), pa.int64()), one(sizes, pa.int32()), one(np.concatenate(where), pa.int32()), one(words, pa.string())], names=["doc_ids", "sizes", "places", "words"])
+            yield pa.record_batch([one(batch.column(0), pa.int64()), one(sizes, pa.int32()), one(place[np.concatenate(where)], pa.int32()), one([_chars(w) for w in words[:cut]], pa.string()), one(longer, pa.list_(pa.int32()))], names=["doc_ids", "sizes", "places", "words", "longer"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_ids array<long>, sizes array<int>, places array<int>, words array<string>")
+    return docs.mapInArrow(run, "doc_ids array<long>, sizes array<int>, places array<int>, words array<string>, longer array<array<int>>")
 
 
 def encode_decode(docs: DataFrame, rank_file: str, pattern: str, keep: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded): every text encoded, and its ids decoded.
 
     ids and decoded (binary) are null unless keep is set. Null and empty texts have no tokens; repeated rows are
-    encoded each; no rows, no rows; other columns are not read. A match of a length n takes n folding steps.
+    encoded each; no rows, no rows; other columns are not read. A match of n bytes takes n folding steps of its length,
+    or n log n where it is longer than LONG; equal matches of a slice are encoded once.
     """
     table, pieces = _literals(ranks(rank_file))
-    sliced = distinct_words(docs, pattern)
+    sliced = distinct_words(docs, pattern, rank_file)
     # Each literal stands in the plan once and is bound to a variable there.
-    coded = sliced.withColumn("ids", _bind(table, lambda t: F.transform("words", lambda w: _fold(w, t)))).drop("words")
+    coded = sliced.withColumn("ids", F.concat(_bind(table, lambda t: F.transform("words", lambda w: _fold(w, t))), "longer")).drop("words", "longer")
     coded = coded.withColumn("decoded", _bind(pieces, lambda t: F.transform("ids", lambda ids: F.aggregate(ids, F.lit(b""), lambda a, i: F.concat(a, F.element_at(t, i + 1))))))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
