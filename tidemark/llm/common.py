@@ -152,6 +152,12 @@ class Words:
         place = np.cumsum(keep) - 1
         return flat[keep], place[self.starts], place[self.ends - 1] + 1
 
+    def codes(self) -> pa.DictionaryArray:
+        """The words themselves, dictionary-encoded."""
+        flat = self.buf[~SPACE[self.buf]]
+        offsets = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+        return pa.Array.from_buffers(pa.large_string(), len(self.starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
         out = np.empty(len(self.starts), np.uint64)

@@ -2,11 +2,12 @@
 
 1. Every document names a few anchor phrases: the phrase of `phrase` words with the least hash in each window.
    Equal windows name equal phrases, so a window that two documents share has an anchor that both name.
-2. Phrases named by two or more documents recur. They go, by their hash, to the batches of documents that named
-   them: each batch is a shard, which compiles its own Aho-Corasick automaton, so no automaton grows with the input.
-3. Each batch streams its documents through its automaton, which locates every occurrence of the phrases.
-   Windows whose anchor lies at an occurrence are candidates; the first document of each is found by its hash. A
-   document none of whose own anchors recurs has no such window and isn't streamed.
+2. Phrases, compared by their words, that two or more different texts name are confirmed as recurring. Each goes to
+   the batches of documents that named it: the phrases of a batch are a shard, compiled into an Aho-Corasick automaton
+   over words, so no automaton grows with the input.
+3. Each batch streams all its documents through its automaton, which locates every occurrence of the phrases.
+   Windows whose anchor lies at an occurrence are candidates. A batch tells its candidates apart by a 128-bit
+   BLAKE2 digest of their words, and a window meets others by one row a batch.
 4. The words of windows seen in an earlier document are removed.
 
 Copies of a text are told by sha256 before that, and only the first is searched: all of a later copy is repeated.
@@ -19,14 +20,15 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, read, release, rolling, slices, stored, text_size
+from tidemark.llm.common import Words, discard, read, release, rolling, slices, stored, text_size
 
 WINDOW, PHRASE = 50, 8
 #: Text of a batch: its documents, automaton and windows are held together.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 5 << 20
 
 
 def _anchors(h: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,67 +49,63 @@ def _keyed(docs: DataFrame, n_batches: int) -> DataFrame:
 
 
 def anchors(keyed: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(ph, batch, lo, hi): an anchor phrase by hash, and the least and greatest text, by hash, of the batch that name it."""
+    """(phrase, batch, th): the anchor phrases of each text, its words with one space between, and the text's hash."""
 
     def run(batches):
         for batch in slices(batches):
             words = Words(batch.column("text"))
             h, ids, which = words.hashes(), np.asarray(batch.column("th")), np.asarray(batch.column("batch"))
-            ph, row = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            flat, starts, ends = words.spaced()
+            place, row = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
                 if b - a >= window:
                     p, at = _anchors(h[a:b], window, phrase)
-                    ph.append(np.unique(p[np.unique(at)]))
-                    row.append(np.full(len(ph[-1]), i))
-            row = np.concatenate(row)
-            yield pa.record_batch([np.concatenate(ph).view(np.int64), which[row], ids[row]], names=["ph", "batch", "th"])
+                    at = np.unique(at)
+                    place.append(a + at[np.unique(p[at], return_index=True)[1]])
+                    row.append(np.full(len(place[-1]), i))
+            place, row, flat = np.concatenate(place), np.concatenate(row), flat.tobytes()
+            found = [flat[x:y] for x, y in zip(starts[place].tolist(), ends[place + phrase - 1].tolist())]
+            yield pa.record_batch([pa.array(found, pa.binary()).cast(pa.string()), which[row], ids[row]], names=["phrase", "batch", "th"])
 
-    found = keyed.filter("doc_id is not null").select(F.xxhash64("sha").alias("th"), "batch", "text").mapInArrow(run, "ph long, batch int, th long")
-    return found.groupBy("ph", "batch").agg(F.min("th").alias("lo"), F.max("th").alias("hi"))
+    return keyed.filter("doc_id is not null").select(F.xxhash64("sha").alias("th"), "batch", "text").mapInArrow(run, "phrase string, batch int, th long")
 
 
 def recurring(found: DataFrame) -> DataFrame:
     """(batch, phrases): what each batch named that two or more different texts name."""
-    twice = found.groupBy("ph").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("ph")
-    return found.select("ph", "batch").join(twice, "ph").groupBy("batch").agg(F.collect_list("ph").alias("phrases"))
+    twice = found.groupBy("phrase").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.collect_set("batch").alias("batches")).filter("lo < hi")
+    return twice.select("phrase", F.explode("batches").alias("batch")).groupBy("batch").agg(F.collect_list("phrase").alias("phrases"))
 
 
-def _locate(docs: pa.Table, phrases: np.ndarray, window: int, phrase: int):
-    """Streams a batch's documents through the automaton of its phrases: (row, start, window hash) of the candidates.
+def compile_phrases(phrases: pa.Array, dictionary: pa.Array, phrase: int) -> ahocorasick.Automaton:
+    """The automaton of phrases over the places of their words in dictionary, plus one; phrases of other words can't occur."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    words = pc.split_pattern(phrases, " ").flatten().cast(pa.large_string())
+    codes = pc.fill_null(pc.index_in(words, dictionary), -1).to_numpy().reshape(-1, phrase)
+    for key in (codes[(codes >= 0).all(axis=1)] + 1).tolist():
+        automaton.add_word(tuple(key))
+    automaton.make_automaton()
+    return automaton
 
-    phrases are sorted hashes; words are compared by their own characters, with one space before and after each, so
-    that phrase ends are word ends.
-    """
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+
+def _locate(docs: pa.RecordBatch, phrases: pa.Array, window: int, phrase: int):
+    """Streams documents through the automaton of phrases: (row, start, window digest) of the candidates."""
     words = Words(docs.column("text"))
-    h = words.hashes()
-    flat, starts, ends = words.spaced()
-    char = np.concatenate([[0], np.cumsum((flat & 0xC0) != 0x80)])  # characters before each byte
-    automaton, known, todo = ahocorasick.Automaton(), 0, []
+    codes, h = words.codes(), words.hashes()
+    automaton = compile_phrases(phrases, codes.dictionary, phrase)
+    which = codes.indices.to_numpy() + 1
+    flat, begin, end = words.spaced()
+    flat, digest = flat.tobytes(), hashlib.blake2b
+    rows, starts, digests = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], []
     for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
-        if b - a < window:
+        if b - a < window or not len(automaton):
             continue
-        p, at = _anchors(h[a:b], window, phrase)
-        mine = np.unique(at)
-        found = mine[phrases[np.minimum(np.searchsorted(phrases, p[mine]), len(phrases) - 1)] == p[mine]]
-        if not len(found):
-            continue
-        text = " " + flat[starts[a] : ends[b - 1]].tobytes().decode("utf-8", "replace") + " "
-        # The space before word j is at character place[j].
-        place = np.append(char[starts[a:b]] - char[starts[a]], len(text) - 1)
-        for j in found.tolist():
-            known += automaton.add_word(text[place[j] : place[j + phrase] + 1], known)
-        todo.append((i, a, b, text, place, at))
-    if not todo:
-        return out[0]
-    automaton.make_automaton()
-    for i, a, b, text, place, at in todo:
-        stops = np.fromiter((e for e, _ in automaton.iter(text)), np.int64)
-        hit = np.zeros(len(place), dtype=bool)
-        hit[np.searchsorted(place, stops) - phrase] = True
-        start = np.flatnonzero(hit[at])
-        out.append((np.full(len(start), i), start, rolling(h[a:b], window)[start]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+        hit = np.zeros(b - a, dtype=bool)
+        hit[np.fromiter((e for e, _ in automaton.iter(tuple(which[a:b].tolist()))), np.int64) - phrase + 1] = True
+        start = np.flatnonzero(hit[_anchors(h[a:b], window, phrase)[1]])
+        rows.append(np.full(len(start), i))
+        starts.append(start.astype(np.int32))
+        digests += [digest(flat[x:y], digest_size=16).digest() for x, y in zip(begin[start + a].tolist(), end[start + a + window - 1].tolist())]
+    return np.concatenate(rows), np.concatenate(starts), digests
 
 
 def _arrays(table: pa.Table, column: str) -> np.ndarray:
@@ -116,19 +114,27 @@ def _arrays(table: pa.Table, column: str) -> np.ndarray:
 
 
 def occurrences(keyed: DataFrame, found: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(wh, doc_id, key, start): windows by hash that may occur in two documents. found: phrases and copies of batches."""
+    """(wh, lo, hi, docs, keys, starts): windows that may occur in two documents, with the places of each in one batch.
+
+    found: phrases and copies of batches.
+    """
+    places = {"docs": pa.int64(), "keys": pa.int64(), "starts": pa.int32()}
+    schema = pa.schema([("wh", pa.binary()), ("lo", pa.int64()), ("hi", pa.int64()), *((k, pa.list_(t)) for k, t in places.items())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        phrases, copies = np.sort(_arrays(right, "phrases").view(np.uint64)), _arrays(right, "copies")
+        copies = _arrays(right, "copies")
+        phrases = pa.concat_arrays([pa.array([], pa.string()), *(x.flatten() for x in right.column("phrases").chunks)])
         left, tables = left.filter(pa.array(~np.isin(np.asarray(left.column("key")), copies))), []
         for part in slices(left.to_batches()) if len(phrases) else ():
             row, start, wh = _locate(part, phrases, window, phrase)
-            tables.append(pa.table([wh.view(np.int64), np.asarray(part.column("doc_id"))[row], np.asarray(part.column("key"))[row], start.astype(np.int32)], schema=schema))
-        return pa.concat_tables(tables) if tables else schema.empty_table()
+            tables.append(pa.table({"wh": pa.array(wh, pa.binary()), "docs": np.asarray(part.column("doc_id"))[row], "keys": np.asarray(part.column("key"))[row], "starts": start}))
+        if not tables:
+            return schema.empty_table()
+        met = pa.concat_tables(tables).group_by("wh", use_threads=False).aggregate([("docs", "min"), ("docs", "max"), *((k, "list") for k in places)])
+        return met.select(["wh", "docs_min", "docs_max", *(f"{k}_list" for k in places)]).rename_columns(schema.names).cast(schema)
 
-    schema = pa.schema([("wh", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int32())])
     docs = keyed.select("doc_id", "key", "text", "batch")
-    return docs.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(run, "wh long, doc_id long, key long, start int")
+    return docs.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(run, "wh binary, lo long, hi long, docs array<long>, keys array<long>, starts array<int>")
 
 
 def _kept(docs: pa.Table, marks: pa.Table, window: int, keep_text: bool) -> list:
@@ -167,7 +173,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
 
     One row per row of docs. Null and empty texts have no words; shorter texts lose none. A null doc_id is no
     smaller or larger than another: its text is left alone. Rows that share a doc_id don't repeat each other. Other
-    columns are not read. Windows are told apart by a 64-bit hash.
+    columns are not read.
     """
     spark = docs.sparkSession
     _, size = text_size(docs)
@@ -177,12 +183,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     firsts = ids.groupBy("sha").agg(F.min("doc_id").alias("first"))
     copies = stored(ids.join(firsts, "sha").filter("first < doc_id").groupBy("batch").agg(F.collect_set("key").alias("copies")))
     named = stored(anchors(keyed, window, phrase))
-    found = stored(recurring(named)).unionByName(copies, allowMissingColumns=True)
+    found = stored(recurring(named))
+    discard(named)
+    release(spark)
+    found = found.unionByName(copies, allowMissingColumns=True)
     cand = stored(occurrences(keyed.filter("doc_id is not null"), found, window, phrase))
     release(spark)
-    first = cand.groupBy("wh").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("wh", "first")
-    again = cand.join(first, "wh").filter("first < doc_id")
-    marks = again.groupBy("key").agg(F.collect_set("start").alias("starts"))
+    first = cand.groupBy("wh").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).filter("first < last").select("wh", "first")
+    again = cand.join(first, "wh").filter("first < hi").select("first", F.explode(F.arrays_zip("docs", "keys", "starts")).alias("at")).filter("first < at.docs")
+    marks = again.groupBy(F.col("at.keys").alias("key")).agg(F.collect_set("at.starts").alias("starts"))
     marks = stored(marks.withColumn("batch", F.pmod("key", F.lit(n_batches)).cast("int")))
     release(spark)
 
@@ -197,5 +206,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     return texts.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(run, "doc_id long, sha string, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
+def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs without the repeated words that remove_repeats tells; columns as before, text and n_chars (where it exists) renewed where words went.
+
+    Nulls, short and empty texts stay as they are; other columns pass through whatever their names.
+    """
+    found = remove_repeats(docs, window, keep_text=True).filter("n_removed > 0").select("doc_id", "sha", "kept").distinct()
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(row.alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256).alias("sha"))
+    met = keyed.join(found, ["doc_id", "sha"], "left")
+    renew = {"text": F.coalesce("kept", "row.text")}
+    if "n_chars" in docs.columns:
+        renew["n_chars"] = F.when(F.col("kept").isNotNull(), F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return met.select(*(renew[c].alias(c) if c in renew else F.col(f"row.`{c}`") for c in docs.columns))
+
+
 def op4_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
