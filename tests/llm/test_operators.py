@@ -270,14 +270,50 @@ def test_bpe(docs, rows, empty):
 
 
 def test_toxicity(spark, sf_dir, docs, rows, empty):
-    from tidemark.llm.toxicity import Grammar, detect
+    from tidemark.llm.toxicity import detect
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     found = detect(docs, labels)
-    assert found.count() == len(rows) and found.filter("score is null or score < 0 or score > 1").count() == 0
+    assert "score" in docs.columns and found.count() == len(rows) and found.filter("score is null or score < 0 or score > 1").count() == 0
     assert detect(empty, labels).count() == 0 and detect(docs, labels.limit(0)).select("score").distinct().count() == 1
+    bad = labels.select("doc_id", F.lit(7).alias("toxic")).limit(5).unionByName(labels.select("doc_id", "toxic"))
+    assert detect(docs, bad).count() == len(rows)
+
+
+def test_toxicity_grammar():
+    from tidemark.llm.toxicity import Grammar, Transducer, aim, forms, negation, speech
+
     g = Grammar({"idiot ": 1.0})
-    assert [g.clause(x) for x in ("an idiot", "you idiot", "not an idiot", "she said idiot", "i will kill you idiot", "idiots")] == [("bare", 1.0), ("aimed", 1.0), ("negated", 1.0), ("reported", 1.0), ("threat", 1.0), None]
+    cases = {
+        "an idiot": ["bare"], "you idiot": ["aimed"], "idiot that you are": ["aimed"], "not an idiot": ["negated"], "she said idiot": ["reported"],
+        "\"hello\" he is an idiot": ["aimed"], "he wrote \"idiot\"": ["reported"], "not an idiot but you idiot": ["negated", "aimed"], "idiots": [],
+        "i will kill you idiot": ["threat", "threat"], "i am killing you": ["threat"], "stabbed them": ["threat"], "wir verletzten euch": ["threat"], "i won't hurt you": [],
+        "you " + "and " * 400 + "idiot": ["aimed"], "nobody said " + "that " * 900 + "idiot": ["reported"],
+    }
+    for text, want in cases.items():
+        assert [label for label, _ in g.matches(text)] == want, text[:40]
+    assert g.features("you " + "and " * 400 + "idiot. fine")[1] == pytest.approx(math.log(2))
+    # A composed machine writes what its parts write one after the other.
+    rng, parts = random.Random(1), (negation(2), speech(), aim())
+    whole = parts[0].compose(parts[1]).compose(parts[2])
+    for _ in range(300):
+        symbols = [rng.choice(["word", "target", "negation", "report", "quote", "insult", "threat"]) for _ in range(12)]
+        steps, weight = symbols, 0.0
+        for p in parts:
+            out = p.run(steps)
+            steps, weight = [x for x, _ in out], weight + sum(w for _, w in out)
+        got = whole.run(symbols)
+        assert [x for x, _ in got] == steps and sum(w for _, w in got) == pytest.approx(weight)
+    assert isinstance(whole, Transducer) and "stabbing" in forms("stab", "en") and "burned" in forms("burn", "en") and "geschlagt" in forms("schlagen", "de")
+
+
+def test_toxicity_on_held_out_rows(spark):
+    from tidemark.llm.toxicity import op7_toxicity
+
+    sf_dir = "/root/testdata/sf0.1"  # the smaller ones have a handful of toxic rows
+    found = op7_toxicity(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").filter("held_out and toxic is not null")
+    hit, miss, wrong, clean = found.agg(*(F.expr(f"count_if({x})") for x in ("predicted = 1 and toxic = 1", "predicted = 0 and toxic = 1", "predicted = 1 and toxic = 0", "toxic = 0"))).first()
+    assert hit >= 0.85 * (hit + miss) and wrong <= 0.01 * clean
 
 
 def test_compaction(spark, docs, rows, tmp_path):

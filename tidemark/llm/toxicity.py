@@ -1,16 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Transducers read the tokens of a clause one by one and emit weighted labels:
+A lexical transducer reads the tokens of a clause and writes a symbol for each: an insult with a learnt weight, a target,
+a threat, a negation, a verb of saying, a quotation mark, or another word. Three transducers then rewrite these symbols:
 
-    insult    learnt word forms and word beginnings -> "insult" with a learnt weight
-    target    second and third person words         -> "target"
-    threat    verbs of harm                         -> "threat"
-    negation  words that deny                       -> "negated", for the next few tokens
-    report    verbs of saying, quotation marks      -> "reported", to the end of the clause
+    negation  an insult or threat within NEGATION_REACH tokens after a negation becomes a negated one
+    speech    an insult or threat within quotation marks, or after a verb of saying, becomes a reported one
+    aim       an insult in a clause with a target becomes an aimed one, after a threat at a target a threatening one
 
-Their composition is one automaton whose state is (negated for n tokens, reported, target seen, threat seen). A
-clause with an insult, or a threat at a target, leaves with one label: bare, aimed, threat, negated or reported. The
-score of a document is a logistic function of the sums over its matched clauses, with weights fitted on labelled rows.
+They are composed into one machine beforehand. Every match of a clause has its own label and adds its weight to that
+label; the score of a document is a logistic function of these sums, with weights fitted on labelled rows.
 """
 
 from __future__ import annotations
@@ -24,24 +22,120 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemark.llm.common import crc_remainder, read, slices
+from tidemark.llm.common import crc_remainder, free_name, read, slices
 
 # Closed word classes of the grammar in English, German, French and Spanish.
 TARGET = "you your yours yourself he she they him her them his their du dich dir ihr euch sie dein tu te toi vous votre ton il elle ils usted ustedes tú ti él ella ellos su".split()
-THREAT = "kill hurt beat destroy shoot stab burn töten schlagen verletzen tuer frapper détruire matar golpear destruir".split()
-NEGATION = "not no never isn't aren't wasn't don't nicht kein keine nie pas jamais non nunca ni".split()
-REPORT = "said says say wrote called quoted claimed reported sagte schrieb nannte dit écrit appelé dijo escribió llamó".split()
+NEGATION = "not no never isn't aren't wasn't don't doesn't won't nicht kein keine nie pas jamais non nunca ni".split()
+THREAT = {"en": "kill hurt beat destroy shoot stab burn strangle", "de": "töten schlagen verletzen erschießen", "fr": "tuer frapper blesser brûler", "es": "matar golpear destrozar quemar"}
+REPORT = {"en": "say claim report call quote shout", "de": "sagen behaupten nennen melden", "fr": "déclarer raconter appeler affirmer", "es": "llamar contar gritar declarar"}
+# Forms that the rules below don't make.
+IRREGULAR = {"threat": "shot beaten schlägt schlug geschlagen détruire détruit destruir destruye".split(), "report": "said wrote written told schrieb geschrieben nannte genannt dit disait écrit dijo escribió".split()}
+# The infinitive's ending of each language, and the endings in its place.
+ENDINGS = {"en": ("", " s ed ing"), "de": ("en", "e st t en te ten test tet end"), "fr": ("er", "e es er ons ez ent é ée és ait aient ant era"), "es": ("ar", "o as a amos an ar ando ado ada é ó aron aba ará")}
 
 #: Labelled rows that the lexicon and the weights are fitted on, at most; taken by the hash of their id.
 SAMPLE_ROWS = 8000
 #: Entries of the learnt lexicon, at most.
 LEXICON_ENTRIES = 4000
 NEGATION_REACH = 3
+THREAT_WEIGHT = 0.5
 LABELS = ("bare", "aimed", "threat", "negated", "reported")
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]")
 _CLAUSE = re.compile(r"[.!?;\n|]+")
-_CLASS = {**dict.fromkeys(TARGET, "target"), **dict.fromkeys(THREAT, "threat"), **dict.fromkeys(NEGATION, "negation"), **dict.fromkeys(REPORT, "report")}
+
+
+def forms(verb: str, language: str) -> list[str]:
+    """The verb and its regular forms."""
+    old, new = ENDINGS[language]
+    stem = verb.removesuffix(old)
+    if language == "en":
+        double = verb + verb[-1] if re.fullmatch(r"[^aeiou]+[aeiou][bgnpt]", verb) else verb
+        stem = verb.removesuffix("e")
+        return [verb, verb + "s", (double if double != verb else stem) + "ed", (double if double != verb else stem) + "ing"]
+    return [verb, *(stem + e for e in new.split(" ")), *(["ge" + stem + "t"] if language == "de" else [])]
+
+
+def _classes() -> dict[str, str]:
+    found = {}
+    for kind, verbs in (("report", REPORT), ("threat", THREAT)):
+        found |= {f: kind for language, words in verbs.items() for v in words.split() for f in forms(v, language)}
+        found |= dict.fromkeys(IRREGULAR[kind], kind)
+    return found | dict.fromkeys(TARGET, "target") | dict.fromkeys(NEGATION, "negation")
+
+
+_CLASS = _classes()
+SYMBOLS = ("word", "target", "negation", "report", "quote", "insult", "threat", "insult negated", "threat negated", "insult reported", "threat reported", "insult aimed", "insult threat", "threat aimed")
+
+
+class Transducer:
+    """A deterministic weighted transducer: arcs[state][symbol] is (next state, symbol written, weight); state 0 begins.
+
+    A symbol without an arc is written as it is, with no weight, and leads to rest[state].
+    """
+
+    def __init__(self, arcs: list[dict[str, tuple[int, str, float]]], rest: list[int] | None = None):
+        rest = rest or list(range(len(arcs)))
+        self.arcs = [{s: a.get(s, (r, s, 0.0)) for s in SYMBOLS} for a, r in zip(arcs, rest)]
+
+    def compose(self, other: "Transducer") -> "Transducer":
+        """The transducer that writes what other writes for what this one writes; weights add up."""
+        states, arcs = {(0, 0): 0}, []
+        for a, b in states_of(states):
+            row = {}
+            for symbol, (a2, middle, w) in self.arcs[a].items():
+                b2, out, v = other.arcs[b][middle]
+                row[symbol] = (states.setdefault((a2, b2), len(states)), out, w + v)
+            arcs.append(row)
+        return Transducer(arcs)
+
+    def run(self, symbols) -> list[tuple[str, float]]:
+        """The symbols written, with the weights of their arcs."""
+        state, out = 0, []
+        for symbol in symbols:
+            state, written, weight = self.arcs[state][symbol]
+            out.append((written, weight))
+        return out
+
+
+def states_of(states: dict):
+    """Keys of a dict that grows meanwhile."""
+    done = 0
+    while done < len(states):
+        yield list(states)[done]
+        done += 1
+
+
+def negation(reach: int) -> Transducer:
+    again = {"negation": (reach, "negation", 0.0)}
+    deny = [{**again, **{k: (n - 1, f"{k} negated", 0.0) for k in ("insult", "threat")}} for n in range(1, reach + 1)]
+    return Transducer([again, *deny], [0, *range(reach)])
+
+
+def speech() -> Transducer:
+    """States: outside, within quotation marks, after a verb of saying."""
+    said = {f"{k}{d}": (1, f"{k} reported", 0.0) for k in ("insult", "threat") for d in ("", " negated")}
+    told = {k: (2, w, v) for k, (_, w, v) in said.items()}
+    return Transducer([{"quote": (1, "quote", 0.0), "report": (2, "report", 0.0)}, {**said, "quote": (0, "quote", 0.0)}, told])
+
+
+def aim() -> Transducer:
+    """States: nothing yet, a target, a threat, a threat and a target. Threats at a target weigh THREAT_WEIGHT."""
+    target = lambda to: {"target": (to, "target", 0.0)}
+    return Transducer(
+        [
+            {**target(1), "threat": (2, "threat", 0.0)},
+            {**target(1), "insult": (1, "insult aimed", 0.0), "threat": (3, "threat aimed", THREAT_WEIGHT)},
+            {"target": (3, "threat aimed", THREAT_WEIGHT), "insult": (2, "insult threat", 0.0)},
+            {"insult": (3, "insult threat", 0.0)},
+        ]
+    )
+
+
+#: What a written symbol counts as; an insult before the target of its clause is aimed as well.
+_LABEL = {"insult": "bare", "insult aimed": "aimed", "insult threat": "threat", "threat aimed": "threat", "insult negated": "negated", "threat negated": "negated", "insult reported": "reported", "threat reported": "reported"}
 
 
 def _units(text: str) -> set[str]:
@@ -54,16 +148,15 @@ def _units(text: str) -> set[str]:
 
 
 class Grammar:
-    """The composed automaton. lexicon: unit -> weight."""
+    """The lexical transducer, by lexicon (unit -> weight), and the composed machine over its symbols."""
+
+    machine = negation(NEGATION_REACH).compose(speech()).compose(aim())
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
         self.finder = ahocorasick.Automaton()
-        for unit in lexicon:
-            self.finder.add_word(unit.rstrip(), unit)
-        for w in THREAT:
-            if w not in self.finder:
-                self.finder.add_word(w, w)
+        for unit in [*lexicon, *(w for w, kind in _CLASS.items() if kind == "threat")]:
+            self.finder.add_word(unit.rstrip(), len(unit.rstrip()))
         self.finder.make_automaton()
 
     def insult(self, token: str) -> float:
@@ -72,52 +165,31 @@ class Grammar:
             best = max(best, self.lexicon.get(token[:k], 0.0))
         return best
 
-    def clause(self, text: str) -> tuple[str, float] | None:
-        """Label and weight of one lower-cased clause; None if nothing matches."""
-        negated = weight = 0
-        reported = target = threat = False
-        label = None
-        for token in _TOKEN.findall(text):
-            kind = _CLASS.get(token)
-            if kind == "target":
-                target = True
-            elif kind == "negation":
-                negated = NEGATION_REACH + 1
-            elif kind == "report" or not token[0].isalpha():
-                reported = True
-            elif kind == "threat":
-                threat = True
-            got = self.insult(token)
-            if got > 0:
-                label = "reported" if reported else "negated" if negated > 0 else "threat" if threat else "aimed" if target else "bare"
-                weight += got
-            negated -= 1
-        if label is None and threat and target:
-            label, weight = ("reported" if reported else "threat"), 0.5
-        if label == "bare" and target:
-            label = "aimed"
-        return (label, weight) if label else None
+    def matches(self, clause: str) -> list[tuple[str, float]]:
+        """(label, weight) of each match of one lower-cased clause, of any length."""
+        symbols, weights = [], []
+        for token in _TOKEN.findall(clause):
+            weight = self.insult(token)
+            kind = "insult" if weight > 0 else _CLASS.get(token, "word") if token[0].isalpha() else "quote"
+            symbols.append(kind)
+            weights.append(weight)
+        written = self.machine.run(symbols)
+        aimed = "target" in symbols
+        found = [(_LABEL[w], weight + arc) for (w, arc), weight in zip(written, weights) if w in _LABEL]
+        return [("aimed" if label == "bare" and aimed else label, w) for label, w in found if w > 0]
 
     def features(self, text: str | None) -> list[float]:
-        """For each label the log of matched clauses; weight over all, weight a matched clause, density; a constant."""
+        """For each label the log of its weight; that over all, weight a match, density; whether anything matched; a constant."""
         low = (text or "").lower()
-        sums, counts = dict.fromkeys(LABELS, 0.0), dict.fromkeys(LABELS, 0)
-        done = -1
-        for end, unit in self.finder.iter(low):
-            if end < done:
-                continue
-            begin = end - len(unit.rstrip()) + 1
-            if begin and low[begin - 1].isalpha():
-                continue
-            left = max((m.end() for m in _CLAUSE.finditer(low, max(0, begin - 400), begin)), default=max(0, begin - 400))
-            right = _CLAUSE.search(low, end)
-            right = min(right.start() if right else len(low), end + 400)
-            got = self.clause(low[max(left, done) : right])
-            done = right
-            if got:
-                sums[got[0]] += got[1]
-                counts[got[0]] += 1
-        total, n = sum(sums.values()), sum(counts.values())
+        sums, n = dict.fromkeys(LABELS, 0.0), 0
+        for clause in _CLAUSE.split(low):
+            # Only clauses in which a known unit begins a word can match.
+            if any(not (at := end - size) + 1 or not clause[at].isalpha() for end, size in self.finder.iter(clause)):
+                got = self.matches(clause)
+                for label, weight in got:
+                    sums[label] += weight
+                n += bool(got)
+        total = sum(sums.values())
         return [*(math.log1p(sums[k]) for k in LABELS), math.log1p(total), total / n if n else 0.0, 1000 * total / (len(low) + 500), float(n > 0), 1.0]
 
 
@@ -143,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, entr
 
     What reaches the driver is bounded by the two parameters. Without a toxic row the lexicon is empty.
     """
-    train = labels.filter("doc_id is not null and toxic is not null").filter(crc_remainder("doc_id", 3) != 1)
+    train = labels.filter("doc_id is not null and toxic in (0, 1)").filter(crc_remainder("doc_id", 3) != 1)
     train = train.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(train), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").repartition(12).cache()
 
@@ -179,8 +251,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, entr
     return lexicon, fit_logistic(x, np.array([float(r[1]) for r in got]))
 
 
-def score(docs: DataFrame, model) -> DataFrame:
-    """docs with `score` (0 to 1) added; null and empty texts have the score of a text without a match."""
+def score(docs: DataFrame, model, into: str = "score") -> DataFrame:
+    """docs with `into` (0 to 1) added; null and empty texts have the score of a text without a match, long texts are read whole.
+
+    Other columns pass through; one that is named `into` is an error.
+    """
+    if into in docs.columns:
+        raise ValueError(f"docs has a column {into} already")
     lexicon, weights = model
 
     def run(batches):
@@ -188,11 +265,9 @@ def score(docs: DataFrame, model) -> DataFrame:
         for batch in slices(batches):
             x = np.array([grammar.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, N_FEATURES)
             p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, into])
 
-    docs = docs.drop("score")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*fields, "score double"]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, DoubleType())]))
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -210,5 +285,6 @@ def op7_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.7) -> Da
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """docs without those of a score of threshold or more."""
-    return score(docs, fit(docs, labels)).filter(F.col("score") < threshold).select(*docs.columns)
+    """docs without those of a score of threshold or more; columns as before, whatever their names."""
+    name = free_name(docs, "score")
+    return score(docs, fit(docs, labels), name).filter(F.col(f"`{name}`") < threshold).drop(name)
