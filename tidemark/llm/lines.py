@@ -26,7 +26,7 @@ from pyspark.sql.window import WindowSpec
 from tidemark.llm.common import discard, free_name, read, release, stored
 
 #: Buckets of the rarity sketch, a power of two.
-SKETCH = 1 << 20
+SKETCH = 1 << 18
 #: Bits of a word's hash; the level stands above them.
 HASH_BITS = 58
 #: Classes of one word that meet in one task, about.
@@ -57,7 +57,8 @@ def rarity(docs: DataFrame) -> Column:
     """A literal array of the level of each bucket: the logarithm of its count of words."""
     words = docs.select(F.explode(F.split(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     levels = [0] * SKETCH
-    for b, n in words.select(_bucket(F.xxhash64("w")).alias("b")).groupBy("b").count().collect():  # at most SKETCH rows
+    counts = words.select(_bucket(F.xxhash64("w")).alias("b")).groupBy("b").count().toArrow()  # at most SKETCH rows
+    for b, n in zip(counts.column("b").to_pylist(), counts.column("count").to_pylist()):
         levels[b] = min(31, int(math.log2(n + 1)))
     return F.from_json(F.lit(json.dumps(levels)), "array<tinyint>")
 

@@ -27,7 +27,7 @@ from tidemark.llm.common import LOWER, SPACE, read, slices, stored, utf8
 #: Pieces of one length that are ranked in one task, about.
 SALT_ROWS = 500
 #: Text whose distinct words are encoded together, and text turned over at a time.
-SLICE_BYTES, PART_BYTES = 24 << 20, 1 << 20
+SLICE_BYTES, PART_BYTES = 16 << 20, 1 << 20
 _STOP, _ALNUM = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _STOP[list(b".,;:!?")] = True
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -90,6 +90,7 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int = 2048, end: int = 0) ->
     def run(batches):
         encoder = load(tokenizer)
         for batch in slices(batches, limit=SLICE_BYTES):
+            pa.default_memory_pool().release_unused()
             for ids, texts, doc_ids in token_ids(batch, encoder, end):
                 size = np.diff(texts)
                 count = -(-size // tokens)
