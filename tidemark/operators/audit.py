@@ -12,20 +12,20 @@ SLOW_MS = 200
 
 
 def summary(log: DataFrame, slow_ms: int = SLOW_MS) -> DataFrame:
-    """One row of totals; the mean is an integer quotient, as are all means of these reports."""
+    """One row of totals. Mean and slow calls are those of successful calls; the mean is an integer quotient, as are all means of these reports."""
     ok = F.col("success")
     return log.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(ok).alias("succeeded"),
         F.count_if(~ok).alias("failed"),
         F.coalesce(half_up(F.count_if(~ok) / F.nullif(F.count(F.lit(1)), F.lit(0)), 4), F.lit(0.0)).alias("error_rate"),
-        F.coalesce(F.expr("sum(elapsed_ms) div nullif(count(1), 0)"), F.lit(0).cast("long")).alias("avg_ms"),
-        F.count_if(F.col("elapsed_ms") >= slow_ms).alias("slow"),
+        F.coalesce(F.expr("sum(if(success, elapsed_ms, 0)) div nullif(count_if(success), 0)"), F.lit(0).cast("long")).alias("avg_ms"),
+        F.count_if(ok & (F.col("elapsed_ms") >= slow_ms)).alias("slow"),
     )
 
 
 def percentiles(log: DataFrame, by: list[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """The value of rank floor(p * (n - 1)) of the successful rows of each group.
+    """The value of rank floor(p * (n - 1)) of the successful rows of each group, 0 for a group without any.
 
     Equal values are counted before they are ranked, so the window holds a row for each distinct value of a group.
     """
@@ -33,7 +33,8 @@ def percentiles(log: DataFrame, by: list[str], value: str, ps: dict[str, float])
     w = Window.partitionBy(*by)
     ranked = counts.withColumns({"hi": F.sum("c").over(w.orderBy(value)), "n": F.sum("c").over(w)})
     pick = lambda p: F.min(F.when(F.col("hi") > F.floor(F.lit(p) * (F.col("n") - 1)), F.col(value)))
-    return ranked.groupBy(*by).agg(*(pick(p).alias(name) for name, p in ps.items()))
+    found = ranked.groupBy(*by).agg(*(pick(p).alias(name) for name, p in ps.items()))
+    return log.select(*by).distinct().join(found, by, "left").na.fill(0, list(ps))
 
 
 def top(log: DataFrame, key: str, n: int = 10) -> DataFrame:
@@ -41,14 +42,14 @@ def top(log: DataFrame, key: str, n: int = 10) -> DataFrame:
 
 
 def peak_hour(log: DataFrame) -> DataFrame:
-    """The first hour of the most calls."""
+    """The first hour of the most calls; -1 for an empty log."""
     hours = log.groupBy(F.hour("started_at").cast("long").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    return hours.orderBy(F.desc("n"), "hour").limit(1)
+    return hours.agg(F.max(F.struct("n", -F.col("hour"))).alias("x")).select(F.coalesce(-F.col("x.col2"), F.lit(-1)).cast("long").alias("hour"), F.coalesce("x.n", F.lit(0)).cast("long").alias("n"))
 
 
 def worst_per_hash(log: DataFrame, n: int = 10) -> DataFrame:
-    """The slowest call of each statement, the first on ties; the slowest n of them, ties by hash."""
-    worst = log.groupBy("sql_hash").agg(F.max(F.struct("elapsed_ms", (-F.col("event_id")).alias("first"))).alias("w"))
+    """The slowest successful call of each statement, the first on ties; the slowest n of them, ties by hash."""
+    worst = log.filter("success").groupBy("sql_hash").agg(F.max(F.struct("elapsed_ms", (-F.col("event_id")).alias("first"))).alias("w"))
     return worst.select("sql_hash", F.col("w.elapsed_ms").alias("elapsed_ms"), (-F.col("w.first")).alias("event_id")).orderBy(F.desc("elapsed_ms"), "sql_hash").limit(n)
 
 
@@ -93,12 +94,12 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "workload_summary": _A + "SELECT count(*) AS total, count(*) FILTER (WHERE success) AS succeeded, count(*) FILTER (WHERE NOT success) AS failed, floor(count(*) FILTER (WHERE NOT success) / count(*) * 10000 + 0.5) / 10000 AS error_rate, (sum(elapsed_ms) // count(*))::BIGINT AS avg_ms, count(*) FILTER (WHERE elapsed_ms >= 200) AS slow FROM a",
-    "latency_percentiles": _A + ", r AS (SELECT profile, elapsed_ms, row_number() OVER (PARTITION BY profile ORDER BY elapsed_ms) - 1 AS k, count(*) OVER (PARTITION BY profile) AS n FROM a WHERE success) SELECT profile, " + ", ".join(f"max(CASE WHEN k = floor({p} * (n - 1)) THEN elapsed_ms END) AS {name}" for name, p in _PS.items()) + " FROM r GROUP BY profile",
+    "workload_summary": _A + "SELECT count(*) AS total, count(*) FILTER (WHERE success) AS succeeded, count(*) FILTER (WHERE NOT success) AS failed, floor(count(*) FILTER (WHERE NOT success) / count(*) * 10000 + 0.5) / 10000 AS error_rate, (sum(elapsed_ms) FILTER (WHERE success) // count(*) FILTER (WHERE success))::BIGINT AS avg_ms, count(*) FILTER (WHERE success AND elapsed_ms >= 200) AS slow FROM a",
+    "latency_percentiles": _A + ", r AS (SELECT profile, elapsed_ms, row_number() OVER (PARTITION BY profile ORDER BY elapsed_ms) - 1 AS k, count(*) OVER (PARTITION BY profile) AS n FROM a WHERE success) SELECT profile, " + ", ".join(f"coalesce(max(CASE WHEN k = floor({p} * (n - 1)) THEN elapsed_ms END), 0) AS {name}" for name, p in _PS.items()) + " FROM r RIGHT JOIN (SELECT DISTINCT profile FROM a) USING (profile) GROUP BY profile",
     "top_tools": _A + "SELECT tool, count(*) AS n FROM a GROUP BY tool ORDER BY n DESC, tool LIMIT 10",
     "errors_by_profile": _A + "SELECT profile, count(*) AS n FROM a WHERE NOT success GROUP BY profile ORDER BY n DESC, profile LIMIT 10",
     "peak_hour": _A + "SELECT hour(started_at)::BIGINT AS hour, count(*) AS n FROM a GROUP BY 1 ORDER BY n DESC, hour LIMIT 1",
-    "worst_per_hash": _A + ", r AS (SELECT *, row_number() OVER (PARTITION BY sql_hash ORDER BY elapsed_ms DESC, event_id) AS k FROM a) SELECT sql_hash, elapsed_ms, event_id FROM r WHERE k = 1 ORDER BY elapsed_ms DESC, sql_hash LIMIT 10",
+    "worst_per_hash": _A + ", r AS (SELECT *, row_number() OVER (PARTITION BY sql_hash ORDER BY elapsed_ms DESC, event_id) AS k FROM a WHERE success) SELECT sql_hash, elapsed_ms, event_id FROM r WHERE k = 1 ORDER BY elapsed_ms DESC, sql_hash LIMIT 10",
     "workload_breakdowns": _A + ", b AS (SELECT tool, hour(started_at)::BIGINT AS hour, success FROM a) SELECT tool, hour, count(*) AS calls, count(*) FILTER (WHERE NOT success) AS errors FROM b GROUP BY GROUPING SETS ((tool), (hour), ())",
     "slow_by_profile": _A + "SELECT profile, count(*) AS n, sum(elapsed_ms)::BIGINT AS total_ms, max(elapsed_ms) AS worst_ms, (count(*) * (sum(elapsed_ms) // count(*)))::BIGINT AS score FROM a WHERE success AND elapsed_ms >= 200 GROUP BY profile",
     "timeline_zero_fill": _A + ", l AS (SELECT max(started_at)::DATE AS last FROM a), d AS (SELECT unnest(generate_series(last - 13, last, INTERVAL 1 DAY))::DATE AS day FROM l), c AS (SELECT started_at::DATE AS day, count(*) AS n FROM a GROUP BY 1) SELECT day, coalesce(n, 0)::BIGINT AS calls FROM d LEFT JOIN c USING (day)",

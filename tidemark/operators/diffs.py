@@ -17,10 +17,9 @@ def versions(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """(key, kind): added, removed, or changed in any other column; equal rows don't come."""
-    sig = lambda d: d.select(key, F.xxhash64(*[c for c in d.columns if c != key]).alias("sig"))
-    a, b = sig(old).withColumnRenamed("sig", "old"), sig(new).withColumnRenamed("sig", "new")
-    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
+    """(key, kind): added, removed, or changed in any other column, a null differing from a value; equal rows don't come."""
+    a, b = (d.select(key, F.struct(*(c for c in old.columns if c != key)).alias(side)) for d, side in ((old, "old"), (new, "new")))
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
     return a.join(b, key, "full_outer").select(key, kind.alias("kind")).filter("kind is not null")
 
 
@@ -32,30 +31,43 @@ def upsert(base: DataFrame, update: DataFrame, key: str, facts: list[str]) -> Da
 
 
 def drift(local: DataFrame, other: DataFrame, key: str, column: str) -> DataFrame:
-    """Keys by class: local_gap, external_gap, conflict (case doesn't count) or same, with their number."""
-    m = local.select(key, F.lower(column).alias("a")).join(other.select(key, F.lower(column).alias("b")), key, "full_outer")
-    cls = F.when(F.col("a").isNull(), "local_gap").when(F.col("b").isNull(), "external_gap").when(F.col("a") != F.col("b"), "conflict").otherwise("same")
+    """Keys by class: local_gap, external_gap, conflict (case doesn't count; a null differs from a value) or same, with their number."""
+    m = local.select(key, F.struct(F.lower(column)).alias("a")).join(other.select(key, F.struct(F.lower(column)).alias("b")), key, "full_outer")
+    cls = F.when(F.col("a").isNull(), "local_gap").when(F.col("b").isNull(), "external_gap").when(~F.col("a").eqNullSafe(F.col("b")), "conflict").otherwise("same")
     return m.groupBy(cls.alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def keyed_hash(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The first 16 hex digits of sha256 over the columns joined by a bar."""
-    return df.select("*", F.substring(F.sha2(F.concat_ws("|", *columns), 256), 1, 16).alias("hash"))
+    """The first 16 hex digits of sha256 over the trimmed columns, each with its length before it, -1 for a null."""
+    part = lambda c: F.coalesce(F.concat(F.length(F.trim(c)).cast("string"), F.lit(":"), F.trim(c)), F.lit("-1:"))
+    return df.select("*", F.substring(F.sha2(F.concat(*map(part, columns)), 256), 1, 16).alias("hash"))
 
 
 def chain_breaks(log: DataFrame) -> DataFrame:
-    """Rows of (chain, seq, prev, hash) whose prev isn't the hash of the row before, or whose seq leaves a gap; by chain, their number and the first."""
+    """Rows of (chain, seq, prev, payload, hash) whose prev isn't the hash of the row before, whose hash isn't sha256(prev, line
+    feed, payload), or whose seq leaves a gap; by chain, their number and the first."""
     w = Window.partitionBy("chain").orderBy("seq")
-    bad = (F.coalesce(F.lag("hash").over(w), F.lit("")) != F.col("prev")) | (F.row_number().over(w) != F.col("seq"))
+    own = F.sha2(F.concat("prev", F.lit("\n"), "payload"), 256)
+    bad = (F.coalesce(F.lag("hash").over(w), F.lit("")) != F.col("prev")) | (own != F.col("hash")) | (F.row_number().over(w) != F.col("seq"))
     return log.withColumn("bad", bad).groupBy("chain").agg(F.count_if("bad").alias("breaks"), F.min(F.when(F.col("bad"), F.col("seq"))).alias("first_break"))
 
 
 def chained(events: DataFrame) -> DataFrame:
-    """Events as hash chains of a user, in which every 97th event points to a wrong hash."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    h = events.select(F.col("user_id").alias("chain"), "event_id", F.row_number().over(w).alias("seq"), F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props"), 256).alias("hash"))
-    prev = F.coalesce(F.lag("hash").over(Window.partitionBy("chain").orderBy("seq")), F.lit(""))
-    return h.select("chain", "seq", F.when(F.expr("event_id % 97 = 5"), "?").otherwise(prev).alias("prev"), "hash")
+    """Events as audit chains of a user and day, each payload canonical JSON and each hash over the hash before and the payload.
+
+    After that every 97th payload is changed, which a check has to find.
+    """
+    payload = F.to_json(F.struct("event_id", "event_type", "props"))
+    rows = events.groupBy(F.col("user_id").alias("user"), F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_list(F.struct("event_id", payload.alias("payload")))).alias("rows"))
+
+    def step(acc, row):
+        prev = F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], F.lit(""))
+        return F.concat(acc, F.array(F.struct(prev.alias("prev"), row["event_id"].alias("event_id"), row["payload"].alias("payload"), F.sha2(F.concat(prev, F.lit("\n"), row["payload"]), 256).alias("hash"))))
+
+    links = F.aggregate("rows", F.array().cast("array<struct<prev:string,event_id:bigint,payload:string,hash:string>>"), step)
+    out = rows.select(F.concat_ws("/", F.col("user").cast("string"), F.col("day").cast("string")).alias("chain"), F.posexplode(links).alias("i", "x"))
+    changed = F.when(F.expr("x.event_id % 97 = 5"), F.concat("x.payload", F.lit(" "))).otherwise(F.col("x.payload"))
+    return out.select("chain", (F.col("i") + 1).alias("seq"), "x.prev", changed.alias("payload"), "x.hash")
 
 
 def masked(df: DataFrame, columns: list[str], mask: str = "***") -> DataFrame:
@@ -91,8 +103,8 @@ ORACLE_SQL = {
     "upsert_merge": _V + "SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, coalesce(b.o_orderstatus, a.o_orderstatus) AS o_orderstatus, a.o_orderpriority FROM old a FULL JOIN new b ON a.o_orderkey = b.o_orderkey",
     "set_except": _V + "SELECT * FROM old EXCEPT ALL SELECT * FROM new",
     "drift_classes": _V + "SELECT CASE WHEN a.o_orderkey IS NULL THEN 'local_gap' WHEN b.o_orderkey IS NULL THEN 'external_gap' WHEN lower(a.o_orderstatus) <> lower(b.o_orderstatus) THEN 'conflict' ELSE 'same' END AS class, count(*) AS n FROM old a FULL JOIN new b ON a.o_orderkey = b.o_orderkey GROUP BY 1",
-    "sql_hash": "SELECT p_partkey, p_name, p_brand, substr(sha256(concat_ws('|', p_name, p_brand)), 1, 16) AS hash FROM part",
-    "chain_verify": "WITH h AS (SELECT user_id AS chain, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, sha256(concat_ws('|', event_id::VARCHAR, event_type, props)) AS hash FROM events), p AS (SELECT chain, seq, CASE WHEN event_id % 97 = 5 THEN '?' ELSE coalesce(lag(hash) OVER (PARTITION BY chain ORDER BY seq), '') END AS prev, hash FROM h), b AS (SELECT chain, seq, coalesce(lag(hash) OVER (PARTITION BY chain ORDER BY seq), '') <> prev AS bad FROM p) SELECT chain, count(*) FILTER (WHERE bad) AS breaks, min(CASE WHEN bad THEN seq END) AS first_break FROM b GROUP BY 1",
+    "sql_hash": "SELECT p_partkey, p_name, p_brand, substr(sha256(length(trim(p_name)) || ':' || trim(p_name) || length(trim(p_brand)) || ':' || trim(p_brand)), 1, 16) AS hash FROM part",
+    "chain_verify": "WITH e AS (SELECT user_id::VARCHAR || '/' || ts::DATE::VARCHAR AS chain, event_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) AS seq FROM events) SELECT chain, count(*) FILTER (WHERE event_id % 97 = 5) AS breaks, min(CASE WHEN event_id % 97 = 5 THEN seq END) AS first_break FROM e GROUP BY chain",
     "mask_columns": "SELECT c_custkey, '***' AS c_name, c_nationkey, '***' AS c_acctbal, c_mktsegment FROM customer",
     "result_caps": "WITH s AS (SELECT *, 17 + 16 + 14 + length(c_name) + 19 + 16 + 17 + 16 + 20 + length(c_mktsegment) AS size, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer), r AS (SELECT *, sum(size) OVER (ORDER BY c_custkey) AS total FROM s WHERE rn <= 1000) SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM r WHERE total <= 100000",
 }

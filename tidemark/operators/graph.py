@@ -20,10 +20,13 @@ def waits(orders: DataFrame) -> DataFrame:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """df as written to the checkpoint folder, which driver and executors share; a temporary one only where none is set."""
+    """df as written to the checkpoint folder, which driver and executors share; a temporary one only on one machine where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()
 
 
@@ -84,11 +87,11 @@ QUERIES = {
     "path_confidence": lambda s, d: supply_paths(table(s, d, "lineitem")),
 }
 
-_E = "WITH x AS (SELECT o_custkey AS blocker, lead(o_custkey) OVER (PARTITION BY o_orderdate, o_orderpriority ORDER BY o_orderkey) AS blocked FROM orders WHERE o_orderkey % 7 = 0), e AS (SELECT DISTINCT * FROM x WHERE blocked IS NOT NULL AND blocker <> blocked)"
+_E = "WITH x AS (SELECT o_custkey AS blocker, lead(o_custkey) OVER (PARTITION BY o_orderdate, o_orderpriority ORDER BY o_orderkey) AS blocked FROM orders), e AS (SELECT DISTINCT * FROM x WHERE blocked IS NOT NULL AND blocker <> blocked)"
 
 ORACLE_SQL = {
-    "lock_roots": _E.replace("WITH", "WITH RECURSIVE") + ", r AS (SELECT DISTINCT blocker AS root FROM e WHERE blocker NOT IN (SELECT blocked FROM e)), w AS (SELECT root, root AS node, 0 AS depth FROM r UNION SELECT root, blocked, depth + 1 FROM w JOIN e ON node = blocker WHERE depth < 3) SELECT root, count(DISTINCT node) AS affected FROM w WHERE node <> root GROUP BY root",
+    "lock_roots": _E.replace("WITH", "WITH RECURSIVE") + ", f AS (SELECT DISTINCT blocker FROM e WHERE blocker NOT IN (SELECT blocked FROM e)), r AS (SELECT blocker AS root FROM f UNION SELECT blocker FROM e WHERE NOT EXISTS (SELECT 1 FROM f)), w AS (SELECT root, root AS node FROM r UNION SELECT root, blocked FROM w JOIN e ON node = blocker) SELECT root, count(DISTINCT node) FILTER (WHERE node <> root) AS affected FROM w GROUP BY root",
     "lock_summary": _E + " SELECT count(*) AS edges, count(DISTINCT blocked) AS blocked, count(DISTINCT blocker) AS blockers FROM e",
     "one_hop_expand": _E + ", s AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal > 9500), n AS (SELECT blocked AS node FROM e WHERE blocker IN (SELECT node FROM s) UNION SELECT blocker FROM e WHERE blocked IN (SELECT node FROM s)) SELECT node, 0 AS tier FROM s UNION ALL SELECT node, 1 FROM n WHERE node NOT IN (SELECT node FROM s)",
-    "path_confidence": "WITH n AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2), t AS (SELECT l_suppkey, count(*) AS total FROM lineitem GROUP BY 1), e AS (SELECT l_suppkey, l_partkey, n / total AS conf FROM n JOIN t USING (l_suppkey) WHERE n >= 2) SELECT a.l_suppkey AS s1, b.l_suppkey AS s2, floor(greatest(max(least(a.conf, b.conf)) - 0.05::DOUBLE, 0.0::DOUBLE) * 100 + 0.5) / 100 AS confidence, count(*) AS paths FROM e a JOIN e b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2",
+    "path_confidence": "WITH n AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2), t AS (SELECT l_suppkey, count(*) AS total FROM lineitem GROUP BY 1), e AS (SELECT l_suppkey, l_partkey, n / total AS conf FROM n JOIN t USING (l_suppkey)) SELECT a.l_suppkey AS s1, b.l_suppkey AS s2, floor(greatest(max(least(a.conf, b.conf)) - 0.05::DOUBLE, 0.0::DOUBLE) * 100 + 0.5) / 100 AS confidence, count(*) AS paths FROM e a JOIN e b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2",
 }

@@ -44,34 +44,47 @@ def growth(series: DataFrame) -> DataFrame:
     return series.select("object", "day", "used", half_up((F.col("used") - F.lag("used").over(w)) / days, 3).alias("per_day")).filter("per_day is not null")
 
 
-def forecast(series: DataFrame, share: float = 1.01) -> DataFrame:
-    """Days until the size reaches its limit, here a share over the last size: critical to 7 days, a warning to 30."""
+def forecast(series: DataFrame, limits: DataFrame) -> DataFrame:
+    """Days until an object's size reaches its limit (object, max): critical to 7 days, a warning to 30; only what grows and has a limit."""
     w = Window.partitionBy("object").orderBy(F.desc("day"))
     last = growth(series).withColumn("rn", F.row_number().over(w)).filter("rn = 1 and per_day > 0")
-    days = half_up((F.ceil(F.col("used") * share) - F.col("used")) / F.col("per_day"), 2)
-    return last.select("object", "per_day", days.alias("days")).withColumn("level", F.expr("CASE WHEN days <= 7 THEN 'critical' WHEN days <= 30 THEN 'warning' ELSE 'ok' END"))
+    days = half_up(F.greatest(F.col("max") - F.col("used"), F.lit(0)) / F.col("per_day"), 2)
+    return last.join(limits, "object").filter("max > 0").select("object", "per_day", days.alias("days")).withColumn("level", F.expr("CASE WHEN days <= 7 THEN 'critical' WHEN days <= 30 THEN 'warning' ELSE 'ok' END"))
 
 
-def regressions(events: DataFrame) -> DataFrame:
-    """Fingerprints whose mean of a day is over 1.1 times that of their day before, and over 20."""
+def regressions(events: DataFrame, times: float = 2.0, least: float = 100.0) -> DataFrame:
+    """Fingerprints whose mean of a day is over `times` that of the snapshot before, and over `least`.
+
+    The snapshot before is that of the whole series: a fingerprint that lacks there isn't compared with an older one.
+    """
     daily = events.groupBy(F.col("user_id").alias("fingerprint"), F.to_date("ts").alias("day")).agg((F.sum(F.col("value").cast("decimal(18,2)")) / F.count(F.lit(1))).cast("decimal(18,4)").cast("double").alias("mean"))
-    before = F.lag("mean").over(Window.partitionBy("fingerprint").orderBy("day"))
-    return daily.withColumn("before", before).filter("mean > 1.1 * before and mean > 20")
+    days = daily.select("day").distinct()
+    before = days.select("day", F.lag("day").over(Window.orderBy("day")).alias("prev"))
+    old = daily.select("fingerprint", F.col("day").alias("prev"), F.col("mean").alias("before"))
+    found = daily.join(before, "day").join(old, ["fingerprint", "prev"]).select("fingerprint", "day", "mean", "before")
+    return found.filter((F.col("mean") > times * F.col("before")) & (F.col("mean") > least))
 
 
 def cooldown(alerts: DataFrame, key: str, at: str, seconds: int = COOLDOWN_S) -> DataFrame:
     """The alerts that fire: the first of a key, then each that comes `seconds` or more after the last that fired.
 
-    A key's distinct seconds are folded in order, as each firing depends on the one before.
+    Each firing depends on the one before, so a key's distinct seconds are streamed in order through one task, which
+    holds the last firing only.
     """
-    times = alerts.groupBy(key).agg(F.sort_array(F.collect_set(F.unix_seconds(F.col(at).cast("timestamp")))).alias("ts"))
-    empty = F.struct(F.array().cast("array<bigint>").alias("fired"), F.lit(None).cast("long").alias("last"))
+    times = alerts.select(key, F.unix_seconds(F.col(at).cast("timestamp")).alias("t")).dropna().distinct()
 
-    def step(acc, t):
-        fire = acc["last"].isNull() | (t - acc["last"] >= seconds)
-        return F.when(fire, F.struct(F.concat(acc["fired"], F.array(t)).alias("fired"), t.alias("last"))).otherwise(acc)
+    def fire(batches):
+        name = last = None
+        for batch in batches:
+            keep = []
+            for k, t in zip(batch[key], batch["t"]):
+                keep.append(last is None or k != name or t - last >= seconds)
+                if keep[-1]:
+                    name, last = k, t
+            yield batch[keep].rename(columns={"t": "fired_at"})
 
-    return times.select(key, F.explode(F.aggregate("ts", empty, step, lambda a: a["fired"])).alias("fired_at"))
+    kind = times.schema[key].dataType.simpleString()
+    return times.repartition(key).sortWithinPartitions(key, "t").mapInPandas(fire, f"`{key}` {kind}, fired_at long")
 
 
 def freshness(events: DataFrame, interval_s: int = 3600) -> DataFrame:
@@ -98,7 +111,7 @@ _ev = lambda s, d: table(s, d, "events")
 QUERIES = {
     "counter_rates": lambda s, d: counter_rates(hourly_counters(_ev(s, d))),
     "capacity_growth": lambda s, d: growth(capacity(table(s, d, "orders"))),
-    "exhaustion_forecast": lambda s, d: forecast(capacity(table(s, d, "orders"))),
+    "exhaustion_forecast": lambda s, d: forecast(capacity(table(s, d, "orders")), capacity(table(s, d, "orders")).groupBy("object").agg((F.max("used") + F.expr("max(used) div 50")).alias("max"))),
     "latency_regression": lambda s, d: regressions(_ev(s, d)),
     "alert_cooldown": lambda s, d: cooldown(_ev(s, d).filter("event_type = 'error'"), "user_id", "ts", 86400),
     "freshness": lambda s, d: freshness(_ev(s, d)),
@@ -111,8 +124,8 @@ _CAP = "WITH m AS (SELECT o_orderpriority AS object, date_trunc('month', o_order
 ORACLE_SQL = {
     "counter_rates": "WITH h AS (SELECT event_type AS metric, date_trunc('hour', ts) AS snap_at, count(*) AS k FROM events GROUP BY 1, 2), s AS (SELECT metric, snap_at, sum(k) OVER (PARTITION BY metric ORDER BY snap_at) AS counter FROM h), t AS (SELECT snap_at, lag(snap_at) OVER (ORDER BY snap_at) AS prev FROM (SELECT DISTINCT snap_at FROM s)) SELECT s.metric, s.snap_at, floor((s.counter - o.counter)::DOUBLE / (epoch(s.snap_at) - epoch(t.prev)) * 1000 + 0.5) / 1000 AS rate FROM s JOIN t ON s.snap_at = t.snap_at JOIN s o ON o.metric = s.metric AND o.snap_at = t.prev WHERE s.counter >= o.counter",
     "capacity_growth": _CAP + "SELECT object, day, used, per_day FROM g WHERE per_day IS NOT NULL",
-    "exhaustion_forecast": _CAP + ", l AS (SELECT *, row_number() OVER (PARTITION BY object ORDER BY day DESC) AS rn FROM g), f AS (SELECT object, per_day, floor((ceil(used * 1.01::DOUBLE) - used) / per_day * 100 + 0.5) / 100 AS days FROM l WHERE rn = 1 AND per_day > 0) SELECT object, per_day, days, CASE WHEN days <= 7 THEN 'critical' WHEN days <= 30 THEN 'warning' ELSE 'ok' END AS level FROM f",
-    "latency_regression": "WITH d AS (SELECT user_id AS fingerprint, ts::DATE AS day, round(sum(value::DECIMAL(18,2))::DOUBLE / count(*), 4) AS mean FROM events GROUP BY 1, 2), b AS (SELECT *, lag(mean) OVER (PARTITION BY fingerprint ORDER BY day) AS before FROM d) SELECT fingerprint, day, mean, before FROM b WHERE mean > 1.1 * before AND mean > 20",
+    "exhaustion_forecast": _CAP + ", l AS (SELECT *, row_number() OVER (PARTITION BY object ORDER BY day DESC) AS rn FROM g), f AS (SELECT object, per_day, floor((used + used // 50 - used) / per_day * 100 + 0.5) / 100 AS days FROM l WHERE rn = 1 AND per_day > 0) SELECT object, per_day, days, CASE WHEN days <= 7 THEN 'critical' WHEN days <= 30 THEN 'warning' ELSE 'ok' END AS level FROM f",
+    "latency_regression": "WITH d AS (SELECT user_id AS fingerprint, ts::DATE AS day, round(sum(value::DECIMAL(18,2))::DOUBLE / count(*), 4) AS mean FROM events GROUP BY 1, 2), t AS (SELECT day, lag(day) OVER (ORDER BY day) AS prev FROM (SELECT DISTINCT day FROM d)) SELECT d.fingerprint, d.day, d.mean, o.mean AS before FROM d JOIN t ON d.day = t.day JOIN d o ON o.fingerprint = d.fingerprint AND o.day = t.prev WHERE d.mean > 2 * o.mean AND d.mean > 100",
     "alert_cooldown": "WITH RECURSIVE e AS (SELECT DISTINCT user_id, floor(epoch(ts))::BIGINT AS t FROM events WHERE event_type = 'error'), f AS (SELECT user_id, min(t) AS fired_at FROM e GROUP BY 1 UNION ALL SELECT f.user_id, (SELECT min(t) FROM e WHERE e.user_id = f.user_id AND e.t >= f.fired_at + 86400) FROM f WHERE f.fired_at IS NOT NULL) SELECT user_id, fired_at FROM f WHERE fired_at IS NOT NULL",
     "freshness": "WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1), n AS (SELECT max(ts) AS newest FROM events) SELECT user_id, (floor(epoch(newest)) - floor(epoch(last)))::BIGINT AS age_s, floor(epoch(newest)) - floor(epoch(last)) > 7200 AS stale FROM l, n",
     "retention_days": "SELECT ts::DATE AS day, count(*) AS n FROM events WHERE ts::DATE >= (SELECT max(ts)::DATE - 7 FROM events) GROUP BY 1",
