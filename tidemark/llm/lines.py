@@ -188,16 +188,17 @@ def remove_similar_lines(docs: DataFrame, into: str = "line_dedup") -> DataFrame
     if into in docs.columns:
         raise ValueError(f"docs has a column {into} already")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    keyed = docs.select(row.alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(_text(docs)).alias("th"), _text(docs).alias("text"))
-    classes, removed = similar_lines(keyed.select("doc_id", "th", "text"))
+    place = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(_text(docs)).alias("th")
+    classes, removed = similar_lines(docs.select(*place, _text(docs).alias("text")))
     gone = classes.select("doc_id", "th", "line", "c", "at_first").join(removed.withColumn("similar", F.lit(True)), "c", "left").filter("similar or not at_first")
     gone = stored(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone")))
     discard(classes, removed)
     release(docs.sparkSession)
-    lines = F.split("text", "\n")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    added = F.struct(kept.alias("kept"), F.when(F.col("text") == "", 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
-    return keyed.join(gone, ["doc_id", "th"], "left").select("row.*", added.alias(into))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    lines = F.split(text, "\n")
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    added = F.struct(kept.alias("kept"), F.when(text == "", 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return docs.select(row.alias("row"), *place).join(gone, ["doc_id", "th"], "left").select("row.*", added.alias(into))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
