@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.operators import audit, catalog, diffs, graph, health, patterns, profiling, snapshots, text
+from tidemark.operators import audit, catalog, diffs, graph, health, patterns, profiling, rules, snapshots, text
 
-_MODULES = (audit, patterns, profiling, snapshots, graph, diffs, text, health, catalog)
+_MODULES = (audit, patterns, profiling, snapshots, graph, diffs, text, health, catalog, rules)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
