@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ SKETCH = 1 << 18
 HASH_BITS = 58
 #: Classes of one word that meet in one task, about.
 RANGE_ROWS = 20_000
+#: Slices of the words in which what is left meets.
+SLICES = 4
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
 LAST = 2**63 - 1
@@ -128,12 +131,15 @@ def _near(shared: DataFrame) -> DataFrame:
     return both.select("c", F.explode(F.array("p", "q")).alias("g")).filter("g is not null")
 
 
-def _rest(shared: DataFrame, settled: DataFrame) -> DataFrame:
-    """(c, g): classes not settled with all earlier classes of their words. Words of up to three classes have been met in full."""
-    shared = shared.filter("m > 3 or cut")
-    a = shared.select("t", "a").join(settled, F.col("a.c") == F.col("c"), "left_anti").alias("x")
-    b = shared.select(F.col("t").alias("t2"), F.col("a").alias("b"))
-    met = a.join(b, (F.col("t") == F.col("t2")) & _may("a", "b"))
+def _rest(shared: DataFrame, settled: DataFrame, slice_: int) -> DataFrame:
+    """(c, g): classes not settled with all earlier classes of their words, for one slice of the words.
+
+    The first three classes of a part have met in full.
+    """
+    one = shared.filter("m > 3 or cut").filter(F.pmod("t", F.lit(SLICES)) == slice_).select("t", "i", "cut", "a.*")
+    later = one.filter("i > 3 or cut").join(settled, "c", "left_anti")
+    side = lambda d, name: d.select("t", F.struct("c", "n", "left", "parity").alias(name)).alias(f"_{name}")
+    met = side(later, "a").join(side(one, "b"), (F.col("_a.t") == F.col("_b.t")) & _may("a", "b"))
     return met.select(F.col("a.c").alias("c"), F.col("b.c").alias("g"))
 
 
@@ -171,8 +177,13 @@ def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = stored(_shared(classes))
     release(spark)
     settled = _removed(_near(shared), classes, docs)
-    removed = stored(settled.unionByName(_removed(_rest(shared, settled), classes, docs)))
+    rest = []
+    for k in range(SLICES):  # one after the other, as the words of all would fill the disks with shuffle files
+        rest.append(stored(_rest(shared, settled, k).distinct()))
+        release(spark)
     discard(shared)
+    removed = stored(settled.unionByName(_removed(reduce(DataFrame.unionByName, rest), classes, docs)))
+    discard(settled, *rest)
     return classes, removed
 
 
