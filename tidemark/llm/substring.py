@@ -29,6 +29,8 @@ from tidemark.llm.common import Words, discard, read, release, rolling, slices,
 WINDOW, PHRASE = 50, 8
 #: Text of a batch: its documents, automaton and windows are held together.
 BATCH_BYTES = 5 << 20
+#: Symbols that stand for a word in an automaton.
+SYMBOLS = 3
 
 
 def _anchors(h: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,23 +78,35 @@ def recurring(found: DataFrame) -> DataFrame:
     return twice.select("phrase", F.explode("batches").alias("batch")).groupBy("batch").agg(F.collect_list("phrase").alias("phrases"))
 
 
-def compile_phrases(phrases: pa.Array, dictionary: pa.Array, phrase: int) -> ahocorasick.Automaton:
-    """The automaton of phrases over the places of their words in dictionary, plus one; phrases of other words can't occur."""
+def compile_phrases(phrases: pa.Array, dictionary: pa.Array, phrase: int) -> tuple[ahocorasick.Automaton, np.ndarray]:
+    """(automaton of phrases, symbols of each word of dictionary); phrases of other words can't occur.
+
+    A word is a few symbols, each from a small alphabet of its own, as the automaton looks through the branches of a
+    state one by one; alphabets that don't meet keep matches at the borders of words.
+    """
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
     words = pc.split_pattern(phrases, " ").flatten().cast(pa.large_string())
     codes = pc.fill_null(pc.index_in(words, dictionary), -1).to_numpy().reshape(-1, phrase)
-    for key in (codes[(codes >= 0).all(axis=1)] + 1).tolist():
+    codes = codes[(codes >= 0).all(axis=1)]
+    used = np.unique(codes)
+    number = np.zeros(len(dictionary), np.int64)  # 0: in no phrase
+    number[used] = np.arange(1, len(used) + 1)
+    base = 2
+    while base**SYMBOLS <= len(used):
+        base += 1
+    symbols = number[:, None] // base ** np.arange(SYMBOLS) % base + base * np.arange(SYMBOLS) + 1
+    for key in symbols[codes].reshape(len(codes), phrase * SYMBOLS).tolist():
         automaton.add_word(tuple(key))
     automaton.make_automaton()
-    return automaton
+    return automaton, symbols
 
 
 def _locate(docs: pa.RecordBatch, phrases: pa.Array, window: int, phrase: int):
     """Streams documents through the automaton of phrases: (row, start, window digest) of the candidates."""
     words = Words(docs.column("text"))
     codes, h = words.codes(), words.hashes()
-    automaton = compile_phrases(phrases, codes.dictionary, phrase)
-    which = codes.indices.to_numpy() + 1
+    automaton, symbols = compile_phrases(phrases, codes.dictionary, phrase)
+    which = codes.indices.to_numpy()
     flat, begin, end = words.spaced()
     flat, digest = flat.tobytes(), hashlib.blake2b
     rows, starts, digests = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], []
@@ -100,7 +114,8 @@ def _locate(docs: pa.RecordBatch, phrases: pa.Array, window: int, phrase: int):
         if b - a < window or not len(automaton):
             continue
         hit = np.zeros(b - a, dtype=bool)
-        hit[np.fromiter((e for e, _ in automaton.iter(tuple(which[a:b].tolist()))), np.int64) - phrase + 1] = True
+        ends = np.fromiter((e for e, _ in automaton.iter(tuple(symbols[which[a:b]].ravel().tolist()))), np.int64)
+        hit[ends // SYMBOLS - phrase + 1] = True
         start = np.flatnonzero(hit[_anchors(h[a:b], window, phrase)[1]])
         rows.append(np.full(len(start), i))
         starts.append(start.astype(np.int32))
