@@ -61,6 +61,13 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sized(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """A stored df, marked for broadcasting if its strings and columns are few bytes; otherwise as it is, for Spark to shuffle."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = F.coalesce(F.sum(sum(texts, F.lit(24 * len(df.columns)))), F.lit(0))
+    return F.broadcast(df) if df.agg(size).first()[0] <= most_bytes else df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores added until no column of df is called so."""
     taken = {c.lower() for c in df.columns}
