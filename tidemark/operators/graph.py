@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import settled
 from tidemark.sources.tables import table
 
 
@@ -19,28 +18,17 @@ def waits(orders: DataFrame) -> DataFrame:
     return e.filter("blocked is not null and blocker <> blocked").distinct()
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df as written to the checkpoint folder, which driver and executors share; a temporary one only on one machine where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
-
-
 def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(root, node, depth): nodes other than the root that it reaches, at their least depth.
 
     Breadth first: each round joins only the new frontier, less what is already reached, until nothing is new; cycles
     end by that.
     """
-    edges = _kept(edges)
+    edges = settled(edges)
     seen = frontier = start.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
     while not frontier.isEmpty():
         nxt = frontier.join(edges, frontier.node == edges.blocker).select("root", F.col("blocked").alias("node"), F.col("depth") + 1).distinct().toDF("root", "node", "depth")
-        frontier = _kept(nxt.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
+        frontier = settled(nxt.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
         seen = seen.unionByName(frontier)
     return seen.filter("depth > 0")
 
@@ -49,9 +37,9 @@ def lock_roots(edges: DataFrame) -> DataFrame:
     """Blockers that nobody blocks, and how many others wait on them, however far down; all blockers where each is blocked."""
     edges = edges.select("blocker", "blocked").dropna()
     blockers = edges.select(F.col("blocker").alias("node")).distinct()
-    roots = _kept(blockers.join(edges, F.col("node") == F.col("blocked"), "left_anti"))
+    roots = settled(blockers.join(edges, F.col("node") == F.col("blocked"), "left_anti"))
     if roots.isEmpty():
-        roots = _kept(blockers)
+        roots = settled(blockers)
     waiting = reach(edges, roots).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     return roots.select(F.col("node").alias("root")).join(waiting, "root", "left").select("root", F.coalesce("n", F.lit(0)).cast("long").alias("affected"))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.operators import audit, catalog, diffs, graph, health, patterns, profiling, rules, snapshots, text
+from tidemark.operators import audit, catalog, diffs, graph, health, patterns, profiling, retrieval, rules, snapshots, text
 from tidemark.streaming import alerts
 
-_MODULES = (audit, patterns, profiling, snapshots, graph, diffs, text, health, catalog, rules, alerts)
+_MODULES = (audit, patterns, profiling, snapshots, graph, diffs, text, health, catalog, rules, retrieval, alerts)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
