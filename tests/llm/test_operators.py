@@ -338,3 +338,24 @@ def test_pipeline_stages(spark, sf_dir):
     for name, stage in corpus.STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns, name
+
+
+def test_arrivals_by_any_value_are_kept(spark, tmp_path):
+    from tidemark.llm.compaction import Dataset
+
+    values = [None, "a:b", "x+y z", "50%", "", "plain", "é=1", "a/b"]
+    rows = [(i, values[i % len(values)]) for i in range(40)]
+    data = Dataset(spark, f"file://{tmp_path}/data", fan_in=3)
+    assert data.append(spark.createDataFrame(rows, "doc_id long, by string"), by="by") == 1
+    assert sorted(r.doc_id for r in data.read().collect()) == [i for i, _ in rows]
+    _, runs = data.manifest()
+    assert sum(r.rows for r in runs) == 40
+    data.compact()
+    assert data.read().count() == 40
+
+
+def test_empty_texts_share_one_sequence(spark):
+    from tidemark.llm.packing import pack
+
+    found = pack(spark.range(2048).selectExpr("id AS doc_id", "0 AS piece", "1L AS length")).agg(F.count_distinct("sequence_id"), F.count_distinct("offset")).first()
+    assert tuple(found) == (1, 2048)

@@ -106,8 +106,10 @@ class Dataset:
             prefix = uuid.uuid4().hex
             arrivals.write.partitionBy(by).parquet(f"{self.path}/runs/{prefix}")
             at = self.spark.read.parquet(f"{self.path}/runs/{prefix}") if any("=" in n for n in self.folder.names(f"runs/{prefix}")) else None
-            counts = {str(r[0]): r[1] for r in at.groupBy(by).count().collect()} if at is not None else {}
-            made = [(f"{prefix}/{n}", counts[n.split("=", 1)[1]]) for n in self.folder.names(f"runs/{prefix}") if "=" in n]
+            # By the name of their folder, which escapes the value; paths have that name encoded once more.
+            name = F.url_decode(F.replace(F.element_at(F.split("_metadata.file_path", "/"), -2), F.lit("+"), F.lit("%2B")))
+            counts = {r[0]: r[1] for r in at.groupBy(name).count().collect()} if at is not None else {}
+            made = [(f"{prefix}/{n}", counts[n]) for n in self.folder.names(f"runs/{prefix}") if "=" in n]
         new = [self._written(name, rows) for name, rows in made if rows]
         return self.commit(version, runs + new) if new else version
 
