@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from tidemark.operators import audit, catalog, diffs, feedback, graph, health, patterns, profiling, retrieval, rules, snapshots, text
-from tidemark.streaming import alerts
+from tidemark.streaming import alerts, collection
 
-_MODULES = (audit, patterns, profiling, snapshots, graph, diffs, text, health, catalog, rules, retrieval, feedback, alerts)
+_MODULES = (audit, patterns, profiling, snapshots, graph, diffs, text, health, catalog, rules, retrieval, feedback, alerts, collection)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
