@@ -99,17 +99,39 @@ def fleet_summary(scores: DataFrame) -> DataFrame:
     return scores.groupingSets([["status"], ["grade"], []], "status", "grade").agg(F.count(F.lit(1)).alias("n"), F.expr("sum(health) div count(1)").alias("mean_health"), F.min("health").alias("min_health"))
 
 
-def incidents(signals: DataFrame, by: str) -> DataFrame:
-    """Hypotheses of each instance ranked by score, and the status by the best: critical from 90, warning from 60, else info.
-
-    signals: by, maint_critical, lock_edges, failed_changes, running_changes, regressions (counts).
+# What a signal says of an incident, in the order in which equal scores stand; changes come after locks.
+HYPOTHESES = (
+    ("maint_critical > 0", 95, "maintenance"),
+    ("lock_edges > 0", 90, "lock_contention"),
+    (None, None, "recent_change"),
+    ("pool_status = 'critical'", 80, "connection_pool"),
+    ("pool_status = 'warning'", 60, "connection_pool"),
+    ("regressions > 0", 65, "workload_regression"),
+    ("drifted > 0", 55, "config_drift"),
+    ("maint_warning > 0", 50, "maintenance"),
+    ("long_running > 0", 45, "long_running_sessions"),
+    ("waiting > 0 AND NOT coalesce(long_running > 0, false)", 40, "waiting_sessions"),
+)
+CHANGE_SCORES = {"failed": 88, "rolled_back": 88, "rollback_required": 88, "executing": 75, "rolling_back": 75, "completed": 68}
+
+
+def incidents(signals: DataFrame, changes: DataFrame, by: str) -> DataFrame:
+    """(by, rank, category, score, confidence, status): the hypotheses of each instance, the likeliest first.
+
+    signals: by, maint_critical, maint_warning, lock_edges, regressions, drifted, long_running, waiting (counts; nulls
+    are 0) and pool_status; changes: by, seq, state, each of which is a hypothesis of its own; other states are none.
+    Sessions that wait count only where none runs long. confidence: high from 85, medium from 55. status: critical from
+    a best score of 85, degraded from 40; an instance without a hypothesis has no row and is ok.
     """
-    rules = [("maint_critical", 95, "maintenance"), ("lock_edges", 90, "lock_contention"), ("failed_changes", 88, "recent_change"), ("running_changes", 75, "running_change"), ("regressions", 60, "query_regression")]
-    made = F.array_compact(F.array(*(F.when(F.col(c) > 0, F.struct(F.lit(s).alias("score"), F.lit(k).alias("category"))) for c, s, k in rules)))
-    rows = signals.select(by, F.explode(made).alias("x")).select(by, "x.*")
-    w = Window.partitionBy(by).orderBy(F.desc("score"), "category")
+    made = [F.when(F.expr(when), F.struct(F.lit(s).alias("score"), F.lit(i).alias("place"), F.lit(0).cast("long").alias("seq"), F.lit(k).alias("category"))) for i, (when, s, k) in enumerate(HYPOTHESES) if when]
+    rows = signals.select(by, F.explode(F.array_compact(F.array(*made))).alias("x")).select(by, "x.*")
+    score = F.try_element_at(F.create_map(*(F.lit(x) for kv in CHANGE_SCORES.items() for x in kv)), F.col("state"))
+    place = next(i for i, h in enumerate(HYPOTHESES) if h[0] is None)
+    rows = rows.unionByName(changes.select(by, score.alias("score"), F.lit(place).alias("place"), F.col("seq").cast("long").alias("seq"), F.lit("recent_change").alias("category")).filter("score IS NOT NULL"))
+    w = Window.partitionBy(by).orderBy(F.desc("score"), "place", "seq")
     best = F.max("score").over(Window.partitionBy(by))
-    return rows.select(by, "category", F.col("score").cast("long").alias("score"), F.row_number().over(w).cast("long").alias("rank"), F.when(best >= 90, "critical").when(best >= 60, "warning").otherwise("info").alias("status"))
+    status = F.when(best >= 85, "critical").when(best >= 40, "degraded").otherwise("ok")
+    return rows.select(by, F.row_number().over(w).cast("long").alias("rank"), "category", F.col("score").cast("long").alias("score"), F.when(F.col("score") >= 85, "high").when(F.col("score") >= 55, "medium").otherwise("low").alias("confidence"), status.alias("status"))
 
 
 def compliance(controls: DataFrame, by: str) -> DataFrame:
@@ -162,7 +184,11 @@ def _signals(s, d):
 
 def _incident_signals(s, d):
     c = lambda x: F.count_if(F.expr(x))
-    return _events(s, d).groupBy(F.col("user_id").alias("instance")).agg(c("event_type = 'error' and k = 99").alias("maint_critical"), c("event_type = 'error' and k = 98").alias("lock_edges"), c("event_type = 'view' and k = 97").alias("failed_changes"), c("event_type = 'click' and k < 3").alias("running_changes"), c("value > 200").alias("regressions"))
+    pool = F.when(F.max("value") > 250, "critical").when(F.max("value") > 180, "warning")
+    counts = {"maint_critical": "event_type = 'error' and k = 99", "maint_warning": "event_type = 'error' and k in (97, 98)", "lock_edges": "event_type = 'view' and k = 98", "regressions": "value > 200", "drifted": "event_type = 'click' and k < 2", "long_running": "event_type = 'signup' and k = 7", "waiting": "event_type = 'signup' and k < 5"}
+    signals = _events(s, d).groupBy(F.col("user_id").alias("instance")).agg(*(c(x).alias(n) for n, x in counts.items()), pool.alias("pool_status"))
+    changes = _events(s, d).filter("event_type = 'purchase'").selectExpr("user_id AS instance", "event_id AS seq", "CASE k WHEN 1 THEN 'failed' WHEN 2 THEN 'rolled_back' WHEN 3 THEN 'executing' WHEN 4 THEN 'completed' WHEN 5 THEN 'rollback_required' WHEN 6 THEN 'rolling_back' ELSE 'draft' END AS state")
+    return signals, changes
 
 
 _WINDOWS = [("22:30", "03:15", ["fri", "sat"]), ("09:00", "12:00", [])]
@@ -176,7 +202,7 @@ QUERIES = {
     "maintenance_window": lambda s, d: table(s, d, "events").select("event_id", in_window(F.col("ts"), *_WINDOWS[0]).alias("weekend_night"), in_window(F.col("ts"), *_WINDOWS[1]).alias("morning")),
     "fleet_scores": lambda s, d: fleet_scores(_signals(s, d), "instance"),
     "fleet_summary": lambda s, d: fleet_summary(fleet_scores(_signals(s, d), "instance")),
-    "incident_rank": lambda s, d: incidents(_incident_signals(s, d), "instance"),
+    "incident_rank": lambda s, d: incidents(*_incident_signals(s, d), "instance"),
     "compliance_counts": lambda s, d: compliance(_events(s, d).selectExpr("user_id AS instance", "CASE WHEN event_type = 'error' THEN 'fail' WHEN k % 4 = 0 THEN 'manual' ELSE 'pass' END AS result"), "instance"),
     "tps_fallback": lambda s, d: tps(_events(s, d).filter("event_type IN ('view', 'click', 'purchase')").groupBy(F.col("user_id").alias("object"), F.expr("CASE event_type WHEN 'view' THEN 'commit' WHEN 'click' THEN 'rollback' ELSE 'tps' END").alias("metric")).agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("m")).filter("metric <> 'tps' OR m > 90").select("object", "metric", (F.col("n") / 4).alias("rate"))),
     "prometheus_text": lambda s, d: prometheus(table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "calls_total", "event_type", "n"),
@@ -198,7 +224,7 @@ ORACLE_SQL = {
     "maintenance_window": "WITH m AS (SELECT event_id, hour(ts) * 60 + minute(ts) AS t, isodow(ts) AS day FROM events) SELECT event_id, (t >= 1350 AND day IN (5, 6)) OR (t < 195 AND day IN (6, 7)) AS weekend_night, t >= 540 AND t < 720 AS morning FROM m",
     "fleet_scores": _SC + "SELECT * FROM f",
     "fleet_summary": _SC + "SELECT status, grade, count(*) AS n, (sum(health) // count(*))::BIGINT AS mean_health, min(health) AS min_health FROM f GROUP BY GROUPING SETS ((status), (grade), ())",
-    "incident_rank": _EV + ", c AS (SELECT user_id AS instance, count(*) FILTER (WHERE event_type = 'error' AND k = 99) AS m, count(*) FILTER (WHERE event_type = 'error' AND k = 98) AS l, count(*) FILTER (WHERE event_type = 'view' AND k = 97) AS f, count(*) FILTER (WHERE event_type = 'click' AND k < 3) AS r, count(*) FILTER (WHERE value > 200) AS q FROM e GROUP BY 1), h AS (SELECT instance, 'maintenance' AS category, 95 AS score FROM c WHERE m > 0 UNION ALL SELECT instance, 'lock_contention', 90 FROM c WHERE l > 0 UNION ALL SELECT instance, 'recent_change', 88 FROM c WHERE f > 0 UNION ALL SELECT instance, 'running_change', 75 FROM c WHERE r > 0 UNION ALL SELECT instance, 'query_regression', 60 FROM c WHERE q > 0) SELECT instance, category, score::BIGINT AS score, row_number() OVER (PARTITION BY instance ORDER BY score DESC, category) AS rank, CASE WHEN max(score) OVER (PARTITION BY instance) >= 90 THEN 'critical' ELSE 'warning' END AS status FROM h",
+    "incident_rank": _EV + ", c AS (SELECT user_id AS instance, count(*) FILTER (WHERE event_type = 'error' AND k = 99) AS mc, count(*) FILTER (WHERE event_type = 'error' AND k IN (97, 98)) AS mw, count(*) FILTER (WHERE event_type = 'view' AND k = 98) AS l, count(*) FILTER (WHERE value > 200) AS q, count(*) FILTER (WHERE event_type = 'click' AND k < 2) AS dr, count(*) FILTER (WHERE event_type = 'signup' AND k = 7) AS lr, count(*) FILTER (WHERE event_type = 'signup' AND k < 5) AS wa, max(value) AS top FROM e GROUP BY 1), h AS (SELECT instance, 'maintenance' AS category, 95 AS score, 0 AS seq FROM c WHERE mc > 0 UNION ALL SELECT instance, 'lock_contention', 90, 0 FROM c WHERE l > 0 UNION ALL SELECT user_id, 'recent_change', CASE WHEN k IN (1, 2, 5) THEN 88 WHEN k IN (3, 6) THEN 75 ELSE 68 END, event_id FROM e WHERE event_type = 'purchase' AND k BETWEEN 1 AND 6 UNION ALL SELECT instance, 'connection_pool', CASE WHEN top > 250 THEN 80 ELSE 60 END, 0 FROM c WHERE top > 180 UNION ALL SELECT instance, 'workload_regression', 65, 0 FROM c WHERE q > 0 UNION ALL SELECT instance, 'config_drift', 55, 0 FROM c WHERE dr > 0 UNION ALL SELECT instance, 'maintenance', 50, 0 FROM c WHERE mw > 0 UNION ALL SELECT instance, 'long_running_sessions', 45, 0 FROM c WHERE lr > 0 UNION ALL SELECT instance, 'waiting_sessions', 40, 0 FROM c WHERE wa > 0 AND lr = 0) SELECT instance, row_number() OVER (PARTITION BY instance ORDER BY score DESC, seq) AS rank, category, score::BIGINT AS score, CASE WHEN score >= 85 THEN 'high' WHEN score >= 55 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN max(score) OVER (PARTITION BY instance) >= 85 THEN 'critical' ELSE 'degraded' END AS status FROM h",
     "compliance_counts": _EV + ", r AS (SELECT user_id AS instance, CASE WHEN event_type = 'error' THEN 'fail' WHEN k % 4 = 0 THEN 'manual' ELSE 'pass' END AS result FROM e), n AS (SELECT instance, count(*) FILTER (WHERE result = 'pass') AS pass, count(*) FILTER (WHERE result = 'fail') AS fail, count(*) FILTER (WHERE result = 'manual') AS manual FROM r GROUP BY 1) SELECT *, coalesce(pass * 100 // nullif(pass + fail, 0), 100)::BIGINT AS score FROM n",
     "tps_fallback": _EV + ", m AS (SELECT user_id AS object, event_type, count(*) / 4 AS rate, max(k) AS m FROM e WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1, 2) SELECT object, coalesce(max(rate) FILTER (WHERE event_type = 'purchase' AND m > 90), coalesce(max(rate) FILTER (WHERE event_type = 'view'), 0) + coalesce(max(rate) FILTER (WHERE event_type = 'click'), 0))::DOUBLE AS tps FROM m WHERE event_type <> 'purchase' OR m > 90 GROUP BY 1",
     "prometheus_text": "SELECT 'calls_total{event_type=\"' || event_type || '\"} ' || count(*)::VARCHAR AS line FROM events GROUP BY event_type",

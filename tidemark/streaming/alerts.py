@@ -100,14 +100,19 @@ def daily_snapshots(events: DataFrame) -> DataFrame:
     return daily.select("profile", F.unix_seconds(F.col("day").cast("timestamp")).alias("snap_at"), "metric", counter.alias("counter"))
 
 
-def alert_sources(events: DataFrame, capacity: DataFrame, limits: DataFrame) -> DataFrame:
-    """(code, at) of every source: latency regressions by fingerprint, and objects at 80 or 90 % of their limit by object and level."""
+def alert_sources(events: DataFrame, capacity: DataFrame, limits: DataFrame, warnings: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(code, at) of every source: what an alert is about, and not how bad it is, so that a worse level of the same thing is quiet too.
+
+    Latency regressions by fingerprint; objects at 80 % of their limit or more; warnings (text, day) that speak of
+    drift, by their first 60 characters (57 and dots); evidence (kind, severity, day) that is a warning or critical.
+    """
     seconds = F.unix_seconds(F.col("day").cast("timestamp")).alias("at")
     slower = snapshots.regressions(events).select(F.concat(F.lit("latency:"), F.col("fingerprint").cast("string")).alias("code"), seconds)
-    used = F.col("used") * 100
-    level = F.when(used >= F.col("max") * 90, "critical").when(used >= F.col("max") * 80, "warning")
-    full = capacity.join(limits, "object").filter("max > 0").select(F.concat(F.lit("capacity:"), "object", F.lit(":"), level).alias("code"), seconds)
-    return slower.unionByName(full.filter("code is not null"))
+    full = capacity.join(limits, "object").filter("max > 0 AND used * 100 >= max * 80").select(F.concat(F.lit("capacity:"), "object").alias("code"), seconds)
+    short = F.when(F.length("text") > 60, F.concat(F.left("text", F.lit(57)), F.lit("..."))).otherwise(F.col("text"))
+    drift = warnings.filter("lower(text) LIKE '%drift%' OR lower(text) LIKE '%diverge%'").select(F.concat(F.lit("schema_drift:"), short).alias("code"), seconds)
+    shown = evidence.filter("severity IN ('warning', 'critical')").select(F.concat(F.lit("evidence:"), "kind").alias("code"), seconds)
+    return slower.unionByName(full).unionByName(drift).unionByName(shown)
 
 
 def newest(alerts: DataFrame, n: int = 100) -> DataFrame:
@@ -132,7 +137,11 @@ def _stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fired(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = snapshots.capacity(table(spark, sf_dir, "orders"))
     limits = stored.groupBy("object").agg((F.max("used") + F.expr("max(used) div 50")).alias("max"))
-    return drained(cooldown(arrivals(alert_sources(table(spark, sf_dir, "events"), stored, limits)), QUIET_S))
+    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("day", F.date_trunc("day", "ts"))
+    text = "CASE WHEN k < 3 THEN 'Schema Drift on a table whose name is long enough to be cut, number ' || k WHEN k < 6 THEN 'replica ' || k || ' diverged' ELSE 'slow' END AS text"
+    severity = "CASE WHEN value > 150 THEN 'critical' WHEN value > 100 THEN 'warning' ELSE 'info' END AS severity"
+    sources = alert_sources(events.drop("k", "day"), stored, limits, events.filter("event_type = 'view'").selectExpr(text, "day"), events.filter("event_type = 'error'").selectExpr("'E' || k % 5 AS kind", severity, "day"))
+    return drained(cooldown(arrivals(sources), QUIET_S))
 
 
 QUERIES = {
@@ -144,8 +153,10 @@ QUERIES = {
 
 _COOL = "WITH RECURSIVE e AS ({e}), f AS (SELECT code, min(t) AS fired_at FROM e GROUP BY 1 UNION ALL SELECT f.code, (SELECT min(t) FROM e WHERE e.code = f.code AND e.t >= f.fired_at + {s}) FROM f WHERE f.fired_at IS NOT NULL) SELECT code, fired_at FROM f WHERE fired_at IS NOT NULL"
 _SLOWER = "SELECT 'latency:' || fingerprint AS code, epoch(day)::BIGINT AS t FROM (" + snapshots.ORACLE_SQL["latency_regression"] + ")"
-_FULL = "SELECT 'capacity:' || object || ':' || CASE WHEN used * 100 >= most * 90 THEN 'critical' ELSE 'warning' END AS code, epoch(day)::BIGINT AS t FROM (" + snapshots._CAP + "SELECT object, day, used, max(used) OVER (PARTITION BY object) + max(used) OVER (PARTITION BY object) // 50 AS most FROM c) WHERE used * 100 >= most * 80"
-_UNION = _COOL.format(e=f"{_SLOWER} UNION ALL {_FULL}", s=QUIET_S)
+_FULL = "SELECT 'capacity:' || object AS code, epoch(day)::BIGINT AS t FROM (" + snapshots._CAP + "SELECT object, day, used, max(used) OVER (PARTITION BY object) + max(used) OVER (PARTITION BY object) // 50 AS most FROM c) WHERE used * 100 >= most * 80"
+_DRIFT = "SELECT 'schema_drift:' || CASE WHEN k < 3 THEN left('Schema Drift on a table whose name is long enough to be cut, number ' || k, 57) || '...' ELSE 'replica ' || k || ' diverged' END AS code, epoch(date_trunc('day', ts))::BIGINT AS t FROM (SELECT *, (props->>'$.k')::BIGINT AS k FROM events) WHERE event_type = 'view' AND k < 6"
+_EVIDENCE = "SELECT 'evidence:E' || (props->>'$.k')::BIGINT % 5 AS code, epoch(date_trunc('day', ts))::BIGINT AS t FROM events WHERE event_type = 'error' AND value > 100"
+_UNION = _COOL.format(e=f"{_SLOWER} UNION ALL {_FULL} UNION ALL {_DRIFT} UNION ALL {_EVIDENCE}", s=QUIET_S)
 
 ORACLE_SQL = {
     "stream_counter_rates": "WITH h AS (SELECT user_id AS profile, event_type AS metric, date_trunc('day', ts) AS day, count(*) AS k FROM events GROUP BY 1, 2, 3), s AS (SELECT profile, metric, epoch(day)::BIGINT AS snap_at, sum(k) OVER (PARTITION BY profile, metric ORDER BY day) AS counter FROM h), t AS (SELECT profile, snap_at, lag(snap_at) OVER (PARTITION BY profile ORDER BY snap_at) AS prev FROM (SELECT DISTINCT profile, snap_at FROM s)) SELECT s.profile, s.metric, s.snap_at, floor((s.counter - o.counter)::DOUBLE / (s.snap_at - t.prev) * 1000 + 0.5) / 1000 AS rate FROM s JOIN t ON s.profile = t.profile AND s.snap_at = t.snap_at JOIN s o ON o.profile = s.profile AND o.metric = s.metric AND o.snap_at = t.prev WHERE s.counter >= o.counter",
