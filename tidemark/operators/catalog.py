@@ -17,7 +17,7 @@ from tidemark.sources.tables import table
 # Kinds of change and their severity; a changed type counts less where the base type stays.
 SEVERITY = {"table_added": "low", "table_removed": "breaking", "column_added": "low", "column_removed": "breaking", "null_changed": "medium", "key_changed": "high", "comment_changed": "low"}
 # Endings of a column that names another table.
-STEM = "(_id|_no|_cd|_seq|_key)$"
+KEY_ENDS = ("_id", "_no", "_cd", "_seq", "_key")
 
 
 def merge_metadata(physical: DataFrame, logical: DataFrame, key: list[str]) -> DataFrame:
@@ -71,10 +71,14 @@ def sync_decisions(stored: DataFrame, columns: DataFrame) -> DataFrame:
 def join_paths(relations: DataFrame, max_depth: int = 3) -> DataFrame:
     """(a, b, depth, path, conf): the shortest path between tables, by its edges' ord numbers; of equal depth the one of least ords.
 
-    Edges go both ways. conf is the least of the edges' less 0.05 for each edge after the first, no less than 0. A path
-    from a table to itself isn't listed. Each round joins the frontier of new pairs only.
+    Edges go both ways; a conf of 0 or null is 0.6. conf is the least of the edges' less 0.05 for each edge after the
+    first, no less than 0, to two places. A table reaches itself at depth 0 with conf 1. Each round joins the frontier
+    of new pairs only.
     """
-    e = relations.select("a", "b", "ord", "conf").unionByName(relations.select(F.col("b").alias("a"), F.col("a").alias("b"), "ord", "conf")).filter("a <> b")
+    sure = F.when(F.coalesce("conf", F.lit(0.0)) == 0, 0.6).otherwise(F.col("conf")).alias("conf")
+    both = relations.select("a", "b", "ord", sure).unionByName(relations.select(F.col("b").alias("a"), F.col("a").alias("b"), "ord", sure))
+    e = both.filter("a <> b")
+    own = both.select("a", F.col("a").alias("b"), F.lit(0).cast("long").alias("depth"), F.lit("").alias("path"), F.lit(1.0).alias("conf")).distinct()
     best = lambda d: d.groupBy("a", "b").agg(F.min(F.struct("path", "conf")).alias("x")).select("a", "b", "x.path", "x.conf")
     frontier = best(e.select("a", "b", F.array("ord").alias("path"), "conf"))
     seen = frontier
@@ -83,7 +87,8 @@ def join_paths(relations: DataFrame, max_depth: int = 3) -> DataFrame:
         nxt = frontier.join(step, "b").filter("a <> c").select("a", F.col("c").alias("b"), F.concat("path", F.array("ord")).alias("path"), F.least("conf", "more").alias("conf"))
         frontier = best(nxt.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
         seen = seen.unionByName(frontier)
-    return seen.select("a", "b", F.size("path").cast("long").alias("depth"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), half_up(F.greatest(F.col("conf") - 0.05 * (F.size("path") - 1), F.lit(0.0)), 4).alias("conf"))
+    found = seen.select("a", "b", F.size("path").cast("long").alias("depth"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), half_up(F.greatest(F.col("conf") - 0.05 * (F.size("path") - 1), F.lit(0.0)), 2).alias("conf"))
+    return found.unionByName(own)
 
 
 def path_advice(pairs: DataFrame, paths: DataFrame, forbidden: DataFrame, sure: float = 0.7) -> DataFrame:
@@ -99,27 +104,41 @@ def on_condition(left: Column, right: Column) -> Column:
     return F.array_join(F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(1), n), lambda x, y: F.concat(F.lit("a."), x, F.lit(" = b."), y)), " AND ")
 
 
-def fk_suggestions(columns: DataFrame, masters: DataFrame, edges: DataFrame, many: int = 50) -> DataFrame:
-    """Columns named as the only key column of another table, scored by evidence; kept above 1, confidence up to 0.85.
+# Columns that every table has, which no key is seen in.
+AUDIT_COLUMNS = ("CREATED_AT", "UPDATED_AT", "VERSION")
 
-    columns: table, column, type, is_fk, indexed; masters: column, to_table, to_type; edges: table, to_table, known already.
+
+def fk_suggestions(columns: DataFrame, masters: DataFrame, edges: DataFrame, together: DataFrame, forbidden: DataFrame, audit: tuple[str, ...] = (), many: int = 50) -> DataFrame:
+    """(table, column, to_table, score, conf): columns named as the only key column of another table, scored by evidence, above 1.
+
+    columns: table, column, type, is_fk, indexed, unique by the first two; masters: column, to_table, to_type; edges: table,
+    to_table, known already; together: table, to_table, n, the known queries that have both; forbidden: a, b, either
+    way. 1, and 2 for a foreign key, 1 for an index, 1 for the same type, 1 for each common query up to 3, less 1.5 for a
+    column of more than `many` tables; conf is 0.5 and 0.05 of the score, up to 0.85. Audit columns are no keys.
     """
-    common = columns.groupBy("column").agg(F.count_distinct("table").alias("tables"))
-    met = columns.join(masters, "column").filter("table <> to_table").join(edges, ["table", "to_table"], "left_anti").join(common, "column")
-    score = F.expr(f"1 + IF(is_fk, 2, 0) + IF(indexed, 1, 0) + IF(type = to_type, 1, 0) - IF(tables > {many}, 1.5D, 0D)").cast("double")
-    return met.withColumn("score", score).filter("score > 1").select("table", "column", "to_table", "score", half_up(F.least(0.5 + 0.05 * F.col("score"), F.lit(0.85)), 4).alias("conf"))
+    counted = columns.withColumn("tables", F.count(F.lit(1)).over(Window.partitionBy("column")))
+    keys = masters.filter(~F.upper("column").isin([*AUDIT_COLUMNS, *audit]))
+    met = counted.join(keys, "column").filter("table <> to_table").join(edges, ["table", "to_table"], "left_anti")
+    no = forbidden.select(F.col("a").alias("table"), F.col("b").alias("to_table")).unionByName(forbidden.select(F.col("b").alias("table"), F.col("a").alias("to_table")))
+    met = met.join(no, ["table", "to_table"], "left_anti").join(together, ["table", "to_table"], "left")
+    score = F.expr(f"1 + IF(is_fk, 2, 0) + IF(indexed, 1, 0) + IF(type <> '' AND type = to_type, 1, 0) + least(coalesce(n, 0), 3) - IF(tables > {many}, 1.5D, 0D)").cast("double")
+    return met.withColumn("score", score).filter("score > 1").select("table", "column", "to_table", "score", half_up(F.least(0.5 + 0.05 * F.col("score"), F.lit(0.85)), 2).alias("conf"))
 
 
 def relation_candidates(columns: DataFrame, keys: DataFrame) -> DataFrame:
-    """Each column's likely reference: a table whose key has its name (0.8), else one named by its stem (0.7); 0.2 less for another family of types.
+    """(table, column, ref, conf): what a column that ends like a key likely refers to, unless it is a key itself or related already.
 
-    columns: table, column, family; keys: ref, key, ref_family (one row a table; the first by name counts).
+    A table whose only key has its name (0.8), else one named by what is left without the endings (0.7), each taken
+    off once in their order; 0.2 less for another family of types. Of several the first by name.
+
+    columns: table, column, family, is_pk, related; keys: ref, key, ref_family (tables with one key column).
     """
-    c = columns.withColumn("stem", F.regexp_replace(F.lower("column"), STEM, ""))
+    stem = reduce(lambda c, end: F.regexp_replace(c, f"{end}$", ""), KEY_ENDS, F.lower("column"))
+    c = columns.filter(F.lower("column").rlike(f"({'|'.join(KEY_ENDS)})$") & ~F.col("is_pk") & ~F.col("related")).withColumn("stem", stem)
     by_key = c.join(keys, F.lower("key") == F.lower("column")).filter("ref <> table").withColumn("conf", F.lit(0.8))
     by_stem = c.join(keys, F.lower("ref") == F.col("stem")).filter("ref <> table").withColumn("conf", F.lit(0.7))
     best = by_key.unionByName(by_stem).groupBy("table", "column", "family").agg(F.min(F.struct((-F.col("conf")).alias("m"), "ref", "ref_family")).alias("x"))
-    return best.select("table", "column", "x.ref", half_up(-F.col("x.m") - F.when(F.col("family") != F.col("x.ref_family"), 0.2).otherwise(0.0), 4).alias("conf"))
+    return best.select("table", "column", "x.ref", half_up(-F.col("x.m") - F.when(F.col("family") != F.col("x.ref_family"), 0.2).otherwise(0.0), 2).alias("conf"))
 
 
 def join_gaps(pairs: DataFrame, paths: DataFrame, columns: DataFrame) -> DataFrame:
@@ -206,19 +225,26 @@ def _items(s, d):
 
 
 def _masters(s, d):
-    return table(s, d, "part").filter("p_size % 3 = 0").selectExpr("concat('p', cast(p_partkey AS string)) AS column", "concat('s', cast(p_size AS string)) AS to_table", "IF(p_size % 2 = 0, 'O', 'F') AS to_type")
+    return table(s, d, "part").selectExpr("concat('p', cast(p_partkey AS string)) AS column", "concat('s', cast(p_size AS string)) AS to_table", "IF(p_size % 2 = 0, 'O', 'F') AS to_type")
 
 
 def _edges(s, d):
     return table(s, d, "lineitem").filter("l_quantity > 40").selectExpr("concat('s', cast(l_suppkey AS string)) AS table", "concat('s', cast(l_partkey % 50 AS string)) AS to_table").distinct()
 
 
+def _pairs_of(s, d, when):
+    return table(s, d, "lineitem").filter(when).selectExpr("concat('s', cast(l_suppkey AS string)) AS a", "concat('s', cast(l_partkey % 50 AS string)) AS b")
+
+
+_ENDS = "CASE c_nationkey % 5 WHEN 0 THEN '_id' WHEN 1 THEN '_no_id' WHEN 2 THEN '_x' WHEN 3 THEN '_key' ELSE '_cd_seq' END"
+
+
 def _named(s, d):
-    return table(s, d, "customer").selectExpr("c_mktsegment AS table", "concat(lower(c_mktsegment), IF(c_nationkey % 2 = 0, '_id', '_x'), IF(c_nationkey % 3 = 0, '', cast(c_nationkey AS string))) AS column", "IF(c_nationkey % 4 = 0, 'text', 'number') AS family").distinct().withColumn("table", F.concat("table", F.lit("_facts")))
+    return table(s, d, "customer").selectExpr("concat(c_mktsegment, '_facts') AS table", f"concat(lower(c_mktsegment), {_ENDS}) AS column", "IF(c_nationkey % 4 = 0, 'text', 'number') AS family", "c_nationkey % 7 = 0 AS is_pk", "c_nationkey % 11 = 0 AS related").distinct()
 
 
 def _keys(s, d):
-    return table(s, d, "customer").groupBy(F.lower("c_mktsegment").alias("ref")).agg(F.concat(F.min(F.lower("c_mktsegment")), F.lit("_x1")).alias("key"), F.lit("number").alias("ref_family"))
+    return table(s, d, "customer").groupBy(F.lower("c_mktsegment").alias("ref")).agg(F.concat(F.min(F.lower("c_mktsegment")), F.lit("_key")).alias("key"), F.lit("number").alias("ref_family"))
 
 
 def _indexes(s, d):
@@ -248,7 +274,7 @@ QUERIES = {
     "join_path": lambda s, d: join_paths(_relations(s, d)),
     "join_advice": lambda s, d: path_advice(_pairs(s, d), join_paths(_relations(s, d)), _forbidden(s, d)),
     "join_condition": lambda s, d: table(s, d, "part").select("p_partkey", on_condition(F.split(F.concat_ws(" ", "p_name", "p_brand"), " "), F.split("p_name", " ")).alias("on")),
-    "fk_suggestions": lambda s, d: fk_suggestions(_items(s, d), _masters(s, d), _edges(s, d), 25),
+    "fk_suggestions": lambda s, d: fk_suggestions(_items(s, d), _masters(s, d), _edges(s, d), _pairs_of(s, d, "l_quantity < 4").groupBy(F.col("a").alias("table"), F.col("b").alias("to_table")).agg(F.count(F.lit(1)).alias("n")), _pairs_of(s, d, "l_quantity = 7"), ("P7", "P8"), 25),
     "relation_candidates": lambda s, d: relation_candidates(_named(s, d), _keys(s, d)),
     "join_gaps": lambda s, d: join_gaps(_pairs(s, d), join_paths(_relations(s, d).filter("conf > 0.75"), 2), table(s, d, "part").selectExpr("p_brand AS table", "p_name AS column")),
     "redundant_indexes": lambda s, d: redundant_indexes(_indexes(s, d)),
@@ -261,7 +287,7 @@ QUERIES = {
 
 _SCH = "SELECT p_brand AS tb, p_name AS col, min(p_type) || '(' || max(p_size)::VARCHAR || ')' AS type, max(p_size) % 2 = 0 AS nullable, count(*) > 1 AS is_key, min(p_partkey)::VARCHAR AS comment FROM part WHERE {0} GROUP BY 1, 2"
 _VER = "WITH o AS (" + _SCH.format("p_partkey % 10 <> 3 AND p_brand <> 'Brand#7'") + "), n AS (" + _SCH.format("p_partkey % 15 <> 4 AND p_brand <> 'Brand#9' OR p_partkey < 9") + "), ho AS (SELECT tb, string_agg(col || '|' || type || '|' || nullable || '|' || is_key, chr(10) ORDER BY col) AS h FROM o GROUP BY 1), hn AS (SELECT tb, string_agg(col || '|' || type || '|' || nullable || '|' || is_key, chr(10) ORDER BY col) AS h FROM n GROUP BY 1)"
-_REL = "WITH RECURSIVE r AS (SELECT p_brand AS a, p_type AS b, min(p_partkey) AS ord, 0.6::DOUBLE + (count(*) % 40) * 0.01::DOUBLE AS conf FROM part GROUP BY 1, 2), e AS (SELECT a, b, ord, conf FROM r {0} UNION ALL SELECT b, a, ord, conf FROM r {0}), w AS (SELECT a, b, [ord] AS path, conf FROM e UNION ALL SELECT w.a, e.b, list_append(path, e.ord), least(w.conf, e.conf) FROM w JOIN e ON w.b = e.a WHERE len(path) < {1} AND e.b <> w.a), k AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY len(path), path, conf) AS rn FROM w), p AS (SELECT a, b, len(path)::BIGINT AS depth, array_to_string(path, '>') AS path, floor(greatest(conf - 0.05::DOUBLE * (len(path) - 1), 0.0::DOUBLE) * 10000 + 0.5) / 10000 AS conf FROM k WHERE rn = 1)"
+_REL = "WITH RECURSIVE r AS (SELECT p_brand AS a, p_type AS b, min(p_partkey) AS ord, 0.6::DOUBLE + (count(*) % 40) * 0.01::DOUBLE AS conf FROM part GROUP BY 1, 2), e AS (SELECT a, b, ord, conf FROM r {0} UNION ALL SELECT b, a, ord, conf FROM r {0}), w AS (SELECT a, b, [ord] AS path, conf FROM e UNION ALL SELECT w.a, e.b, list_append(path, e.ord), least(w.conf, e.conf) FROM w JOIN e ON w.b = e.a WHERE len(path) < {1} AND e.b <> w.a), k AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY len(path), path, conf) AS rn FROM w), p AS (SELECT a, b, len(path)::BIGINT AS depth, array_to_string(path, '>') AS path, floor(greatest(conf - 0.05::DOUBLE * (len(path) - 1), 0.0::DOUBLE) * 100 + 0.5) / 100 AS conf FROM k WHERE rn = 1 UNION ALL SELECT DISTINCT a, a, 0, '', 1.0::DOUBLE FROM e)"
 _PAIR = ", q AS (SELECT x.b AS a, y.b AS b FROM (SELECT DISTINCT p_brand AS b FROM part) x, (SELECT DISTINCT p_brand AS b FROM part) y WHERE x.b < y.b)"
 _IDX = "WITH i AS (SELECT o_custkey AS tb, o_orderkey AS name, (list(l_suppkey % 3 ORDER BY l_linenumber, l_suppkey % 3))[1:3] AS cols, max(o_orderpriority) = '1-URGENT' AS uq, floor(sum(l_quantity) / 50)::BIGINT AS scans FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
 _S25 = "SELECT 's' || l_suppkey::VARCHAR AS tb, 'p' || l_partkey::VARCHAR AS col, min(l_linestatus) AS type, bool_or(l_returnflag = 'R') AS is_fk, bool_or(l_returnflag = 'A') AS indexed FROM lineitem GROUP BY 1, 2"
@@ -273,8 +299,8 @@ ORACLE_SQL = {
     "join_path": _REL.format("", 3) + " SELECT * FROM p",
     "join_advice": _REL.format("", 3) + _PAIR + ", f0 AS (SELECT min(p_brand) AS a, max(p_brand) AS b FROM part WHERE p_size = 50 GROUP BY p_type), f AS (SELECT a, b FROM f0 UNION SELECT b, a FROM f0) SELECT q.a, q.b, depth, CASE WHEN f.a IS NOT NULL THEN 'blocked' WHEN depth IS NULL THEN 'none' WHEN conf < 0.7::DOUBLE THEN 'verify' ELSE 'ok' END AS advice FROM q LEFT JOIN p USING (a, b) LEFT JOIN f ON f.a = q.a AND f.b = q.b",
     "join_condition": "WITH l AS (SELECT p_partkey, string_split(p_name || ' ' || p_brand, ' ') AS x, string_split(p_name, ' ') AS y FROM part), r AS (SELECT p_partkey, x, y, unnest(generate_series(1, least(len(x), len(y)))) AS i FROM l) SELECT p_partkey, string_agg('a.' || x[i] || ' = b.' || y[i], ' AND ' ORDER BY i) AS \"on\" FROM r GROUP BY 1",
-    "fk_suggestions": "WITH c AS (" + _S25 + "), u AS (SELECT col, count(DISTINCT tb) AS k FROM c GROUP BY 1), m AS (SELECT 'p' || p_partkey::VARCHAR AS col, 's' || p_size::VARCHAR AS tt, CASE WHEN p_size % 2 = 0 THEN 'O' ELSE 'F' END AS ty FROM part WHERE p_size % 3 = 0), e AS (SELECT DISTINCT 's' || l_suppkey::VARCHAR AS tb, 's' || (l_partkey % 50)::VARCHAR AS tt FROM lineitem WHERE l_quantity > 40), s AS (SELECT c.tb, col, tt, (1 + is_fk::INT * 2 + indexed::INT + (type = ty)::INT - CASE WHEN k > 25 THEN 1.5 ELSE 0 END)::DOUBLE AS score FROM c JOIN m USING (col) JOIN u USING (col) WHERE c.tb <> tt AND NOT EXISTS (SELECT 1 FROM e WHERE e.tb = c.tb AND e.tt = m.tt)) SELECT tb AS \"table\", col AS \"column\", tt AS to_table, score, floor(least(0.5::DOUBLE + 0.05::DOUBLE * score, 0.85::DOUBLE) * 10000 + 0.5) / 10000 AS conf FROM s WHERE score > 1",
-    "relation_candidates": "WITH c AS (SELECT DISTINCT c_mktsegment || '_facts' AS tb, lower(c_mktsegment) || CASE WHEN c_nationkey % 2 = 0 THEN '_id' ELSE '_x' END || CASE WHEN c_nationkey % 3 = 0 THEN '' ELSE c_nationkey::VARCHAR END AS col, CASE WHEN c_nationkey % 4 = 0 THEN 'text' ELSE 'number' END AS fam FROM customer), k AS (SELECT DISTINCT lower(c_mktsegment) AS ref, lower(c_mktsegment) || '_x1' AS key FROM customer), b AS (SELECT tb, col, fam, ref, 0.8 AS conf FROM c JOIN k ON key = col UNION ALL SELECT tb, col, fam, ref, 0.7 FROM c JOIN k ON ref = regexp_replace(col, '(_id|_no|_cd|_seq|_key)$', '')), r AS (SELECT *, row_number() OVER (PARTITION BY tb, col, fam ORDER BY conf DESC, ref) AS rn FROM b) SELECT tb AS \"table\", col AS \"column\", ref, floor((conf::DOUBLE - CASE WHEN fam <> 'number' THEN 0.2 ELSE 0 END::DOUBLE) * 10000 + 0.5) / 10000 AS conf FROM r WHERE rn = 1",
+    "fk_suggestions": "WITH c AS (" + _S25 + "), u AS (SELECT col, count(*) AS k FROM c GROUP BY 1), m AS (SELECT 'p' || p_partkey::VARCHAR AS col, 's' || p_size::VARCHAR AS tt, CASE WHEN p_size % 2 = 0 THEN 'O' ELSE 'F' END AS ty FROM part WHERE p_partkey NOT IN (7, 8)), pr AS (SELECT 's' || l_suppkey::VARCHAR AS tb, 's' || (l_partkey % 50)::VARCHAR AS tt, l_quantity FROM lineitem), co AS (SELECT tb, tt, count(*) AS n FROM pr WHERE l_quantity < 4 GROUP BY 1, 2), s AS (SELECT c.tb, col, tt, (1 + is_fk::INT * 2 + indexed::INT + (type = ty)::INT + least(coalesce(co.n, 0), 3) - CASE WHEN k > 25 THEN 1.5 ELSE 0 END)::DOUBLE AS score FROM c JOIN m USING (col) JOIN u USING (col) LEFT JOIN co USING (tb, tt) WHERE c.tb <> tt AND NOT EXISTS (SELECT 1 FROM pr WHERE l_quantity > 40 AND pr.tb = c.tb AND pr.tt = m.tt) AND NOT EXISTS (SELECT 1 FROM pr WHERE l_quantity = 7 AND (pr.tb = c.tb AND pr.tt = m.tt OR pr.tb = m.tt AND pr.tt = c.tb))) SELECT tb AS \"table\", col AS \"column\", tt AS to_table, score, floor(least(0.5::DOUBLE + 0.05::DOUBLE * score, 0.85::DOUBLE) * 100 + 0.5) / 100 AS conf FROM s WHERE score > 1",
+    "relation_candidates": "WITH c AS (SELECT DISTINCT c_mktsegment || '_facts' AS tb, lower(c_mktsegment) || " + _ENDS + " AS col, CASE WHEN c_nationkey % 4 = 0 THEN 'text' ELSE 'number' END AS fam FROM customer WHERE c_nationkey % 7 <> 0 AND c_nationkey % 11 <> 0), k AS (SELECT DISTINCT lower(c_mktsegment) AS ref, lower(c_mktsegment) || '_key' AS key FROM customer), s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(col, '_id$', ''), '_no$', ''), '_cd$', ''), '_seq$', ''), '_key$', '') AS stem FROM c WHERE regexp_matches(col, '(_id|_no|_cd|_seq|_key)$')), b AS (SELECT tb, col, fam, ref, 0.8 AS conf FROM s JOIN k ON key = col UNION ALL SELECT tb, col, fam, ref, 0.7 FROM s JOIN k ON ref = stem), r AS (SELECT *, row_number() OVER (PARTITION BY tb, col, fam ORDER BY conf DESC, ref) AS rn FROM b) SELECT tb AS \"table\", col AS \"column\", ref, floor((conf::DOUBLE - CASE WHEN fam <> 'number' THEN 0.2 ELSE 0 END::DOUBLE) * 100 + 0.5) / 100 AS conf FROM r WHERE rn = 1",
     "join_gaps": _REL.format("WHERE conf > 0.75::DOUBLE", 2) + _PAIR + ", c AS (SELECT DISTINCT p_brand AS t, p_name AS n FROM part), s AS (SELECT x.t AS a, y.t AS b, count(*) AS n FROM c x JOIN c y USING (n) GROUP BY 1, 2) SELECT q.a, q.b, coalesce(s.n, 0)::BIGINT AS shared FROM q LEFT JOIN s USING (a, b) WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.a = q.a AND p.b = q.b)",
     "redundant_indexes": _IDX + ", m AS (SELECT *, first_value(name) OVER (PARTITION BY tb, cols ORDER BY uq DESC, name) AS keeper FROM i) SELECT tb AS \"table\", name, 'duplicate' AS reason, keeper AS covered_by FROM m WHERE NOT uq AND name <> keeper UNION ALL SELECT a.tb, a.name, 'prefix', min(b.name) FROM m a JOIN m b ON a.tb = b.tb AND len(a.cols) < len(b.cols) AND b.cols[1:len(a.cols)] = a.cols WHERE NOT a.uq AND a.name = a.keeper GROUP BY 1, 2",
     "unused_indexes": _IDX + " SELECT tb AS \"table\", name FROM i WHERE scans = 0 AND NOT uq",
