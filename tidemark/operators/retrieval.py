@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators.search import Catalog, resolve_metrics, retrieve, search_schema
+from tidemark.operators.search import Catalog, resolve_metrics, retrieve, search_examples, search_schema
 from tidemark.sources.tables import table
 
 _TABLE = "upper(replace(p_brand, 'Brand#', 'B')) || '.' || upper(replace(p_name, ' ', '_'))"
@@ -56,7 +56,13 @@ def _retrieved(s: SparkSession, d: str) -> DataFrame:
     return retrieve(questions, catalog).drop("semantic", "lexical")
 
 
-QUERIES = {"schema_search": _searched, "metric_resolver": _resolved, "graph_retrieval": _retrieved}
+def _examples(s: SparkSession, d: str) -> DataFrame:
+    catalog, questions = given_catalog(s, d)
+    intents = questions.selectExpr("question", "CASE WHEN text LIKE 'how many%' THEN 'Count' ELSE 'sum' END AS intent")
+    return search_examples(questions, catalog.examples, catalog.glossary, intents)
+
+
+QUERIES = {"example_search": _examples, "schema_search": _searched, "metric_resolver": _resolved, "graph_retrieval": _retrieved}
 
 _VIEWS = "WITH " + ", ".join(f"{name} AS ({sql.format(list='list_value', **{n: n for n in [*_GIVEN, *VIEWS]})})" for name, sql in VIEWS.items())
 _W = r"'[\p{L}\p{Nd}$#]+'"
@@ -113,7 +119,9 @@ _GRAPH = (
     ", gz AS (SELECT *, round(round(0.55::DOUBLE * semantic + 0.10::DOUBLE * lexical + 0.08::DOUBLE * proximity + 0.09::DOUBLE * joined + 0.10::DOUBLE * value + 0.04::DOUBLE * usage + 0.04::DOUBLE * freshness, 6)::DECIMAL(20,6), 2)::DOUBLE AS score, CASE WHEN rank IS NULL THEN 'join_expanded' ELSE 'seed' END AS origin FROM gs)"
 )
 
+_WORDS = _SEARCH[: _SEARCH.index(", named AS")]
 ORACLE_SQL = {
+    "example_search": _VIEWS + f", qt AS ({_tokens('question', 'text', 'questions')})" + _WORDS + ", x AS (SELECT example, question AS said, lower(question || ' ' || domain || ' ' || target || ' ' || \"column\" || ' ' || intent) AS body FROM examples), p AS (SELECT w.question, example, count(*) AS points FROM w JOIN x ON contains(body, low) GROUP BY 1, 2 UNION ALL SELECT question, example, 10 FROM questions JOIN x ON contains(lower(said), lower(text)) UNION ALL SELECT question, example, 2 FROM questions, x WHERE starts_with(text, 'how many')), s AS (SELECT question, example, sum(points)::DOUBLE AS score FROM p GROUP BY 1, 2) SELECT * FROM (SELECT question, row_number() OVER (PARTITION BY question ORDER BY score DESC, said, example) AS rank, example, score FROM s JOIN x USING (example)) WHERE rank <= 5",
     "metric_resolver": _VIEWS + _METRICS + " SELECT question, row_number() OVER (PARTITION BY question ORDER BY c DESC, ord, metric) AS rank, metric, round(c, 2) AS confidence, match_type, field, label, matched, span FROM res",
     "schema_search": _VIEWS + _METRICS + _SEARCH.replace("{0}", "8") + " SELECT question, rank, \"table\", score::DOUBLE AS score, words::DOUBLE AS words, columns::DOUBLE AS columns, hints::DOUBLE AS hints, examples::DOUBLE AS examples, usage::DOUBLE AS usage, penalty::DOUBLE AS penalty, metrics::DOUBLE AS metrics, joined::DOUBLE AS joined, matched, rank <= 8 AS kept FROM sr WHERE rank <= 13",
     "graph_retrieval": _VIEWS + _METRICS + _SEARCH.replace("{0}", "6") + _GRAPH + " SELECT question, row_number() OVER (PARTITION BY question ORDER BY origin DESC, coalesce(rank, found), \"table\") AS rank, \"table\", origin, score, proximity, joined, value, usage, freshness FROM (SELECT *, row_number() OVER (PARTITION BY question, origin ORDER BY score DESC, \"table\") AS found FROM gz) WHERE origin = 'seed' OR found <= 2",

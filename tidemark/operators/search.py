@@ -235,6 +235,28 @@ def search_schema(questions: DataFrame, catalog: Catalog, top_k: int = 8, max_co
     return final.filter(F.col("rank") <= top_k + excluded).select("question", "rank", "table", F.col("score").cast("double").alias("score"), *shown_columns, F.col("matched").cast("long").alias("matched"), (F.col("rank") <= top_k).alias("kept"))
 
 
+def search_examples(questions: DataFrame, examples: DataFrame, glossary: DataFrame, intents: DataFrame, top_k: int = 5, target: str | None = None) -> DataFrame:
+    """(question, rank, example, score): the best examples for each question (question, text), ties by the example's question, then example.
+
+    examples as in Catalog. 1 for each word of the question or of its glossary groups within an example's strings, 10
+    where the example's question holds the whole question, 2 for each intent (intents: question, intent) among those
+    of the example, which are separated by |. target keeps examples whose target holds it, in any case.
+    """
+    if target:
+        examples = examples.filter(F.contains(F.upper("target"), F.lit(target.strip().upper())))
+    words = expand(question_tokens(questions), glossary).withColumn("low", F.lower("token"))
+    kept = examples.select("example", F.col("question").alias("said"), F.lower("question").alias("whole"), F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("question", "domain", "target", "column", "intent")))).alias("text"), F.transform(F.split(F.lower(F.coalesce("intent", F.lit(""))), r"\|"), F.trim).alias("intents"))
+    asked = questions.select("question", F.lower("text").alias("low"))
+    pairs = settled(containing(_union(_family(words, "word", "needle", "low"), _family(asked, "whole", "needle", "low")), _union(_family(kept, "word", "text", "text"), _family(kept, "whole", "text", "whole"))))
+    of = lambda family: pairs.filter(F.col("family") == family).select(F.col("needle").alias("low"), "text")
+    hits = words.join(of("word"), "low").join(kept.select("example", "text"), "text").groupBy("question", "example").agg(F.count_distinct("token").alias("points"))
+    same = asked.join(of("whole"), "low").join(kept.select("example", F.col("whole").alias("text")), "text").select("question", "example", F.lit(10).cast("long").alias("points"))
+    meant = intents.select("question", F.lower("intent").alias("intent")).distinct().join(kept.select("example", F.explode(F.array_distinct("intents")).alias("intent")).filter("intent <> ''"), "intent").groupBy("question", "example").agg((2 * F.count(F.lit(1))).alias("points"))
+    scored = _union(hits, same, meant).groupBy("question", "example").agg(F.sum("points").cast("double").alias("score")).join(kept.select("example", "said"), "example")
+    w = Window.partitionBy("question").orderBy(F.desc("score"), "said", "example")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k).select("question", "rank", "example", "score")
+
+
 def value_columns(tokens: DataFrame, columns: DataFrame, top: int = 12) -> DataFrame:
     """(question, token, table, column, score): the columns that the literals (question, token) may be values of, the best top of
     each question, ties by table and column, then token.
