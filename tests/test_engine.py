@@ -72,3 +72,16 @@ def test_a_worse_level_of_the_same_thing_is_quiet(spark):
     sources = alerts.alert_sources(events, capacity, limits, warnings, evidence)
     fired = alerts.drained(alerts.cooldown(alerts.arrivals(sources), 7 * 86400)).select("code", F.timestamp_seconds("fired_at").alias("t")).collect()
     assert sorted((r.code, r.t.day) for r in fired) == [("capacity:disk", 1), ("capacity:disk", 9), ("evidence:LAG", 1), ("schema_drift:Schema DRIFT", 1), ("schema_drift:replica diverged " + "x" * 40 + "...", 1)]
+
+
+def test_compliance_controls(spark):
+    kinds = "instance string, security_status string, login_superusers int, dangerous_privileges int, expired_accounts int, wildcard_hosts int, plaintext_secret boolean, config_baseline_set boolean, config_drifted int, backup_status_known boolean, archiving_enabled boolean, audit_chain_active boolean, tls string"
+    rows = [("good", "ok", 0, 0, 0, 0, False, True, 0, True, True, True, "on"), ("bad", "critical", 1, 0, 0, 1, True, True, 2, True, False, True, "off"), ("blind", "permission_denied", 9, 9, 9, 9, None, False, 9, False, True, False, "unknown"), ("null", *[None] * 12)]
+    by = {}
+    for r in engine.compliance_controls(spark.createDataFrame(rows, kinds), "instance").collect():
+        by.setdefault(r.instance, {})[r.control] = (r.result, r.severity)
+    names = [c[0] for c in engine.CONTROLS]
+    assert [by["good"][n] for n in names] == [("pass", None)] * 7
+    assert [by["bad"][n] for n in names] == [("fail", "critical"), ("fail", "warning"), ("fail", "critical"), ("fail", "warning"), ("fail", "warning"), ("pass", None), ("fail", "warning")]
+    assert [by["blind"][n][0] for n in names] == ["manual", "manual", "pass", "manual", "manual", "manual", "manual"]
+    assert [by["null"][n][0] for n in names] == ["pass", "pass", "pass", "manual", "manual", "manual", "manual"]

@@ -72,6 +72,31 @@ def maintenance_findings(ages: DataFrame, tuples: DataFrame, slots: DataFrame) -
     return old.unionByName(bloat).unionByName(held).filter("severity IS NOT NULL")
 
 
+# Controls, by what fails them, how badly, and what leaves them to a person, who comes first.
+_UNSEEN = "coalesce(security_status, '') IN ('permission_denied', 'unsupported')"
+CONTROLS = (
+    ("least-privilege", "login_superusers > 0 OR dangerous_privileges > 0", "critical", _UNSEEN),
+    ("account-lifecycle", "expired_accounts > 0 OR wildcard_hosts > 0", "warning", _UNSEEN),
+    ("secret-handling", "plaintext_secret", "critical", "false"),
+    ("config-integrity", "config_drifted > 0", "warning", "NOT coalesce(config_baseline_set, false)"),
+    ("backup-recovery", "NOT coalesce(archiving_enabled, false)", "warning", "NOT coalesce(backup_status_known, false)"),
+    ("audit-logging", "false", None, "NOT coalesce(audit_chain_active, false)"),
+    ("transport-tls", "tls = 'off'", "warning", "coalesce(tls, '') NOT IN ('on', 'off')"),
+)
+
+
+def compliance_controls(inputs: DataFrame, by: str) -> DataFrame:
+    """(by, control, result, severity): each of the seven controls of an instance is pass, fail or manual; severity of failures.
+
+    inputs: by, security_status, login_superusers, dangerous_privileges, expired_accounts, wildcard_hosts,
+    plaintext_secret, config_baseline_set, config_drifted, backup_status_known, archiving_enabled, audit_chain_active,
+    tls. What can't be seen is manual, whatever else is known; null counts and flags are 0 and false.
+    """
+    one = lambda name, bad, severity, unseen: F.struct(F.lit(name).alias("control"), F.when(F.expr(unseen), "manual").when(F.expr(bad), "fail").otherwise("pass").alias("result"), F.lit(severity).cast("string").alias("severity"))
+    rows = inputs.select(by, F.explode(F.array(*(one(*c) for c in CONTROLS))).alias("x")).select(by, "x.*")
+    return rows.withColumn("severity", F.when(F.col("result") == "fail", F.col("severity")))
+
+
 def _sessions(s: SparkSession, d: str) -> DataFrame:
     """Customers as sessions: those of suppliers of one nation and balance band are in each other's way."""
     c = table(s, d, "customer")
@@ -92,7 +117,13 @@ def _findings(s: SparkSession, d: str) -> DataFrame:
     return maintenance_findings(_ages(s, d), orders.select(F.col("l_suppkey").cast("string").alias("object"), "live", "dead"), slots)
 
 
+def _controls(s: SparkSession, d: str) -> DataFrame:
+    k = "s_suppkey"
+    return table(s, d, "supplier").selectExpr(f"{k} AS instance", f"CASE {k} % 9 WHEN 0 THEN 'permission_denied' WHEN 1 THEN 'unsupported' WHEN 2 THEN NULL ELSE 'ok' END AS security_status", f"{k} % 4 AS login_superusers", f"IF({k} % 8 = 0, 1, NULL) AS dangerous_privileges", f"{k} % 3 AS expired_accounts", f"IF({k} % 6 = 0, 2, 0) AS wildcard_hosts", f"IF({k} % 7 = 0, true, NULL) AS plaintext_secret", f"{k} % 5 > 1 AS config_baseline_set", f"{k} % 10 - 5 AS config_drifted", f"{k} % 4 <> 2 AS backup_status_known", f"{k} % 5 = 0 AS archiving_enabled", f"{k} % 2 = 0 AS audit_chain_active", f"CASE {k} % 3 WHEN 0 THEN 'on' WHEN 1 THEN 'off' END AS tls")
+
+
 QUERIES = {
+    "compliance_controls": lambda s, d: compliance_controls(_controls(s, d), "instance"),
     "lock_edges": lambda s, d: lock_edges(_sessions(s, d), datetime.datetime.fromtimestamp(1_700_000_000, datetime.timezone.utc)),
     "wraparound": _ages,
     "maintenance_findings": _findings,
@@ -100,6 +131,7 @@ QUERIES = {
 
 _AGES = "s AS (SELECT max(p_partkey) * 90000 AS m FROM part), ages AS (SELECT * FROM (SELECT 'database' AS kind, n_name AS object, n_nationkey::BIGINT * 9000000 AS xid_age, m AS freeze_max_age FROM nation, s WHERE n_regionkey <> 2 UNION ALL SELECT 'table', p_name || p_partkey, p_partkey * 100000, m FROM part, s WHERE p_partkey % 9 <> 0 AND p_partkey % 4 <> 1 AND p_size % 10 <> 0) ORDER BY xid_age DESC, kind, object LIMIT 40)"
 ORACLE_SQL = {
+    "compliance_controls": "WITH c AS (SELECT s_suppkey AS k, unnest(['least-privilege', 'account-lifecycle', 'secret-handling', 'config-integrity', 'backup-recovery', 'audit-logging', 'transport-tls']) AS control FROM supplier), r AS (SELECT k, control, CASE control WHEN 'least-privilege' THEN CASE WHEN k % 9 < 2 THEN 'manual' WHEN k % 4 > 0 OR k % 8 = 0 THEN 'fail' ELSE 'pass' END WHEN 'account-lifecycle' THEN CASE WHEN k % 9 < 2 THEN 'manual' WHEN k % 3 > 0 OR k % 6 = 0 THEN 'fail' ELSE 'pass' END WHEN 'secret-handling' THEN CASE WHEN k % 7 = 0 THEN 'fail' ELSE 'pass' END WHEN 'config-integrity' THEN CASE WHEN k % 5 <= 1 THEN 'manual' WHEN k % 10 > 5 THEN 'fail' ELSE 'pass' END WHEN 'backup-recovery' THEN CASE WHEN k % 4 = 2 THEN 'manual' WHEN k % 5 = 0 THEN 'pass' ELSE 'fail' END WHEN 'audit-logging' THEN CASE WHEN k % 2 = 0 THEN 'pass' ELSE 'manual' END ELSE CASE k % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'manual' END END AS result FROM c) SELECT k AS instance, control, result, CASE WHEN result = 'fail' THEN CASE WHEN control IN ('least-privilege', 'secret-handling') THEN 'critical' ELSE 'warning' END END AS severity FROM r",
     "lock_edges": "WITH c AS (SELECT c_custkey AS pid, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS u, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS w, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey * 3 END AS s, CASE c_custkey % 3 WHEN 0 THEN [c_custkey + 1, c_custkey * 2] WHEN 1 THEN [c_custkey - 1] ELSE [] END AS blocking FROM customer), e AS (SELECT *, unnest(blocking) AS blocker FROM c) SELECT e.blocker, e.pid AS blocked, coalesce(o.u, '') AS blocker_user, coalesce(e.u, '') AS blocked_user, coalesce(e.w, 'Lock') AS lock_type, coalesce(e.s, 0) AS wait_s FROM e LEFT JOIN c o ON o.pid = e.blocker",
     "wraparound": f"WITH {_AGES} SELECT * FROM ages",
     "maintenance_findings": f"WITH {_AGES}, t AS (SELECT l_suppkey::VARCHAR AS object, sum(CASE WHEN l_returnflag = 'R' THEN 1000 ELSE 0 END) AS dead, sum(CASE WHEN l_returnflag <> 'R' THEN 1000 + l_suppkey % 4 * 700 ELSE 0 END) AS live FROM lineitem GROUP BY l_suppkey), f AS (SELECT 'wraparound' AS category, kind || ' ' || object AS object, 'xid_age' AS metric, xid_age::DOUBLE AS value, freeze_max_age::DOUBLE AS threshold, CASE WHEN xid_age / 2147483648 >= 0.8 OR xid_age / freeze_max_age >= 1.1 THEN 'critical' WHEN xid_age / freeze_max_age >= 0.9 THEN 'warning' END AS severity FROM ages WHERE xid_age > 0 UNION ALL SELECT 'bloat', object, 'dead_ratio_pct', round(100.0::DOUBLE * dead / (live + dead), 1), 20, 'warning' FROM t WHERE dead >= 100000 AND round(100.0::DOUBLE * dead / (live + dead), 1) >= 20 UNION ALL SELECT 'replication_slot', s_name, 'retained_bytes', floor(s_acctbal) * 1200000, 1073741824, CASE WHEN floor(s_acctbal) * 1200000 >= 8589934592 THEN 'critical' ELSE 'warning' END FROM supplier WHERE s_suppkey % 3 <> 0 AND floor(s_acctbal) * 1200000 >= 1073741824) SELECT * FROM f WHERE severity IS NOT NULL",
