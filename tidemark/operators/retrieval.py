@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators.search import Catalog, resolve_metrics, retrieve, search_examples, search_schema
+from tidemark.operators.search import Catalog, infer_metrics, resolve_metrics, retrieve, search_examples, search_schema
 from tidemark.sources.tables import table
 
 _TABLE = "upper(replace(p_brand, 'Brand#', 'B')) || '.' || upper(replace(p_name, ' ', '_'))"
@@ -62,7 +62,16 @@ def _examples(s: SparkSession, d: str) -> DataFrame:
     return search_examples(questions, catalog.examples, catalog.glossary, intents)
 
 
-QUERIES = {"example_search": _examples, "schema_search": _searched, "metric_resolver": _resolved, "graph_retrieval": _retrieved}
+def _inferred(s: SparkSession, d: str) -> DataFrame:
+    catalog, _ = given_catalog(s, d)
+    named, asked = (s.sql(x.replace('"', "`").replace("{list}", "array"), columns=catalog.columns, tables=catalog.tables, metrics=catalog.metrics) for x in (_MEASURED, _WANTED))
+    return infer_metrics(asked, named, catalog.glossary, "CUST_NO")
+
+
+_MEASURED = "SELECT \"table\", upper(\"column\") || CASE WHEN indexed THEN '_AMT' WHEN logical <> '' THEN '_SCR' WHEN description <> '' THEN '_GRAD' WHEN is_pk THEN '_X' ELSE '_RT' END AS \"column\", logical, description || CASE WHEN is_pk THEN ' 평점' ELSE '' END AS description, code_dict, common_code, synonyms, samples, is_pk, indexed FROM {columns} UNION ALL SELECT \"table\", 'CUST_NO', '', '', '', '', {list}(''), {list}(''), false, true FROM {tables} WHERE domain <> ''"
+_WANTED = "SELECT ord AS question, metric || CASE ord % 3 WHEN 0 THEN ' 금액' WHEN 1 THEN ' 등급' ELSE '' END AS text FROM {metrics}"
+
+QUERIES = {"inferred_metrics": _inferred, "example_search": _examples, "schema_search": _searched, "metric_resolver": _resolved, "graph_retrieval": _retrieved}
 
 _VIEWS = "WITH " + ", ".join(f"{name} AS ({sql.format(list='list_value', **{n: n for n in [*_GIVEN, *VIEWS]})})" for name, sql in VIEWS.items())
 _W = r"'[\p{L}\p{Nd}$#]+'"
@@ -120,7 +129,13 @@ _GRAPH = (
 )
 
 _WORDS = _SEARCH[: _SEARCH.index(", named AS")]
+_INFER = ", cols AS (" + _MEASURED.format(columns="columns", tables="tables", list="list_value") + "), want AS (" + _WANTED.format(metrics="metrics") + "), qt AS (" + _tokens("question", "text", "want") + ")" + _WORDS.replace("questions", "want")
 ORACLE_SQL = {
+    "inferred_metrics": _VIEWS
+    + _INFER
+    + ", ex AS (SELECT c.*, CASE WHEN regexp_matches(\"column\", '(_AMT|_CNT|_COUNT)$') THEN 'SUM(' || \"column\" || ')' WHEN regexp_matches(\"column\", 'SCORE|(_SCR|_VAL)$') THEN 'AVG(' || \"column\" || ')' WHEN ends_with(\"column\", '_GRAD') AND \"table\" IN (SELECT \"table\" FROM cols WHERE \"column\" = 'CUST_NO') THEN \"column\" || ' as dimension; COUNT(DISTINCT CUST_NO)' WHEN \"column\" = 'CUST_NO' THEN 'COUNT(DISTINCT CUST_NO)' END AS expression, regexp_matches(\"column\", '(_AMT|_CNT|_COUNT|_SCORE|_SCR|_VAL|_RT|_RATE|_GRAD)$') AS named, lower(logical || ' ' || description) AS own FROM cols c)"
+    ", cs AS (SELECT question, \"table\", \"column\", sum(CASE WHEN lower(\"column\") = low THEN 15 WHEN contains(lower(\"column\"), low) THEN 5 ELSE 0 END + CASE WHEN contains(lower(logical), low) THEN 7 ELSE 0 END + CASE WHEN contains(lower(description), low) THEN 2.5 ELSE 0 END + CASE WHEN contains(lower(code_dict), low) THEN 2 ELSE 0 END + CASE WHEN contains(lower(synonyms[1]), low) THEN 6 ELSE 0 END + CASE WHEN lower(samples[1]) = low THEN 5 ELSE 0 END + CASE WHEN contains(lower(\"column\" || ' ' || logical || ' ' || description || ' ' || code_dict || ' ' || common_code || ' ' || synonyms[1] || ' ' || samples[1]), low) THEN 0.5 ELSE 0 END)::DECIMAL(20,6) + CASE WHEN any_value(is_pk) THEN 0.25 ELSE 0 END + CASE WHEN any_value(indexed) THEN 0.25 ELSE 0 END AS points FROM w, ex WHERE expression IS NOT NULL GROUP BY 1, 2, 3)"
+    ", sc AS (SELECT question, cs.\"table\", cs.\"column\", expression, round(points, 2) + CASE WHEN (contains(lower(text), '금액') OR contains(own, '금액')) AND ends_with(cs.\"column\", '_AMT') THEN 8 ELSE 0 END + CASE WHEN (contains(lower(text), '등급') OR contains(own, '등급')) AND ends_with(cs.\"column\", '_GRAD') THEN 8 ELSE 0 END + CASE WHEN (contains(lower(text), '점수') OR contains(own, '점수') OR contains(lower(text), '평점') OR contains(own, '평점')) AND regexp_matches(cs.\"column\", 'SCORE|_SCR$') THEN 8 ELSE 0 END AS score FROM cs JOIN ex ON ex.\"table\" = cs.\"table\" AND ex.\"column\" = cs.\"column\" JOIN want USING (question) WHERE points > 0 OR named) SELECT question, rank, \"table\", \"column\", expression, score::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, \"table\", \"column\") AS rank FROM sc) WHERE rank <= 8",
     "example_search": _VIEWS + f", qt AS ({_tokens('question', 'text', 'questions')})" + _WORDS + ", x AS (SELECT example, question AS said, lower(question || ' ' || domain || ' ' || target || ' ' || \"column\" || ' ' || intent) AS body FROM examples), p AS (SELECT w.question, example, count(*) AS points FROM w JOIN x ON contains(body, low) GROUP BY 1, 2 UNION ALL SELECT question, example, 10 FROM questions JOIN x ON contains(lower(said), lower(text)) UNION ALL SELECT question, example, 2 FROM questions, x WHERE starts_with(text, 'how many')), s AS (SELECT question, example, sum(points)::DOUBLE AS score FROM p GROUP BY 1, 2) SELECT * FROM (SELECT question, row_number() OVER (PARTITION BY question ORDER BY score DESC, said, example) AS rank, example, score FROM s JOIN x USING (example)) WHERE rank <= 5",
     "metric_resolver": _VIEWS + _METRICS + " SELECT question, row_number() OVER (PARTITION BY question ORDER BY c DESC, ord, metric) AS rank, metric, round(c, 2) AS confidence, match_type, field, label, matched, span FROM res",
     "schema_search": _VIEWS + _METRICS + _SEARCH.replace("{0}", "8") + " SELECT question, rank, \"table\", score::DOUBLE AS score, words::DOUBLE AS words, columns::DOUBLE AS columns, hints::DOUBLE AS hints, examples::DOUBLE AS examples, usage::DOUBLE AS usage, penalty::DOUBLE AS penalty, metrics::DOUBLE AS metrics, joined::DOUBLE AS joined, matched, rank <= 8 AS kept FROM sr WHERE rank <= 13",

@@ -257,6 +257,51 @@ def search_examples(questions: DataFrame, examples: DataFrame, glossary: DataFra
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k).select("question", "rank", "example", "score")
 
 
+# Ends of measures' names, how a column is added up by its name, and words that favour some of them.
+MEASURE_ENDS = ("_AMT", "_CNT", "_COUNT", "_SCORE", "_SCR", "_VAL", "_RT", "_RATE", "_GRAD")
+FAVOURED = ((("금액",), "_AMT$"), (("등급",), "_GRAD$"), (("점수", "평점"), "SCORE|_SCR$"))
+
+
+def infer_metrics(questions: DataFrame, columns: DataFrame, glossary: DataFrame, entity_key: str = "", top_k: int = 8) -> DataFrame:
+    """(question, rank, table, column, expression, score): measures by their names, for words that no metric defines.
+
+    questions: question, text; columns as in Catalog, named in upper case. Amounts and counts are summed, scores and
+    values averaged, grades and the entity key counted by distinct entities, the former where the table has the key. A
+    column is proposed if a word speaks of it (column_scores), it is a key or indexed, or is named like a measure; 8
+    more for each pair of a favoured word, in the question or the column's own text, and ending. The best top_k, ties
+    by table and column.
+
+    What no word speaks of is ranked once for each set of favoured words in a question, not for each question.
+    """
+    name = F.col("column")
+    keyed = columns.filter(name == entity_key).select("table", F.lit(True).alias("keyed")).distinct()
+    count = F.lit(f"COUNT(DISTINCT {entity_key})")
+    rule = F.when(name.rlike("(_AMT|_CNT|_COUNT)$"), F.concat(F.lit("SUM("), name, F.lit(")"))).when(name.rlike("SCORE|(_SCR|_VAL)$"), F.concat(F.lit("AVG("), name, F.lit(")"))).when(name.rlike("_GRAD$") & F.coalesce("keyed", F.lit(False)), F.concat(name, F.lit(" as dimension; "), count)).when(name == (entity_key or None), count)
+    own = F.lower(F.concat_ws(" ", F.coalesce("logical", F.lit("")), F.coalesce("description", F.lit(""))))
+    speaks = lambda text, words: reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
+    bits = lambda text: sum((F.when(speaks(text, ws), 1 << i).otherwise(0) for i, (ws, _) in enumerate(FAVOURED)), F.lit(0))
+    made = columns.join(keyed, "table", "left").withColumn("expression", rule).filter("expression IS NOT NULL")
+    named = reduce(lambda a, b: a | b, (name.endswith(e) for e in MEASURE_ENDS))
+    made = settled(made.select("table", "column", "expression", named.alias("named"), bits(own).alias("own"), sum((F.when(name.rlike(p), 1 << i).otherwise(0) for i, (_, p) in enumerate(FAVOURED)), F.lit(0)).alias("ends")).join(_base(columns), ["table", "column"]))
+    bonus = lambda asked: sum((F.when((asked.bitwiseOR(F.col("own")).bitwiseAND(F.col("ends")).bitwiseAND(1 << i)) != 0, 8).otherwise(0) for i in range(len(FAVOURED))), F.lit(0))
+    total = lambda score: _two(_two(score) + bonus(F.col("asked")))
+    asked = questions.select("question", bits(F.lower("text")).alias("asked"))
+    words = settled(expand(question_tokens(questions), glossary).withColumn("low", F.lower("token")))
+    fields = _column_fields(columns).filter("kind <> 'sample'")
+    within = containing(_family(words, "word", "needle", "low"), _family(fields, "word", "text", "text")).select(F.col("needle").alias("low"), "text")
+    hit = column_scores(words, within, columns).join(made, ["table", "column"]).join(asked, "question")
+    hit = settled(hit.select("question", "table", "column", "expression", total(F.col("score") + F.col("base")).alias("score")))
+    order = [F.desc("score"), "table", "column"]
+    idle = made.filter("named OR base > 0").withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit((1 << len(FAVOURED)) - 1)))).withColumn("score", total(F.col("base")))
+    # A question's own hits may be among the first of these, so as many more are kept as it can have: all that rank before.
+    idle = idle.select("asked", "table", "column", "expression", "score", F.row_number().over(Window.partitionBy("asked").orderBy(*order)).alias("place"))
+    most = hit.groupBy("question").agg(F.count(F.lit(1)).alias("n")).join(asked, "question", "right").select("question", "asked", (F.coalesce("n", F.lit(0)) + top_k).alias("n"))
+    rest = most.withColumn("place", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).join(idle, ["asked", "place"]).select("question", "table", "column", "expression", "score").join(hit.select("question", "table", "column"), ["question", "table", "column"], "left_anti")
+    w = Window.partitionBy("question").orderBy(*order)
+    found = hit.unionByName(rest).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
+    return found.select("question", "rank", "table", "column", "expression", F.col("score").cast("double").alias("score"))
+
+
 def value_columns(tokens: DataFrame, columns: DataFrame, top: int = 12) -> DataFrame:
     """(question, token, table, column, score): the columns that the literals (question, token) may be values of, the best top of
     each question, ties by table and column, then token.
