@@ -43,3 +43,24 @@ def test_keep_one_is_the_shingle_rule(spark):
     got = keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect()), key=repr) == _kept(rows)
     assert keep_one(got.limit(0)).count() == 0
+
+
+def test_stages_keep_columns_whatever_their_names(spark, sf_dir):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import read
+
+    docs = read(spark, sf_dir, "documents")
+    odd = [(90_001, None), (90_002, ""), (90_003, "a b c"), (None, "a b c"), (90_004, "one line\none line"), (90_003, "a b c")]
+    odd = spark.createDataFrame([(d, t, None, None, None) for d, t in odd], docs.schema)
+    names = ("score", "root", "c", "t", "node", "sha", "kept", "row", "line_dedup", "component_id", "length", "rank")
+    docs = docs.unionByName(odd).withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id"), F.lit(0))) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf_dir)
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes, name
+        rows = got.select("doc_id", *names).collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id or 0}" for r in rows for n in names), name
+        assert {r.doc_id for r in rows} >= {90_001 if name == "simhash_near_dedup" else 90_002, None}, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert packed.filter("doc_id IN (90001, 90002)").count() == 2 and packed.filter("doc_id = 90003").count() == 2

@@ -35,19 +35,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only on one machine where that is unset."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
+def stored(df: DataFrame, *partition_by: str, deltas: bool = False) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors.
+
+    deltas writes whole numbers as differences, which takes less room where they are sorted.
+    """
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
+    out = df.write.option("compression", "zstd").option("parquet.writer.version", "v2" if deltas else "v1")
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -87,7 +87,7 @@ def _lines(docs: DataFrame, levels: Column) -> DataFrame:
 def _classes(lines: DataFrame) -> DataFrame:
     """lines with c, the number of their class in the order of first places, and at_first; n, head and parity at these places only."""
     at = lines.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "line", "th")).alias("at"))
-    numbered = stored(at.orderBy("at.doc_id", "at.line", "k", "k2").withColumn("c", F.monotonically_increasing_id()))
+    numbered = stored(at.orderBy("at.doc_id", "at.line", "k", "k2").withColumn("c", F.monotonically_increasing_id()), deltas=True)
     first = F.struct("doc_id", "line", "th") == F.col("at")
     return lines.join(numbered, ["k", "k2"]).select("doc_id", "th", "line", "c", first.alias("at_first"), *(F.when(first, F.col(x)).alias(x) for x in ("n", "head", "parity")))
 
@@ -169,12 +169,12 @@ def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs: doc_id (long, not null), th (a hash of the text), text (not null).
     """
     spark = docs.sparkSession
-    whole = stored(_lines(docs, rarity(docs)))
+    whole = stored(_lines(docs, rarity(docs)), deltas=True)
     release(spark)
-    classes = stored(_classes(whole))
+    classes = stored(_classes(whole), deltas=True)
     discard(whole)
     release(spark)
-    shared = stored(_shared(classes))
+    shared = stored(_shared(classes), deltas=True)
     release(spark)
     settled = _removed(_near(shared), classes, docs)
     rest = []
