@@ -32,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one document of each group of similar texts, that of the least doc_id; rows without a doc_id stay.
 
-    Similar are five-word shingle sets at 0.8 or more, joined exactly: no radius of fingerprints holds all of these and
-    little else. Rows that share a doc_id stay or go together; null and empty texts are one group.
+    Similar are five-word shingle sets at 0.8 or more: groups of SimHash fingerprints within two bits, verified by the
+    sets, and what an exact join of the sets finds beyond that radius. Rows that share a doc_id stay or go together; null and empty texts are one group.
     """
     return keep_one(docs).select(*docs.columns)
 

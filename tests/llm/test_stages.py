@@ -64,3 +64,23 @@ def test_stages_keep_columns_whatever_their_names(spark, sf_dir):
         assert {r.doc_id for r in rows} >= {90_001 if name == "simhash_near_dedup" else 90_002, None}, name
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert packed.filter("doc_id IN (90001, 90002)").count() == 2 and packed.filter("doc_id = 90003").count() == 2
+
+
+def test_keep_one_goes_by_fingerprints(spark, monkeypatch):
+    """Fingerprints alone find near copies; groups of texts that aren't similar are verified away."""
+    from tidemark.llm import similar, simhash
+
+    rng = random.Random(4)
+    say = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    long, other = say(1500), say(80)
+    rows = [(1, long), (2, other), (2, long), (3, long + " more"), (4, say(80)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lumped = docs.selectExpr("doc_id", "1L as component_id")
+    none = lambda named, *_: named.selectExpr("named_struct('c', c) as a", "named_struct('c', c) as b").limit(0)
+    monkeypatch.setattr(similar, "_stars", none)
+    monkeypatch.setattr(similar, "_all", none)
+    got = sorted(r.doc_id for r in simhash.keep_one(docs).collect() if r.doc_id)
+    assert got == [1, 2, 2, 4]
+    monkeypatch.undo()
+    found = similar.similar_documents(docs.filter("doc_id <> 2"), groups=lumped).collect()
+    assert sorted(map(tuple, found), key=repr) == [(1, 1), (3, 1), (4, 4)]

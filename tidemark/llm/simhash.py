@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, read, slices, stored
+from tidemark.llm.common import Words, read, release, slices, stored
 from tidemark.llm.graph import components
 from tidemark.llm.similar import similar_documents
 
@@ -131,11 +131,13 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 2, shingle_words: int = 5) -> DataFrame:
     """docs with one document of each group of similar ones, that of the least doc_id; a null doc_id is kept.
 
-    Similar are texts of a shingle similarity of 0.8 or more. Fingerprints this far apart share no radius that holds
-    them all and little else, so the stage joins the shingle sets themselves.
+    Similar are texts of a shingle similarity of 0.8 or more. Groups are those of SimHash fingerprints within the radius,
+    verified by the shingle sets. As no radius holds all similar texts and little else, a join of the sets finds the rest.
     """
-    found = similar_documents(docs, shingle_words).filter("doc_id = component_id").select("doc_id").distinct()
+    near = stored(near_duplicates(docs, radius, shingle_words).select("doc_id", "component_id"))
+    release(docs.sparkSession)
+    found = similar_documents(docs, shingle_words, near).filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))

@@ -6,7 +6,8 @@
 3. Classes that share such a shingle meet if what follows it still allows the similarity: in a few rounds only with one
    class there and the one before, by another order each, which joins large groups in linear work, then with all of
    other groups.
-4. What met is verified by the whole sets; groups are the connected components of what is similar.
+4. Groups that a caller has found by another method, such as SimHash, meet before that, each class with the least.
+5. What met is verified by the whole sets; groups are the connected components of what is similar.
 """
 
 from __future__ import annotations
@@ -94,10 +95,18 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return found
 
 
-def similar_documents(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
+def _of_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(u, v): the class of each row with the least class of its group."""
+    groups = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("group"))  # a row for each doc_id, however often it repeats
+    found = sets.join(groups, "doc_id").select("c", "group").distinct()
+    least = found.groupBy("group").agg(F.min("c").alias("v"), F.max("c").alias("most")).filter("v < most")
+    return found.join(least, "group").filter("c > v").select(F.col("c").alias("u"), "v")
+
+
+def similar_documents(docs: DataFrame, shingle_words: int = 5, groups: DataFrame | None = None) -> DataFrame:
     """(doc_id, component_id): component_id is the least doc_id reachable over texts of a shingle similarity of 0.8 or more.
 
-    Null and empty texts have no shingles and are alike; a null doc_id takes part but is never the least. Other
+    groups (doc_id, component_id) are taken first, verified, so that only what they miss is left to the join. Null and empty texts have no shingles and are alike; a null doc_id takes part but is never the least. Other
     columns are not read.
     """
     spark = docs.sparkSession
@@ -107,7 +116,8 @@ def similar_documents(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     release(spark)
     keys = _keys(classes)
     release(spark)
-    links = classes.limit(0).select(F.col("c").alias("u"), F.col("c").alias("v"))
+    links = _verified(_of_groups(sets, groups), classes) if groups is not None else classes.limit(0).select(F.col("c").alias("u"), F.col("c").alias("v"))
+    release(spark)
     for k in range(STARS + 1):
         # What is left are shingles of several groups.
         named = keys.join(components(links), F.col("c") == F.col("node"), "left").select("t", "c", "n", "left", F.coalesce("root", "c").alias("root"))
