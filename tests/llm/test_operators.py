@@ -108,6 +108,22 @@ def test_lines(docs, rows, empty):
     assert remove_similar_lines(empty).count() == 0
 
 
+def test_long_lines_that_share_words_do_not_all_meet(spark, monkeypatch):
+    """Lines of many words of a small vocabulary: unlike ones are told apart before they are paired, and similar ones of about 48 words are found."""
+    from tidemark.llm import lines
+
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.sample([f"v{i}" for i in range(600)], rng.randint(150, 190)))) for k in range(300)]
+    for k in range(300, 420):
+        line = rows[k - 300][1].split()[: rng.randint(40, 60)]
+        rows += [(k, " ".join(line)), (k + 1000, " ".join([*line[rng.randint(0, 6) :], *(f"x{i}" for i in range(rng.randint(0, 7)))]))]
+    met, removed = [], lines._removed
+    monkeypatch.setattr(lines, "_removed", lambda pairs, *more: met.append(pairs.distinct().count()) or removed(pairs, *more))
+    found = lines.remove_similar_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert _sorted(found.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2("line_dedup.kept", 256)).collect()) == _sorted(_kept_lines(rows))
+    assert sum(met) < 400
+
+
 def test_lines_by_their_words(spark):
     """Near copies in a large group, words whose 31-bit hashes are equal, sets at the edge of the similarity, and clashing names."""
     from tidemark.llm.lines import dedup_lines, remove_similar_lines

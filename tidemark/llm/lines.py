@@ -5,7 +5,8 @@
 2. Lines of equal word sets are one class, pre-aggregated, numbered in the order of first places (doc_id, line number).
 3. Two sets of a Jaccard similarity of s have their first common word among the first n - ceil(s * n) + 1 of each.
    Classes that share a word there meet if what follows it in both still allows the similarity, which bounds
-   lengths and places at once; first only with the earliest class of that word and the one before, which
+   lengths and places at once, and if the parities of their words in hash buckets differ in no more than the words that
+   one of them alone may have; first only with the earliest class of that word and the one before, which
    settles groups of near copies in linear work, then, for what is not yet removed, with all. A word that many lines
    may hold is cut into ranges of classes for the first, so that no task holds all of them.
 4. What met is verified by the words themselves, read again from the texts. A class similar to an earlier class is
@@ -32,11 +33,14 @@ SKETCH = 1 << 18
 HASH_BITS = 58
 #: Classes of one word that meet in one task, about.
 RANGE_ROWS = 20_000
-#: Slices of the words in which what is left meets.
+#: Slices of the words in which classes are grouped and what is left meets.
 SLICES = 4
+#: Words of a set whose parity is taken in three times as many bits.
+WIDE = 48
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
 LAST = 2**63 - 1
+PARITIES = ("parity", "parity1", "parity2")
 
 
 def _text(docs: DataFrame) -> Column:
@@ -71,25 +75,27 @@ def _prefix(n: Column) -> Column:
 
 
 def _lines(docs: DataFrame, levels: Column) -> DataFrame:
-    """(doc_id, th, line, k, k2, n, head, parity): lines with words; k, k2 tell sets apart, head has the rarest words that the filter needs."""
+    """(doc_id, th, line, k, k2, n, head, parity, parity1, parity2): lines with words; k, k2 tell sets apart, head has the rarest words that the filter needs."""
     place = F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line", "l")
     hashes = F.transform(F.split("l", " "), lambda w: F.xxhash64(w))
     blank = F.xxhash64(F.lit(""))
     codes = F.transform(F.array_remove(hashes, blank), lambda h: F.shiftleft(F.get(levels, _bucket(h)).cast("long"), HASH_BITS) + h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
     found = docs.select("doc_id", "th", place).select("doc_id", "th", "line", F.array_distinct(F.sort_array(codes)).alias("toks"))
     n = F.size("toks")
-    parity = F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))))
+    parity = lambda of: F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", of(x).cast("long"), x.bitwiseAND(F.lit(63)))))
+    # The second and third of three parts of the words; the parity of the first follows from that of all.
+    third = lambda k: F.when(n >= WIDE, parity(lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1023)) % 3 == k)).alias(f"parity{k}")
     # Sets of fewer than four words are similar only when equal.
     head = F.when(n >= NUM, F.slice("toks", F.lit(1), _prefix(n)))
-    return found.filter(n > 0).select("doc_id", "th", "line", F.xxhash64("toks").alias("k"), F.xxhash64("toks", F.lit(1)).alias("k2"), n.alias("n"), head.alias("head"), parity.alias("parity"))
+    return found.filter(n > 0).select("doc_id", "th", "line", F.xxhash64("toks").alias("k"), F.xxhash64("toks", F.lit(1)).alias("k2"), n.alias("n"), head.alias("head"), parity(lambda x: F.lit(1)).alias("parity"), third(1), third(2))
 
 
 def _classes(lines: DataFrame) -> DataFrame:
-    """lines with c, the number of their class in the order of first places, and at_first; n, head and parity at these places only."""
+    """lines with c, the number of their class in the order of first places, and at_first; n, head and parities at these places only."""
     at = lines.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "line", "th")).alias("at"))
     numbered = stored(at.orderBy("at.doc_id", "at.line", "k", "k2").withColumn("c", F.monotonically_increasing_id()), deltas=True)
     first = F.struct("doc_id", "line", "th") == F.col("at")
-    return lines.join(numbered, ["k", "k2"]).select("doc_id", "th", "line", "c", first.alias("at_first"), *(F.when(first, F.col(x)).alias(x) for x in ("n", "head", "parity")))
+    return lines.join(numbered, ["k", "k2"]).select("doc_id", "th", "line", "c", first.alias("at_first"), *(F.when(first, F.col(x)).alias(x) for x in ("n", "head", *PARITIES)))
 
 
 def _may(a: str, b: str) -> Column:
@@ -99,7 +105,9 @@ def _may(a: str, b: str) -> Column:
     # Words in common at least, for this similarity: both * NUM / (NUM + DEN); none of them comes before this one.
     place = F.least(c(a, "left"), c(b, "left")) * (NUM + DEN) >= both * NUM
     # A word in one of the sets only changes one bit.
-    return (c(b, "c") < c(a, "c")) & place & (F.bit_count(c(a, "parity").bitwiseXOR(c(b, "parity"))) * (NUM + DEN) <= both * (DEN - NUM))
+    every, one, two = (c(a, x).bitwiseXOR(c(b, x)) for x in PARITIES)
+    bits = F.coalesce(F.bit_count(every.bitwiseXOR(one).bitwiseXOR(two)) + F.bit_count(one) + F.bit_count(two), F.bit_count(every))
+    return (c(b, "c") < c(a, "c")) & place & (bits * (NUM + DEN) <= both * (DEN - NUM))
 
 
 def _met(rows: DataFrame, order: WindowSpec) -> list[Column]:
@@ -108,16 +116,16 @@ def _met(rows: DataFrame, order: WindowSpec) -> list[Column]:
     return [rows.withColumns({"p": first, "q": last}), *(F.when(_may("a", x), F.col(f"{x}.c")).alias(x) for x in ("p", "q"))]
 
 
-def _shared(classes: DataFrame) -> DataFrame:
-    """(t, a, cut, i, m, p, q): a row for each prefix word of each class that other classes may share.
+def _shared(classes: DataFrame, slice_: int) -> DataFrame:
+    """(t, a, cut, i, m, p, q): a row for each prefix word of each class that other classes may share, for one slice of the words.
 
-    a: class, its words, those from this one on, and its parity; p, q: the first of the part's classes and the one
+    a: class, its words, those from this one on, and its parities; p, q: the first of the part's classes and the one
     before; i: its place in the part, m: the part's size. Words that may be frequent, by their level, are cut into parts.
     """
-    rows = classes.filter("at_first and head is not null").select("c", "n", "parity", F.posexplode("head").alias("i", "t"))
+    rows = classes.filter("at_first and head is not null").select("c", "n", *PARITIES, F.posexplode("head").alias("i", "t")).filter(F.pmod("t", F.lit(SLICES)) == slice_)
     parts = F.ceil(F.pow(F.lit(2.0), F.shiftrightunsigned("t", HASH_BITS) + 1) / RANGE_ROWS).cast("long")
     part = F.when(parts > 1, F.pmod(F.xxhash64(F.shiftright("c", 10)), parts)).otherwise(F.lit(0).cast("long"))
-    rows = rows.select("t", part.alias("part"), F.struct("c", "n", (F.col("n") - F.col("i")).alias("left"), "parity").alias("a"), (parts > 1).alias("cut"))
+    rows = rows.select("t", part.alias("part"), F.struct("c", "n", (F.col("n") - F.col("i")).alias("left"), *PARITIES).alias("a"), (parts > 1).alias("cut"))
     by = Window.partitionBy("t", "part")
     rows = rows.withColumns({"i": F.row_number().over(by.orderBy("a.c")), "m": F.count(F.lit(1)).over(by)})
     found, p, q = _met(rows, by.orderBy("a.c"))
@@ -131,14 +139,14 @@ def _near(shared: DataFrame) -> DataFrame:
     return both.select("c", F.explode(F.array("p", "q")).alias("g")).filter("g is not null")
 
 
-def _rest(shared: DataFrame, settled: DataFrame, slice_: int) -> DataFrame:
-    """(c, g): classes not settled with all earlier classes of their words, for one slice of the words.
+def _rest(shared: DataFrame, settled: DataFrame) -> DataFrame:
+    """(c, g): classes not settled with all earlier classes of their words.
 
     The first three classes of a part have met in full.
     """
-    one = shared.filter("m > 3 or cut").filter(F.pmod("t", F.lit(SLICES)) == slice_).select("t", "i", "cut", "a.*")
+    one = shared.filter("m > 3 or cut").select("t", "i", "cut", "a.*")
     later = one.filter("i > 3 or cut").join(settled, "c", "left_anti")
-    side = lambda d, name: d.select("t", F.struct("c", "n", "left", "parity").alias(name)).alias(f"_{name}")
+    side = lambda d, name: d.select("t", F.struct("c", "n", "left", *PARITIES).alias(name)).alias(f"_{name}")
     met = side(later, "a").join(side(one, "b"), (F.col("_a.t") == F.col("_b.t")) & _may("a", "b"))
     return met.select(F.col("a.c").alias("c"), F.col("b.c").alias("g"))
 
@@ -174,14 +182,16 @@ def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = stored(_classes(whole), deltas=True)
     discard(whole)
     release(spark)
-    shared = stored(_shared(classes), deltas=True)
-    release(spark)
-    settled = _removed(_near(shared), classes, docs)
-    rest = []
+    shared = []
     for k in range(SLICES):  # one after the other, as the words of all would fill the disks with shuffle files
-        rest.append(stored(_rest(shared, settled, k).distinct()))
+        shared.append(stored(_shared(classes, k), deltas=True))
+        release(spark)
+    settled = _removed(reduce(DataFrame.unionByName, map(_near, shared)), classes, docs)
+    rest = []
+    for some in shared:
+        rest.append(stored(_rest(some, settled).distinct()))
+        discard(some)
         release(spark)
-    discard(shared)
     removed = stored(settled.unionByName(_removed(reduce(DataFrame.unionByName, rest), classes, docs)))
     discard(settled, *rest)
     return classes, removed
