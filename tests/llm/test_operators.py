@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -285,6 +286,34 @@ def test_bpe(docs, rows, empty):
     assert encode_decode(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_folds_frequent_words_once(spark, monkeypatch):
+    """Words that many slices hold are folded once, and ids are right whether a match is broadcast, folded in its slice or long."""
+    import public_tokenizers
+    import tiktoken
+
+    from tidemark.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(path), special_tokens={})
+    rng = random.Random(4)
+    common = ["".join(rng.choice("thereandiot\u00e9\u4e2d") for _ in range(rng.randint(1, 12))) for _ in range(200)]
+    rows = [(k, " ".join([*rng.sample(common, 80), f"own{'abcdefghij'[k % 10] * (k + 1)}"])) for k in range(40)]
+    rows += [(50, None), (51, ""), (52, "x" * 1500), (53, "x" * 1500 + " " + common[0]), (54, "It's\x1c\x1d 's'll\x1f12a\n\n \t b\x0b\x0c$%_ \x00 "), (55, "It's\x1c\x85\u00a0'll 1\u00b2a\n\n ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 2000)
+    folded, distinct_words = [], bpe.distinct_words
+    monkeypatch.setattr(bpe, "distinct_words", lambda *x: folded.append(distinct_words(*x)) or folded[-1])
+    for known in (1 << 20, 100, 0):
+        monkeypatch.setattr(bpe, "KNOWN", known)
+        found = bpe.encode_decode(docs, path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded").collect()
+        ids = {d: e.encode_ordinary(t or "") for d, t in rows}
+        want = [(d, len(ids[d]), hashlib.sha256(",".join(map(str, ids[d])).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), ids[d], (t or "").encode()) for d, t in rows]
+        assert _sorted((*r[:4], list(r.ids), bytes(r.decoded)) for r in found) == _sorted(want)
+    words = [[w for r in x.select("words").collect() for w in r.words] for x in folded]
+    assert max(Counter(words[0]).values()) == 1 < max(Counter(words[2]).values())
+    assert len(words[0]) < len(words[1]) <= len(words[2])
+
+
 def test_toxicity(spark, sf_dir, docs, rows, empty):
     from tidemark.llm.toxicity import detect
 

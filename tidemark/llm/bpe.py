@@ -4,7 +4,9 @@ Slices of documents are turned into their distinct words and the place of each w
 the merges over every distinct word: a word is an array of ids, of its bytes at first, with the ranks of the neighbouring
 pairs, and a step joins the pair of least rank, whose rank is the joined piece's id, and looks up the two new pairs
 beside it. The rank map is one literal: pairs of ids in hash buckets, as a look-up in one large map would walk all of
-it. Decoding concatenates the binary pieces of the ids. Nothing is shuffled, and a slice has a bounded size.
+it. Words that are frequent in a sample of bounded size are folded first, once, and broadcast with their ids, so that a
+slice folds only the others. Decoding concatenates the binary pieces of the ids. No text is shuffled, and a slice has a
+bounded size.
 """
 
 from __future__ import annotations
@@ -13,21 +15,30 @@ import base64
 import hashlib
 import heapq
 import json
+import re
+from collections import Counter, defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read, slices
+from tidemark.llm.common import discard, read, slices, stored, text_size
 
 #: Hash buckets of the literal rank map.
 BUCKETS, SPREAD = 1 << 16, 40503
 #: Text of a slice, whose words are told apart together.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 #: Bytes of a match that is folded; a step costs the length, so a longer one is encoded where it is found, with a heap.
 LONG = 1024
 NONE = 2147483647
+#: Text whose words are counted, and most words, and bytes of a word, that are broadcast with their ids.
+SAMPLE_BYTES, KNOWN, KNOWN_BYTES = 128 << 20, 3 << 18, 32
+#: What ASCII characters a class of a pattern has.
+ASCII = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": "\t-\r "}
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -44,24 +55,20 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def _literals(table: dict[bytes, int]) -> tuple[Column, Column]:
-    """(one: id of each byte, two: rank of each pair of bytes, k and v: bucketed pairs of ids and their ranks; binary pieces by id)."""
+def _literals(table: dict[bytes, int]) -> Column:
+    """(one: id of each byte, two: rank of each pair of bytes, k and v: bucketed pairs of ids and their ranks)."""
     pairs: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in table.items():
         for k in range(1, len(piece)):
             a, b = table.get(piece[:k]), table.get(piece[k:])
             if a is not None and b is not None:
                 pairs[(a * SPREAD + b) % BUCKETS][a << 32 | b] = rank
-    find = F.struct(
+    return F.struct(
         _literal([table[bytes([x])] for x in range(256)], "array<int>").alias("one"),
         _literal([table.get(bytes([x, y]), NONE) for x in range(256) for y in range(256)], "array<int>").alias("two"),
         _literal([list(x) for x in pairs], "array<array<bigint>>").alias("k"),
         _literal([list(x.values()) for x in pairs], "array<array<int>>").alias("v"),
     )
-    pieces = [""] * (max(table.values()) + 1)
-    for piece, rank in table.items():
-        pieces[rank] = base64.b64encode(piece).decode()
-    return find, _literal(pieces, "array<binary>")
 
 
 def _bind(value: Column, use) -> Column:
@@ -123,34 +130,103 @@ def encode_long(piece: bytes, table: dict[bytes, int]) -> list[int]:
     return [table[piece[i:e]] for i, e in enumerate(end) if e]
 
 
-def distinct_words(docs: DataFrame, pattern: str, rank_file: str) -> DataFrame:
-    """One row per slice of docs: its distinct matches as strings of a character a byte, the ids of long ones, and for each text the places of its matches in words and then longer."""
+def known_words(docs: DataFrame, pattern: str, table: Column) -> pa.Table:
+    """(w, ids): matches of up to KNOWN_BYTES bytes in about SAMPLE_BYTES of the texts, about KNOWN at most, the most frequent, folded.
+
+    Only saves folding them in every slice; a match that isn't here is folded where it is found.
+    """
+    spark, total = docs.sparkSession, text_size(docs)[1]
+    some = docs.sample(SAMPLE_BYTES / total, 7) if total > SAMPLE_BYTES else docs
 
     def run(batches):
-        import regex
+        find = _finder(pattern)
+        for batch in slices(batches, limit=SLICE_BYTES):
+            found = Counter()
+            for text in batch.column(1).to_pylist():
+                found.update(find(text or ""))
+            yield pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["w", "n"])
+
+    counts = _columns(some).mapInArrow(run, "w string, n long").filter(F.octet_length("w") <= KNOWN_BYTES)
+    counts = stored(counts.groupBy("w").agg(F.sum("n").alias("n")))
+    level, left, take = F.floor(F.log2(F.col("n") + 0.5)), KNOWN, F.lit(False)
+    for at, words in sorted(map(tuple, counts.groupBy(level.alias("level")).count().collect()), reverse=True):
+        share = max(0, min(1000, 1000 * left // words))  # of the last level that has room, by a hash
+        take |= (level == at) & (F.pmod(F.xxhash64("w"), F.lit(1000)) < share)
+        left -= words
+    often = counts.filter(take).select("w").repartition(spark.sparkContext.defaultParallelism)
+    word = F.decode(F.col("w").cast("binary"), "ISO-8859-1")
+    found = often.select("w", _bind(table, lambda t: _fold(word, t)).alias("ids")).toArrow()
+    discard(counts)
+    return found.cast(pa.schema([("w", pa.string()), ("ids", pa.list_(pa.int32()))])).combine_chunks()
+
+
+def _finder(pattern: str):
+    """findall of the pattern; for ASCII texts by the standard library, which is faster, if each class of the pattern is in ASCII."""
+    import regex
+
+    find, plain, inside = regex.compile(pattern).findall, "", False
+    for x in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.DOTALL):
+        if x == r"\S" and not inside:
+            plain += f"[^{ASCII[x.lower()]}]"
+        elif x in ASCII:
+            plain += ASCII[x] if inside else f"[{ASCII[x]}]"
+        elif x[0] == "\\":
+            return find
+        else:
+            plain, inside = plain + x, x == "[" or inside and x != "]"
+    fast = re.compile(plain).findall
+    return lambda text: (fast if text.isascii() else find)(text)
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def distinct_words(docs: DataFrame, pattern: str, rank_file: str, known: Broadcast) -> DataFrame:
+    """One row per slice of docs: its distinct matches, as places in known, else as strings of a character a byte, or as ids if long; and for each text the places of its matches in known, then words, then longer."""
 
-        find, table = regex.compile(pattern).findall, None
+    def run(batches):
+        find, table, folded = _finder(pattern), None, _unpack(known)
         for batch in slices(batches, limit=SLICE_BYTES):
-            known: dict[str, int] = {}
+            seen = defaultdict(count().__next__)
             sizes, where = [], []
             for text in batch.column(1).to_pylist():
                 found = find(text or "")
-                where.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found)))
+                where.append(np.fromiter(map(seen.__getitem__, found), np.int32, len(found)))
                 sizes.append(len(found))
-            words = [w.encode() for w in known]
-            order = np.argsort([len(w) > LONG for w in words], kind="stable")  # short ones first
+            at = pc.fill_null(pc.index_in(pa.array(list(seen), pa.string()), value_set=folded), -1).to_numpy()
+            words = [w.encode() for w in seen]
+            kind = np.where(at >= 0, 0, np.where(np.fromiter(map(len, words), np.int64, len(words)) <= LONG, 1, 2))
+            order = np.argsort(kind, kind="stable")
             place = np.zeros(len(words), np.int32)
             place[order] = np.arange(len(words))
-            words = [words[i] for i in order.tolist()]
-            cut = sum(len(w) <= LONG for w in words)
+            first, cut = np.searchsorted(kind[order], [1, 2]).tolist()
             if cut < len(words):
                 table = table or ranks(rank_file)
-            longer = [encode_long(w, table) for w in words[cut:]]
+            short, longer = [_chars(words[i]) for i in order[first:cut].tolist()], [encode_long(words[i], table) for i in order[cut:].tolist()]
             one = lambda x, t: pa.ListArray.from_arrays([0, len(x)], pa.array(x, t))
-            yield pa.record_batch([one(batch.column(0), pa.int64()), one(sizes, pa.int32()), one(place[np.concatenate(where)], pa.int32()), one([_chars(w) for w in words[:cut]], pa.string()), one(longer, pa.list_(pa.int32()))], names=["doc_ids", "sizes", "places", "words", "longer"])
+            yield pa.record_batch([one(batch.column(0), pa.int64()), one(sizes, pa.int32()), one(place[np.concatenate(where)], pa.int32()), one(at[order[:first]], pa.int32()), one(short, pa.string()), one(longer, pa.list_(pa.int32()))], names=["doc_ids", "sizes", "places", "known", "words", "longer"])
+
+    return _columns(docs).mapInArrow(run, "doc_ids array<long>, sizes array<int>, places array<int>, known array<int>, words array<string>, longer array<array<int>>")
+
+
+def _pack(spark: SparkSession, column: pa.ChunkedArray) -> Broadcast:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("x", column.type)])) as out:
+        out.write_table(pa.table({"x": column}))
+    return spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+def _unpack(packed: Broadcast) -> pa.Array:
+    column = pa.ipc.open_stream(packed.value).read_all().column("x")
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_ids array<long>, sizes array<int>, places array<int>, words array<string>, longer array<array<int>>")
+def _joined(words: pa.Array, places: np.ndarray, ends: np.ndarray) -> tuple[memoryview, list[int]]:
+    """(bytes, ends of texts in them): words in the order of places, of which each text takes those up to its end."""
+    found = words.take(pa.array(places))
+    _, offsets, data = found.buffers()
+    return memoryview(data or b""), np.frombuffer(offsets, np.int64)[ends].tolist() if len(found) else [0] * len(ends)
 
 
 def encode_decode(docs: DataFrame, rank_file: str, pattern: str, keep: bool = True) -> DataFrame:
@@ -158,29 +234,40 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, keep: bool = Tr
 
     ids and decoded (binary) are null unless keep is set. Null and empty texts have no tokens; repeated rows are
     encoded each; no rows, no rows; other columns are not read. A match of n bytes takes n folding steps of its length,
-    or n log n where it is longer than LONG; equal matches of a slice are encoded once.
+    or n log n where it is longer than LONG; matches that are frequent in a sample are encoded once, others once a slice.
+    The sample is read at the call, the texts when the result is.
     """
-    table, pieces = _literals(ranks(rank_file))
-    sliced = distinct_words(docs, pattern, rank_file)
-    # Each literal stands in the plan once and is bound to a variable there.
-    coded = sliced.withColumn("ids", F.concat(_bind(table, lambda t: F.transform("words", lambda w: _fold(w, t))), "longer")).drop("words", "longer")
-    coded = coded.withColumn("decoded", _bind(pieces, lambda t: F.transform("ids", lambda ids: F.aggregate(ids, F.lit(b""), lambda a, i: F.concat(a, F.element_at(t, i + 1))))))
+    spark, table = docs.sparkSession, _literals(ranks(rank_file))
+    known = known_words(docs, pattern, table)
+    known_ids = _pack(spark, known["ids"])
+    sliced = distinct_words(docs, pattern, rank_file, _pack(spark, known["w"]))
+    # The literal stands in the plan once and is bound to a variable there.
+    coded = sliced.withColumn("ids", _bind(table, lambda t: F.transform("words", lambda w: _fold(w, t)))).drop("words")
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
     def run(batches):
+        kind, folded, at_rank = pa.list_(pa.int32()), _unpack(known_ids), {r: p for p, r in ranks(rank_file).items()}
+        pieces = pa.array([at_rank.get(i) for i in range(max(at_rank) + 1)], pa.large_binary())
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, decoded = batch.column("ids")[k].values, batch.column("decoded")[k].values.to_pylist()
-                n, flat = np.diff(ids.offsets.to_numpy()), ids.flatten().to_numpy()
-                begin = np.concatenate([[0], np.cumsum(n)])
-                texts = [",".join(map(str, flat[a:b].tolist())) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
-                places, at, rows = batch.column("places")[k].values.to_numpy(), 0, []
-                for doc_id, size in zip(batch.column("doc_ids")[k].values.to_pylist(), batch.column("sizes")[k].values.to_pylist()):
-                    p = places[at : at + size].tolist()
-                    at += size
-                    back = b"".join([decoded[i] for i in p])
-                    rows.append((doc_id, int(n[p].sum()) if p else 0, hashlib.sha256(",".join([texts[i] for i in p]).encode()).hexdigest(), hashlib.sha256(back).hexdigest(), [int(x) for i in p for x in flat[begin[i] : begin[i + 1]]] if keep else None, back if keep else None))
-                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+                of = lambda name: batch.column(name)[k].values  # noqa: E731, B023
+                ids = pa.concat_arrays([folded.take(of("known")), of("ids").cast(kind), of("longer").cast(kind)])
+                offsets = ids.offsets
+                texts = pc.binary_join(pa.ListArray.from_arrays(offsets, ids.values.cast(pa.large_string())), pa.scalar(",", pa.large_string()))
+                texts = pc.binary_join_element_wise(texts, pa.scalar("", pa.large_string()), pa.scalar(",", pa.large_string()))
+                _, ends, data = pieces.take(ids.values).buffers()
+                ends = np.frombuffer(ends, np.int64)[offsets.to_numpy()] if len(ids.values) else np.zeros(len(offsets), np.int64)
+                words = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), data if data is not None else pa.py_buffer(b"")])
+                places, bounds = of("places").to_numpy(), np.concatenate([[0], np.cumsum(of("sizes").to_numpy(), dtype=np.int64)])
+                total = np.concatenate([[0], np.cumsum(np.diff(offsets.to_numpy())[places], dtype=np.int64)])[bounds]
+                hashed = lambda data, at, less=0: pa.array([hashlib.sha256(data[a : max(a, b - less)]).hexdigest() for a, b in zip(at[:-1], at[1:])], pa.string())
+                said = hashed(*_joined(texts, places, bounds), 1)
+                back, back_at = _joined(words, places, bounds)
+                n = len(bounds) - 1
+                whole = pa.nulls(n, kind), pa.nulls(n, pa.binary())
+                if keep:
+                    whole = pa.ListArray.from_arrays(total.astype(np.int32), ids.take(pa.array(places)).flatten()), pa.array([bytes(back[a:b]) for a, b in zip(back_at[:-1], back_at[1:])], pa.binary())
+                yield pa.record_batch([of("doc_ids"), pa.array(np.diff(total)), said, hashed(back, back_at), *whole], schema=schema)
 
     return coded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded binary")
 
