@@ -125,6 +125,25 @@ def test_long_lines_that_share_words_do_not_all_meet(spark, monkeypatch):
     assert sum(met) < 400
 
 
+def test_words_of_lines_are_made_once(spark):
+    """A filter for lines with words does not hash and order all words a first time."""
+    from tidemark.llm import lines
+
+    docs = spark.createDataFrame([(1, 2, "a b c d\n  \n e")], "doc_id long, th long, text string")
+    plan = lines._lines(docs, F.array(*[F.lit(1).cast("tinyint")] * 4))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("sort_array(") == 1
+
+
+def test_equal_places_of_rows_that_share_an_id(spark):
+    """Neither equal nor similar lines at one place of two texts of one doc_id remove each other; later ones go."""
+    from tidemark.llm.lines import remove_similar_lines
+
+    line = "p q r s t u v w x "
+    rows = [(5, "a b c d e"), (5, "a b c d e\nmore words in here"), (7, line + "y"), (7, line + "z\na b c d e"), (8, "f g\n" + line + "y"), (None, "h i j"), (None, "h i j\nk")]
+    found = remove_similar_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert _sorted(found.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2("line_dedup.kept", 256)).collect()) == _sorted(_kept_lines(rows))
+
+
 def test_lines_by_their_words(spark):
     """Near copies in a large group, words whose 31-bit hashes are equal, sets at the edge of the similarity, and clashing names."""
     from tidemark.llm.lines import dedup_lines, remove_similar_lines

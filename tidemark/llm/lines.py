@@ -1,18 +1,21 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame operations only.
 
 1. Words are counted in a sketch of a fixed number of hash buckets; the words of a line are ordered by the level of
-   their bucket's count, rarest first, then by hash: one order for all lines, which is all that a prefix filter needs.
-2. Lines of equal word sets are one class, pre-aggregated, numbered in the order of first places (doc_id, line number).
+   their bucket's count, rarest first, then by length, longest first, then by hash: one order for all lines, which is
+   all that a prefix filter needs.
+2. Lines are numbered in the order of their places (doc_id, line number). Lines of equal word sets are one class, for
+   which the first of them stands.
 3. Two sets of a Jaccard similarity of s have their first common word among the first n - ceil(s * n) + 1 of each.
    Classes that share a word there meet if what follows it in both still allows the similarity, which bounds
    lengths and places at once, and if the parities of their words in hash buckets differ in no more than the words that
-   one of them alone may have; first only with the earliest class of that word and the one before, which
-   settles groups of near copies in linear work, then, for what is not yet removed, with all. A word that many lines
-   may hold is cut into ranges of classes for the first, so that no task holds all of them.
+   one of them alone may have; first, by their rarest words only, with the earliest class of that word and the one
+   before, which settles groups of near copies in linear work, then, for what is not yet removed, by all words of the
+   prefix with all earlier classes. A word that many lines may hold is cut into ranges of classes for the first, so that
+   no task holds all of them.
 4. What met is verified by the words themselves, read again from the texts. A class similar to an earlier class is
    removed, and so is every place of a class but the first.
 
-Candidates are found by hashes: a word is its level and 58 bits, a class 128 bits of these.
+Candidates are found by hashes: a word is its level, its length and 54 bits, a class 128 bits of these.
 """
 
 from __future__ import annotations
@@ -23,19 +26,20 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from tidemark.llm.common import discard, free_name, read, release, stored
 
-#: Buckets of the rarity sketch, a power of two.
-SKETCH = 1 << 18
-#: Bits of a word's hash; the level stands above them.
-HASH_BITS = 58
+#: Buckets of the rarity sketch, a power of two that Spark's fast hash map holds.
+SKETCH = 1 << 16
+#: Bits of a word's code below its level: its length, longest first up to LONG bytes, and the bits of its hash below that.
+CODE_BITS, LENGTH_AT, LONG = 58, 54, 15
 #: Classes of one word that meet in one task, about.
 RANGE_ROWS = 20_000
-#: Slices of the words in which classes are grouped and what is left meets.
-SLICES = 4
-#: Words of a set whose parity is taken in three times as many bits.
+#: Rarest words of a class by which near copies are settled first.
+RAREST = 2
+#: Slices of the words in which classes meet.
+SLICES = 2
+#: Words of a set whose parities are taken in three times as many bits.
 WIDE = 48
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
@@ -70,32 +74,47 @@ def rarity(docs: DataFrame) -> Column:
     return F.from_json(F.lit(json.dumps(levels)), "array<tinyint>")
 
 
+def _codes(line: Column, levels: Column) -> Column:
+    """The words of a line, each once, as whole numbers in the order of rarity: level, length and hash."""
+    kept = F.lit((1 << LENGTH_AT) - 1)
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w).bitwiseAND(kept).bitwiseOR(F.shiftleft(F.greatest(F.lit(LONG) - F.octet_length(w), F.lit(0)).cast("long"), LENGTH_AT)))
+    blank = F.xxhash64(F.lit("")).bitwiseAND(kept).bitwiseOR(F.lit(LONG << LENGTH_AT))
+    return F.sort_array(F.transform(F.array_remove(F.array_distinct(hashes), blank), lambda h: F.shiftleft(F.get(levels, _bucket(h)).cast("long"), CODE_BITS).bitwiseOR(h)))
+
+
 def _prefix(n: Column) -> Column:
     return n - F.ceil(n * NUM / DEN).cast("int") + 1
 
 
 def _lines(docs: DataFrame, levels: Column) -> DataFrame:
-    """(doc_id, th, line, k, k2, n, head, parity, parity1, parity2): lines with words; k, k2 tell sets apart, head has the rarest words that the filter needs."""
+    """(doc_id, th, line, c, k, k2, n, head, parity, parity1, parity2): lines with words; k, k2 tell sets apart, head has the rarest words that the filter needs.
+
+    c numbers the lines in the order of their places: a range of doc_id is one partition.
+    """
     place = F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line", "l")
-    hashes = F.transform(F.split("l", " "), lambda w: F.xxhash64(w))
-    blank = F.xxhash64(F.lit(""))
-    codes = F.transform(F.array_remove(hashes, blank), lambda h: F.shiftleft(F.get(levels, _bucket(h)).cast("long"), HASH_BITS) + h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-    found = docs.select("doc_id", "th", place).select("doc_id", "th", "line", F.array_distinct(F.sort_array(codes)).alias("toks"))
+    placed = docs.repartitionByRange("doc_id").select("doc_id", "th", place).sortWithinPartitions("doc_id", "line", "th")
+    # Lines without words go by their text, as a filter by their words would make these twice.
+    found = placed.withColumn("c", F.monotonically_increasing_id()).filter(F.trim("l") != "").select("doc_id", "th", "line", "c", _codes(F.col("l"), levels).alias("toks"))
     n = F.size("toks")
-    parity = lambda of: F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", of(x).cast("long"), x.bitwiseAND(F.lit(63)))))
-    # The second and third of three parts of the words; the parity of the first follows from that of all.
-    third = lambda k: F.when(n >= WIDE, parity(lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1023)) % 3 == k)).alias(f"parity{k}")
+    parity = lambda of: F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", of(x), x.bitwiseAND(F.lit(63)).cast("int"))))
+    # Of long sets also the parities of the words whose hash has this bit.
+    wide = lambda bit: F.when(n >= WIDE, parity(lambda x: F.shiftrightunsigned(x, bit).bitwiseAND(F.lit(1).cast("long"))))
+    parities = parity(lambda x: F.lit(1).cast("long")), wide(6), wide(7)
     # Sets of fewer than four words are similar only when equal.
     head = F.when(n >= NUM, F.slice("toks", F.lit(1), _prefix(n)))
-    return found.filter(n > 0).select("doc_id", "th", "line", F.xxhash64("toks").alias("k"), F.xxhash64("toks", F.lit(1)).alias("k2"), n.alias("n"), head.alias("head"), parity(lambda x: F.lit(1)).alias("parity"), third(1), third(2))
+    return found.select("doc_id", "th", "line", "c", F.xxhash64("toks").alias("k"), F.xxhash64("toks", F.lit(1)).alias("k2"), n.alias("n"), head.alias("head"), *(x.alias(name) for x, name in zip(parities, PARITIES)))
 
 
 def _classes(lines: DataFrame) -> DataFrame:
-    """lines with c, the number of their class in the order of first places, and at_first; n, head and parities at these places only."""
-    at = lines.groupBy("k", "k2").agg(F.min(F.struct("doc_id", "line", "th")).alias("at"))
-    numbered = stored(at.orderBy("at.doc_id", "at.line", "k", "k2").withColumn("c", F.monotonically_increasing_id()), deltas=True)
-    first = F.struct("doc_id", "line", "th") == F.col("at")
-    return lines.join(numbered, ["k", "k2"]).select("doc_id", "th", "line", "c", first.alias("at_first"), *(F.when(first, F.col(x)).alias(x) for x in ("n", "head", *PARITIES)))
+    """(doc_id, th, line, c, at_first, again): c is the number of a line; its class is at_first at the line that stands for it, and again at places after its first.
+
+    n, head and parities are there for lines at_first only.
+    """
+    by = Window.partitionBy("k", "k2").orderBy("c")
+    first = F.row_number().over(by) == 1
+    again = (F.col("doc_id") != F.first("doc_id").over(by)) | (F.col("line") != F.first("line").over(by))
+    marked = lines.withColumns({"at_first": first, "again": again})
+    return marked.select("doc_id", "th", "line", "c", "at_first", "again", *(F.when(F.col("at_first"), F.col(x)).alias(x) for x in ("n", "head", *PARITIES)))
 
 
 def _may(a: str, b: str) -> Column:
@@ -104,55 +123,41 @@ def _may(a: str, b: str) -> Column:
     both = c(a, "n") + c(b, "n")
     # Words in common at least, for this similarity: both * NUM / (NUM + DEN); none of them comes before this one.
     place = F.least(c(a, "left"), c(b, "left")) * (NUM + DEN) >= both * NUM
-    # A word in one of the sets only changes one bit.
+    # Words in one of the sets only: one at least where their parity is odd, two where it is even and that of some of them odd.
     every, one, two = (c(a, x).bitwiseXOR(c(b, x)) for x in PARITIES)
-    bits = F.coalesce(F.bit_count(every.bitwiseXOR(one).bitwiseXOR(two)) + F.bit_count(one) + F.bit_count(two), F.bit_count(every))
+    bits = F.bit_count(every) + F.coalesce(F.bit_count(one.bitwiseOR(two).bitwiseAND(F.bitwise_not(every))), F.lit(0)) * 2
     return (c(b, "c") < c(a, "c")) & place & (bits * (NUM + DEN) <= both * (DEN - NUM))
 
 
-def _met(rows: DataFrame, order: WindowSpec) -> list[Column]:
-    """(p, q): the first class of a window and the one before each, where it may be similar to the class `a`."""
-    first, last = F.first("a").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lag("a", 1).over(order)
-    return [rows.withColumns({"p": first, "q": last}), *(F.when(_may("a", x), F.col(f"{x}.c")).alias(x) for x in ("p", "q"))]
+def _tokens(classes: DataFrame, *more: str) -> DataFrame:
+    """(t, i, c, n, left, parities, more): a row for each prefix word t of each class, its place i, and the words from it on."""
+    rows = classes.filter("head is not null").select("c", "n", *PARITIES, *more, F.posexplode("head").alias("i", "t"))
+    return rows.select("t", "i", "c", "n", (F.col("n") - F.col("i")).alias("left"), *PARITIES, *more)
 
 
-def _shared(classes: DataFrame, slice_: int) -> DataFrame:
-    """(t, a, cut, i, m, p, q): a row for each prefix word of each class that other classes may share, for one slice of the words.
+def _near(classes: DataFrame) -> DataFrame:
+    """(c, g): each class with the first and the one before of those that have one of its rarest words among their rarest.
 
-    a: class, its words, those from this one on, and its parities; p, q: the first of the part's classes and the one
-    before; i: its place in the part, m: the part's size. Words that may be frequent, by their level, are cut into parts.
+    Words that may be frequent, by their level, are cut into parts.
     """
-    rows = classes.filter("at_first and head is not null").select("c", "n", *PARITIES, F.posexplode("head").alias("i", "t")).filter(F.pmod("t", F.lit(SLICES)) == slice_)
-    parts = F.ceil(F.pow(F.lit(2.0), F.shiftrightunsigned("t", HASH_BITS) + 1) / RANGE_ROWS).cast("long")
+    parts = F.ceil(F.pow(F.lit(2.0), F.shiftrightunsigned("t", CODE_BITS) + 1) / RANGE_ROWS).cast("long")
     part = F.when(parts > 1, F.pmod(F.xxhash64(F.shiftright("c", 10)), parts)).otherwise(F.lit(0).cast("long"))
-    rows = rows.select("t", part.alias("part"), F.struct("c", "n", (F.col("n") - F.col("i")).alias("left"), *PARITIES).alias("a"), (parts > 1).alias("cut"))
-    by = Window.partitionBy("t", "part")
-    rows = rows.withColumns({"i": F.row_number().over(by.orderBy("a.c")), "m": F.count(F.lit(1)).over(by)})
-    found, p, q = _met(rows, by.orderBy("a.c"))
-    return found.filter("m > 1 or cut").select("t", "a", "cut", "i", "m", p, q)
-
-
-def _near(shared: DataFrame) -> DataFrame:
-    """(c, g): each class with the first class of its part and the one before, and the firsts of parts with each other likewise."""
-    firsts, p, q = _met(shared.filter("cut and i = 1").select("t", "a"), Window.partitionBy("t").orderBy("a.c"))
-    both = shared.select("a.c", "p", "q").unionByName(firsts.select("a.c", p, q))
-    return both.select("c", F.explode(F.array("p", "q")).alias("g")).filter("g is not null")
+    rows = _tokens(classes).filter(F.col("i") < RAREST).select("t", part.alias("part"), F.struct("c", "n", "left", *PARITIES).alias("a"))
+    by = Window.partitionBy("t", "part").orderBy("a.c")
+    met = rows.withColumns({"p": F.first("a").over(by), "q": F.lag("a", 1).over(by)}).filter("q is not null")
+    return met.select("a.c", F.explode(F.array(*(F.when(_may("a", x), F.col(f"{x}.c")) for x in ("p", "q")))).alias("g")).filter("g is not null")
 
 
-def _rest(shared: DataFrame, settled: DataFrame) -> DataFrame:
-    """(c, g): classes not settled with all earlier classes of their words.
-
-    The first three classes of a part have met in full.
-    """
-    one = shared.filter("m > 3 or cut").select("t", "i", "cut", "a.*")
-    later = one.filter("i > 3 or cut").join(settled, "c", "left_anti")
-    side = lambda d, name: d.select("t", F.struct("c", "n", "left", *PARITIES).alias(name)).alias(f"_{name}")
-    met = side(later, "a").join(side(one, "b"), (F.col("_a.t") == F.col("_b.t")) & _may("a", "b"))
+def _rest(classes: DataFrame, slice_: int) -> DataFrame:
+    """(c, g): classes not settled with all earlier classes of their prefix words, for one slice of these. Settled classes have settled."""
+    rows = _tokens(classes, "settled").filter(F.pmod("t", F.lit(SLICES)) == slice_).drop("i")
+    one, two = rows.alias("a"), rows.alias("b")
+    met = one.filter(~F.col("settled")).join(two, (F.col("a.t") == F.col("b.t")) & _may("a", "b"))
     return met.select(F.col("a.c").alias("c"), F.col("b.c").alias("g"))
 
 
 def _removed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(c): the later class c of each pair (c, g) whose sets of words are similar.
+    """(c, doc_id, th, line): the later class c of each pair (c, g) whose sets of words are similar, and its place.
 
     The pairs are stored, so that Spark knows their size when it chooses how to bring the words to them.
     """
@@ -160,19 +165,20 @@ def _removed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     asked = pairs.select("c").unionByName(pairs.select(F.col("g").alias("c"))).distinct()
     places = classes.filter("at_first").select("c", "doc_id", "th", "line").join(asked, "c")
     places = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("c", "line")).alias("at"))
-    lines = docs.join(places, ["doc_id", "th"]).withColumn("ls", F.split(_spaced(F.col("text")), "\n")).select("ls", F.explode("at").alias("at"))
-    words = stored(lines.select("at.c", F.array_distinct(_words(F.get("ls", F.col("at.line")))).alias("w")))
+    lines = docs.join(places, ["doc_id", "th"]).withColumn("ls", F.split(_spaced(F.col("text")), "\n")).select("doc_id", "th", "ls", F.explode("at").alias("at"))
+    words = stored(lines.select("at.c", "doc_id", "th", "at.line", F.array_distinct(_words(F.get("ls", F.col("at.line")))).alias("w")))
     release(docs.sparkSession)
-    one, two = words.join(pairs, "c"), words.select(F.col("c").alias("g"), F.col("w").alias("w2"))
+    one, two = words.join(pairs, "c"), words.select(F.col("c").alias("g"), F.col("doc_id").alias("doc_id2"), F.col("line").alias("line2"), F.col("w").alias("w2"))
     similar = F.size(F.array_intersect("w", "w2")) * (NUM + DEN) >= (F.size("w") + F.size("w2")) * NUM
-    found = stored(one.join(two, "g").filter(similar).select("c").distinct())
+    elsewhere = (F.col("doc_id") != F.col("doc_id2")) | (F.col("line") != F.col("line2"))
+    found = stored(one.join(two, "g").filter(elsewhere & similar).select("c", "doc_id", "th", "line").distinct())
     discard(words, pairs)
     release(docs.sparkSession)
     return found
 
 
-def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, removed): places of lines (doc_id, th, line, c, at_first), and the classes (c) that are similar to an earlier one.
+def similar_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, line): places of lines that are similar or equal to an earlier one.
 
     docs: doc_id (long, not null), th (a hash of the text), text (not null).
     """
@@ -182,19 +188,20 @@ def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = stored(_classes(whole), deltas=True)
     discard(whole)
     release(spark)
-    shared = []
-    for k in range(SLICES):  # one after the other, as the words of all would fill the disks with shuffle files
-        shared.append(stored(_shared(classes, k), deltas=True))
-        release(spark)
-    settled = _removed(reduce(DataFrame.unionByName, map(_near, shared)), classes, docs)
+    near = _removed(_near(classes), classes, docs)
+    marked = classes.join(near.select("c", F.lit(True).alias("settled")), "c", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    marked = stored(marked.filter("head is not null").select("c", "n", "settled", "head", *PARITIES), deltas=True)
+    release(spark)
     rest = []
-    for some in shared:
-        rest.append(stored(_rest(some, settled).distinct()))
-        discard(some)
+    for k in range(SLICES):  # one after the other, as the words of all would fill the disks with shuffle files
+        rest.append(stored(_rest(marked, k).distinct()))
         release(spark)
-    removed = stored(settled.unionByName(_removed(reduce(DataFrame.unionByName, rest), classes, docs)))
-    discard(settled, *rest)
-    return classes, removed
+    discard(marked)
+    last = _removed(reduce(DataFrame.unionByName, rest), classes, docs)
+    places = [x.select("doc_id", "th", "line") for x in (classes.filter("again"), near, last)]
+    found = stored(reduce(DataFrame.unionByName, places))
+    discard(classes, near, last, *rest)
+    return found
 
 
 def remove_similar_lines(docs: DataFrame, into: str = "line_dedup") -> DataFrame:
@@ -210,10 +217,9 @@ def remove_similar_lines(docs: DataFrame, into: str = "line_dedup") -> DataFrame
         raise ValueError(f"docs has a column {into} already")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     place = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(_text(docs)).alias("th")
-    classes, removed = similar_lines(docs.select(*place, _text(docs).alias("text")))
-    gone = classes.select("doc_id", "th", "line", "c", "at_first").join(removed.withColumn("similar", F.lit(True)), "c", "left").filter("similar or not at_first")
-    gone = stored(gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone")))
-    discard(classes, removed)
+    places = similar_lines(docs.select(*place, _text(docs).alias("text")))
+    gone = stored(places.groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone")))
+    discard(places)
     release(docs.sparkSession)
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     lines = F.split(text, "\n")
