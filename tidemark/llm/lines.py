@@ -8,9 +8,8 @@
 3. Two sets of a Jaccard similarity of s have their first common word among the first n - ceil(s * n) + 1 of each.
    Classes that share a word there meet if what follows it in both still allows the similarity, which bounds
    lengths and places at once, and if the parities of their words in hash buckets differ in no more than the words that
-   one of them alone may have; first, by their rarest words only, with the earliest class of that word and the one
-   before, which settles groups of near copies in linear work, then, for what is not yet removed, by all words of the
-   prefix with all earlier classes. A word that many lines may hold is cut into ranges of classes for the first, so that
+   one of them alone may have; first only with the earliest class of that word and the one before, which
+   settles groups of near copies in linear work, then, for what is not yet removed, with all earlier classes. A word that many lines may hold is cut into ranges of classes for the first, so that
    no task holds all of them.
 4. What met is verified by the words themselves, read again from the texts. A class similar to an earlier class is
    removed, and so is every place of a class but the first.
@@ -35,8 +34,6 @@ SKETCH = 1 << 16
 CODE_BITS, LENGTH_AT, LONG = 58, 54, 15
 #: Classes of one word that meet in one task, about.
 RANGE_ROWS = 20_000
-#: Rarest words of a class by which near copies are settled first.
-RAREST = 2
 #: Slices of the words in which classes meet.
 SLICES = 2
 #: Words of a set whose parities are taken in three times as many bits.
@@ -136,13 +133,13 @@ def _tokens(classes: DataFrame, *more: str) -> DataFrame:
 
 
 def _near(classes: DataFrame) -> DataFrame:
-    """(c, g): each class with the first and the one before of those that have one of its rarest words among their rarest.
+    """(c, g): each class with the first and the one before of those that share a prefix word.
 
     Words that may be frequent, by their level, are cut into parts.
     """
     parts = F.ceil(F.pow(F.lit(2.0), F.shiftrightunsigned("t", CODE_BITS) + 1) / RANGE_ROWS).cast("long")
     part = F.when(parts > 1, F.pmod(F.xxhash64(F.shiftright("c", 10)), parts)).otherwise(F.lit(0).cast("long"))
-    rows = _tokens(classes).filter(F.col("i") < RAREST).select("t", part.alias("part"), F.struct("c", "n", "left", *PARITIES).alias("a"))
+    rows = _tokens(classes).select("t", part.alias("part"), F.struct("c", "n", "left", *PARITIES).alias("a"))
     by = Window.partitionBy("t", "part").orderBy("a.c")
     met = rows.withColumns({"p": F.first("a").over(by), "q": F.lag("a", 1).over(by)}).filter("q is not null")
     return met.select("a.c", F.explode(F.array(*(F.when(_may("a", x), F.col(f"{x}.c")) for x in ("p", "q")))).alias("g")).filter("g is not null")
