@@ -125,6 +125,42 @@ def test_long_lines_that_share_words_do_not_all_meet(spark, monkeypatch):
     assert sum(met) < 400
 
 
+def test_similar_lines_of_every_size(spark):
+    """Sets at the edge of the similarity, larger or smaller first, few to a word: no first step, and none are sorted to meet."""
+    from tidemark.llm import lines
+
+    rng = random.Random(8)
+    rows = []
+    for n in [*range(1, 70), *range(120, 131)]:
+        base = [f"s{n}w{i}" for i in range(n)]
+        more = [f"s{n}x{i}" for i in range(n // 4 + 1)]
+        group = [base, base + more[:-1], base + more, base[: n - n // 9] + more[: n // 9], base[n // 5 :]]
+        rows += [" ".join(rng.sample(x, len(x))) for x in group if x]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = lines.remove_similar_lines(docs).select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2("line_dedup.kept", 256))
+    assert _sorted(found.collect()) == _sorted(_kept_lines(list(enumerate(rows))))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    classes = lines.stored(lines._classes(lines._lines(hashed, lines.rarity(hashed)))).withColumn("settled", F.lit(False))
+    plan = lines._rest(classes, 0)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert lines._crowded(classes).count() == 0
+
+
+def test_crowded_words_are_settled_first(spark, monkeypatch):
+    """Near copies in one large group leave far fewer pairs than all with all, and the result stays exact."""
+    from tidemark.llm import lines
+
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(40)]
+    rows = [(k, " ".join(w if rng.random() > 0.04 else f"n{rng.randrange(10**6)}" for w in base)) for k in range(400)]
+    met, removed = [], lines._removed
+    monkeypatch.setattr(lines, "_removed", lambda pairs, *more: met.append(pairs.distinct().count()) or removed(pairs, *more))
+    found = lines.remove_similar_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert _sorted(found.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2("line_dedup.kept", 256)).collect()) == _sorted(_kept_lines(rows))
+    assert sum(met) < 400 * 399 / 2 / 5
+
+
 def test_words_of_lines_are_made_once(spark):
     """A filter for lines with words does not hash and order all words a first time."""
     from tidemark.llm import lines

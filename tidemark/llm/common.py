@@ -46,13 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, *partition_by: str, deltas: bool = False) -> DataFrame:
+def stored(df: DataFrame, *partition_by: str, deltas: bool = False, dictionaries: bool = True) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors.
 
-    deltas writes whole numbers as differences, which takes less room where they are sorted.
+    deltas writes whole numbers as differences, which takes less room where they are sorted. Without dictionaries Parquet
+    does not try them, which saves time for hashes.
     """
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd").option("parquet.writer.version", "v2" if deltas else "v1")
+    out = df.write.option("compression", "zstd").option("parquet.writer.version", "v2" if deltas else "v1").option("parquet.enable.dictionary", str(dictionaries).lower())
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

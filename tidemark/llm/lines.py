@@ -1,20 +1,21 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame operations only.
 
 1. Words are counted in a sketch of a fixed number of hash buckets; the words of a line are ordered by the level of
-   their bucket's count, rarest first, then by length, longest first, then by hash: one order for all lines, which is
-   all that a prefix filter needs.
+   their bucket's count, rarest first, then by hash: one order for all lines, which is all that a prefix filter needs.
 2. Lines are numbered in the order of their places (doc_id, line number). Lines of equal word sets are one class, for
    which the first of them stands.
 3. Two sets of a Jaccard similarity of s have their first common word among the first n - ceil(s * n) + 1 of each.
    Classes that share a word there meet if what follows it in both still allows the similarity, which bounds
    lengths and places at once, and if the parities of their words in hash buckets differ in no more than the words that
-   one of them alone may have; first only with the earliest class of that word and the one before, which
-   settles groups of near copies in linear work, then, for what is not yet removed, with all earlier classes. A word that many lines may hold is cut into ranges of classes for the first, so that
+   one of them alone may have. Where many classes of about one size share a word, they meet only the earliest of these
+   and the one before at first, which settles groups of near copies in linear work; what is not yet removed meets all
+   classes then. Of two sets the smaller has that word in its first ninth, so these words alone are enough for the
+   smaller one, and for the first step. A word that many lines may hold is cut into ranges of classes there, so that
    no task holds all of them.
 4. What met is verified by the words themselves, read again from the texts. A class similar to an earlier class is
    removed, and so is every place of a class but the first.
 
-Candidates are found by hashes: a word is its level, its length and 54 bits, a class 128 bits of these.
+Candidates are found by hashes: a word is its level and 58 bits, a class 128 bits of these.
 """
 
 from __future__ import annotations
@@ -26,22 +27,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, free_name, read, release, stored
+from tidemark.llm.common import discard, free_name, read, release, sized, stored
 
 #: Buckets of the rarity sketch, a power of two that Spark's fast hash map holds.
 SKETCH = 1 << 16
-#: Bits of a word's code below its level: its length, longest first up to LONG bytes, and the bits of its hash below that.
-CODE_BITS, LENGTH_AT, LONG = 58, 54, 15
+#: Bits of a word's code below its level: those of its hash.
+CODE_BITS = 58
 #: Classes of one word that meet in one task, about.
 RANGE_ROWS = 20_000
+#: Classes of one word and size that meet all with all.
+HOT = 100
+#: Pairs whose places are broadcast.
+FEW = 10_000
 #: Slices of the words in which classes meet.
 SLICES = 2
-#: Words of a set whose parities are taken in three times as many bits.
-WIDE = 48
+#: Words of a set whose parities are taken in twice as many bits.
+WIDE = 64
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
 LAST = 2**63 - 1
-PARITIES = ("parity", "parity1", "parity2")
+PARITIES = ("parity", "parity1")
 
 
 def _text(docs: DataFrame) -> Column:
@@ -50,7 +55,8 @@ def _text(docs: DataFrame) -> Column:
 
 def _spaced(text: Column) -> Column:
     """text with a space for each run of other blanks, so that words and lines are split at one byte each."""
-    return F.when(text.rlike("[\\t\\x0B\\f\\r]"), F.regexp_replace(text, "[\\t\\x0B\\f\\r]+", " ")).otherwise(text)
+    others = reduce(Column.__or__, (text.contains(x) for x in "\t\x0b\f\r"))
+    return F.when(others, F.regexp_replace(text, "[\\t\\x0B\\f\\r]+", " ")).otherwise(text)
 
 
 def _words(line: Column) -> Column:
@@ -72,11 +78,13 @@ def rarity(docs: DataFrame) -> Column:
 
 
 def _codes(line: Column, levels: Column) -> Column:
-    """The words of a line, each once, as whole numbers in the order of rarity: level, length and hash."""
-    kept = F.lit((1 << LENGTH_AT) - 1)
-    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w).bitwiseAND(kept).bitwiseOR(F.shiftleft(F.greatest(F.lit(LONG) - F.octet_length(w), F.lit(0)).cast("long"), LENGTH_AT)))
-    blank = F.xxhash64(F.lit("")).bitwiseAND(kept).bitwiseOR(F.lit(LONG << LENGTH_AT))
-    return F.sort_array(F.transform(F.array_remove(F.array_distinct(hashes), blank), lambda h: F.shiftleft(F.get(levels, _bucket(h)).cast("long"), CODE_BITS).bitwiseOR(h)))
+    """The words of a line, each once, as whole numbers in the order of rarity: level and hash."""
+    hashed = lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << CODE_BITS) - 1))
+    level = lambda h: F.coalesce(F.get(levels, _bucket(h)), F.lit(0).cast("tinyint")).cast("long")
+    code = lambda h: F.shiftleft(level(h), CODE_BITS).bitwiseOR(h)
+    # Codes that can't be null are made distinct and sorted as plain numbers.
+    codes = F.transform(F.transform(F.split(line, " "), hashed), code)
+    return F.sort_array(F.array_remove(F.array_distinct(codes), code(hashed(F.lit("")))))
 
 
 def _prefix(n: Column) -> Column:
@@ -84,7 +92,7 @@ def _prefix(n: Column) -> Column:
 
 
 def _lines(docs: DataFrame, levels: Column) -> DataFrame:
-    """(doc_id, th, line, c, k, k2, n, head, parity, parity1, parity2): lines with words; k, k2 tell sets apart, head has the rarest words that the filter needs.
+    """(doc_id, th, line, c, k, k2, n, head, parity, parity1): lines with words; k, k2 tell sets apart, head has the rarest words that the filter needs.
 
     c numbers the lines in the order of their places: a range of doc_id is one partition.
     """
@@ -94,9 +102,9 @@ def _lines(docs: DataFrame, levels: Column) -> DataFrame:
     found = placed.withColumn("c", F.monotonically_increasing_id()).filter(F.trim("l") != "").select("doc_id", "th", "line", "c", _codes(F.col("l"), levels).alias("toks"))
     n = F.size("toks")
     parity = lambda of: F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", of(x), x.bitwiseAND(F.lit(63)).cast("int"))))
-    # Of long sets also the parities of the words whose hash has this bit.
-    wide = lambda bit: F.when(n >= WIDE, parity(lambda x: F.shiftrightunsigned(x, bit).bitwiseAND(F.lit(1).cast("long"))))
-    parities = parity(lambda x: F.lit(1).cast("long")), wide(6), wide(7)
+    # Of long sets also the parities of the words whose hash has bit 6.
+    wide = F.when(n >= WIDE, parity(lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(1).cast("long"))))
+    parities = parity(lambda x: F.lit(1).cast("long")), wide
     # Sets of fewer than four words are similar only when equal.
     head = F.when(n >= NUM, F.slice("toks", F.lit(1), _prefix(n)))
     return found.select("doc_id", "th", "line", "c", F.xxhash64("toks").alias("k"), F.xxhash64("toks", F.lit(1)).alias("k2"), n.alias("n"), head.alias("head"), *(x.alias(name) for x, name in zip(parities, PARITIES)))
@@ -120,10 +128,10 @@ def _may(a: str, b: str) -> Column:
     both = c(a, "n") + c(b, "n")
     # Words in common at least, for this similarity: both * NUM / (NUM + DEN); none of them comes before this one.
     place = F.least(c(a, "left"), c(b, "left")) * (NUM + DEN) >= both * NUM
-    # Words in one of the sets only: one at least where their parity is odd, two where it is even and that of some of them odd.
-    every, one, two = (c(a, x).bitwiseXOR(c(b, x)) for x in PARITIES)
-    bits = F.bit_count(every) + F.coalesce(F.bit_count(one.bitwiseOR(two).bitwiseAND(F.bitwise_not(every))), F.lit(0)) * 2
-    return (c(b, "c") < c(a, "c")) & place & (bits * (NUM + DEN) <= both * (DEN - NUM))
+    # Words in one of the sets only: one at least in each bucket where their parity is odd.
+    every, one = (c(a, x).bitwiseXOR(c(b, x)) for x in PARITIES)
+    bits = F.coalesce(F.bit_count(one) + F.bit_count(every.bitwiseXOR(one)), F.bit_count(every))
+    return place & (bits * (NUM + DEN) <= both * (DEN - NUM))
 
 
 def _tokens(classes: DataFrame, *more: str) -> DataFrame:
@@ -132,25 +140,61 @@ def _tokens(classes: DataFrame, *more: str) -> DataFrame:
     return rows.select("t", "i", "c", "n", (F.col("n") - F.col("i")).alias("left"), *PARITIES, *more)
 
 
-def _near(classes: DataFrame) -> DataFrame:
-    """(c, g): each class with the first and the one before of those that share a prefix word.
+def _short(tokens: DataFrame) -> DataFrame:
+    """Of tokens those that a set needs to meet similar ones that are as large or larger."""
+    return tokens.filter(F.col("left") * (NUM + DEN) >= F.col("n") * (2 * NUM))
 
-    Words that may be frequent, by their level, are cut into parts.
-    """
+
+def _size(n: Column) -> Column:
+    """A class of set sizes: the whole logarithm to the base DEN / NUM, which similar sets differ in by one at most."""
+    return F.floor(F.log(n) / math.log(DEN / NUM)).cast("int")
+
+
+def _first_tokens(classes: DataFrame) -> DataFrame:
+    """The tokens of the first step; t tells words and sizes apart. Words that may be frequent, by their level, are cut into parts."""
     parts = F.ceil(F.pow(F.lit(2.0), F.shiftrightunsigned("t", CODE_BITS) + 1) / RANGE_ROWS).cast("long")
     part = F.when(parts > 1, F.pmod(F.xxhash64(F.shiftright("c", 10)), parts)).otherwise(F.lit(0).cast("long"))
-    rows = _tokens(classes).select("t", part.alias("part"), F.struct("c", "n", "left", *PARITIES).alias("a"))
-    by = Window.partitionBy("t", "part").orderBy("a.c")
+    return _short(_tokens(classes)).withColumn("t", F.xxhash64("t", _size(F.col("n")), part))
+
+
+def _crowded(classes: DataFrame) -> DataFrame:
+    """(t): words of the first step that more than HOT classes of one size share; fewer meet in _rest in bounded work."""
+    return _first_tokens(classes).groupBy("t").count().filter(F.col("count") > HOT).select("t")
+
+
+def _near(classes: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(c, g): each class with the first and the one before of those that share a crowded word and have about its size."""
+    rows = _first_tokens(classes).join(sized(crowded), "t", "left_semi").select("t", "c", F.struct("c", "n", "left", *PARITIES).alias("a"))
+    by = Window.partitionBy("t").orderBy("c")
     met = rows.withColumns({"p": F.first("a").over(by), "q": F.lag("a", 1).over(by)}).filter("q is not null")
-    return met.select("a.c", F.explode(F.array(*(F.when(_may("a", x), F.col(f"{x}.c")) for x in ("p", "q")))).alias("g")).filter("g is not null")
+    may = lambda x: (F.col(f"{x}.c") < F.col("a.c")) & _may("a", x)
+    return met.select("a.c", F.explode(F.array(*(F.when(may(x), F.col(f"{x}.c")) for x in ("p", "q")))).alias("g")).filter("g is not null")
 
 
 def _rest(classes: DataFrame, slice_: int) -> DataFrame:
-    """(c, g): classes not settled with all earlier classes of their prefix words, for one slice of these. Settled classes have settled."""
-    rows = _tokens(classes, "settled").filter(F.pmod("t", F.lit(SLICES)) == slice_).drop("i")
-    one, two = rows.alias("a"), rows.alias("b")
-    met = one.filter(~F.col("settled")).join(two, (F.col("a.t") == F.col("b.t")) & _may("a", "b"))
-    return met.select(F.col("a.c").alias("c"), F.col("b.c").alias("g"))
+    """(c, g): classes not settled with all earlier classes of their prefix words, for one slice of these. Settled classes have settled.
+
+    Each pair meets once, the larger set by all its prefix words with the smaller by fewer, each under its word and the
+    sizes that the larger may have. These are hashed and not sorted: few classes share a word and a size, as rare words
+    come first.
+    """
+    rows = _tokens(classes, "settled")
+    # Sizes of larger sets for which what follows the word in the smaller still allows the similarity.
+    most = F.floor(F.col("left") * (NUM + DEN) / NUM) - F.col("n")
+    under = lambda df, size: df.withColumn("t", F.xxhash64("t", size)).filter(F.pmod("t", F.lit(SLICES)) == slice_).drop("i", "size")
+    large = under(rows, _size(F.col("n"))).alias("a")
+    small = under(_short(rows).withColumn("size", F.explode(F.sequence(_size(F.col("n")), _size(most)))), F.col("size")).alias("b").hint("shuffle_hash")
+    c = lambda name: (F.col(f"a.{name}"), F.col(f"b.{name}"))
+    (n, n2), (at, at2), (settled, settled2) = c("n"), c("c"), c("settled")
+    once = (n2 < n) | ((n2 == n) & (at2 < at))
+    asked = ~F.when(at2 < at, settled).otherwise(settled2)
+    met = large.join(small, (F.col("a.t") == F.col("b.t")) & once & _may("a", "b") & asked)
+    return met.select(F.greatest(at, at2).alias("c"), F.least(at, at2).alias("g"))
+
+
+def _hint(rows: DataFrame) -> str:
+    """How the smaller side of a join comes to the larger: whole if it has few rows, else both by their keys."""
+    return "broadcast" if rows.count() <= FEW else "shuffle_hash"
 
 
 def _removed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -159,11 +203,13 @@ def _removed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     The pairs are stored, so that Spark knows their size when it chooses how to bring the words to them.
     """
     pairs = stored(pairs.distinct())
+    hint = _hint(pairs)
     asked = pairs.select("c").unionByName(pairs.select(F.col("g").alias("c"))).distinct()
-    places = classes.filter("at_first").select("c", "doc_id", "th", "line").join(asked, "c")
+    places = classes.filter("at_first").select("c", "doc_id", "th", "line").join(asked.hint(hint), "c")
     places = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("c", "line")).alias("at"))
-    lines = docs.join(places, ["doc_id", "th"]).withColumn("ls", F.split(_spaced(F.col("text")), "\n")).select("doc_id", "th", "ls", F.explode("at").alias("at"))
-    words = stored(lines.select("at.c", "doc_id", "th", "at.line", F.array_distinct(_words(F.get("ls", F.col("at.line")))).alias("w")))
+    lines = docs.join(places.hint(hint), ["doc_id", "th"]).withColumn("ls", F.split(_spaced(F.col("text")), "\n"))
+    taken = F.transform("at", lambda x: F.struct(x["c"].alias("c"), x["line"].alias("line"), F.get("ls", x["line"]).alias("l")))
+    words = stored(lines.select("doc_id", "th", F.explode(taken).alias("at")).select("at.c", "doc_id", "th", "at.line", F.array_distinct(_words(F.col("at.l"))).alias("w")))
     release(docs.sparkSession)
     one, two = words.join(pairs, "c"), words.select(F.col("c").alias("g"), F.col("doc_id").alias("doc_id2"), F.col("line").alias("line2"), F.col("w").alias("w2"))
     similar = F.size(F.array_intersect("w", "w2")) * (NUM + DEN) >= (F.size("w") + F.size("w2")) * NUM
@@ -180,14 +226,13 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     docs: doc_id (long, not null), th (a hash of the text), text (not null).
     """
     spark = docs.sparkSession
-    whole = stored(_lines(docs, rarity(docs)), deltas=True)
-    release(spark)
-    classes = stored(_classes(whole), deltas=True)
-    discard(whole)
+    classes = stored(_classes(_lines(docs, rarity(docs))), deltas=True, dictionaries=False)
     release(spark)
-    near = _removed(_near(classes), classes, docs)
-    marked = classes.join(near.select("c", F.lit(True).alias("settled")), "c", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    marked = stored(marked.filter("head is not null").select("c", "n", "settled", "head", *PARITIES), deltas=True)
+    crowded = stored(_crowded(classes))
+    near = _removed(_near(classes, crowded), classes, docs)
+    discard(crowded)
+    marked = classes.filter("head is not null").join(near.select("c", F.lit(True).alias("settled")).hint(_hint(near)), "c", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    marked = stored(marked.select("c", "n", "settled", "head", *PARITIES), deltas=True, dictionaries=False)
     release(spark)
     rest = []
     for k in range(SLICES):  # one after the other, as the words of all would fill the disks with shuffle files
@@ -222,7 +267,7 @@ def remove_similar_lines(docs: DataFrame, into: str = "line_dedup") -> DataFrame
     lines = F.split(text, "\n")
     kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
     added = F.struct(kept.alias("kept"), F.when(text == "", 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
-    return docs.select(row.alias("row"), *place).join(gone, ["doc_id", "th"], "left").select("row.*", added.alias(into))
+    return docs.select(row.alias("row"), *place).join(gone.hint("shuffle_hash"), ["doc_id", "th"], "left").select("row.*", added.alias(into))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
