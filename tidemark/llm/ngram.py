@@ -115,14 +115,14 @@ class Trie:
         at = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
         known = keys[at] == context
         rest[known] = self.rest[at[known]]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        here = np.flatnonzero(known)
+        here, inside = np.flatnonzero(known), np.flatnonzero(np.repeat(known, size))
+        ends = np.concatenate([[0], np.cumsum(size[here])])
         for i in range(0, len(here), block):
             part = here[i : i + block]
             lo, hi = int(at[part[0]]), int(at[part[-1]])
             pointer = self.first.range(lo, hi + 2).astype(np.int64)
             values = self.successors.range(int(pointer[0]), int(pointer[-1]))
-            which = np.concatenate([np.arange(ends[p], ends[p + 1]) for p in part.tolist()])
+            which = inside[ends[i] : ends[i + len(part)]]
             wanted = (np.repeat(at[part].astype(np.uint64), size[part]) << np.uint64(32)) | successor[which].astype(np.uint64)
             # The search of a successor stays in its context's range, as values carry their context.
             j = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
@@ -197,20 +197,26 @@ def _answer(table: pa.Table, schema: pa.Schema) -> pa.Table:
     answers = [[small(total[np.searchsorted(keys, p[0][0])].astype(np.uint32))] for p in parts]
     with tempfile.TemporaryDirectory() as folder:
         for level in range(1, len(parts[0])):
-            context = np.concatenate([np.repeat(p[level][0], p[level][1]) for p in parts])
-            succ = np.concatenate([p[level][2] for p in parts])
-            n = np.concatenate([p[level][3] for p in parts]).astype(np.int64)
-            some = np.flatnonzero(n)
-            context, succ, n = context[some], succ[some], n[some]
-            order = np.lexsort((succ, context))
-            context, succ, n = context[order], succ[order], n[order]
-            new = np.ones(len(n), dtype=bool)
-            new[1:] = (context[1:] != context[:-1]) | (succ[1:] != succ[:-1])
-            at = np.flatnonzero(new)
-            trie = Trie(context[at], succ[at], np.add.reduceat(n, at) if len(at) else n, folder)
-            for p, a in zip(parts, answers):
-                a.append(trie.find(p[level][0], p[level][1].astype(np.int64), p[level][2]))
+            # The n-grams of all batches together, each looked up once: work doesn't grow with batches times the trie.
+            contexts, which = np.unique(np.concatenate([p[level][0] for p in parts]), return_inverse=True)
+            own = np.repeat(which.astype(np.uint64), np.concatenate([p[level][1] for p in parts]))
+            both = (own << np.uint64(32)) | np.concatenate([p[level][2] for p in parts]).astype(np.uint64)
+            order = np.argsort(both, kind="stable")  # of runs that are sorted
+            both = both[order]
+            new = np.ones(len(both), dtype=bool)
+            new[1:] = both[1:] != both[:-1]
+            grams = both[new]
+            n = np.concatenate([p[level][3] for p in parts]).astype(np.int64)[order]
+            n = np.add.reduceat(n, np.flatnonzero(new)) if len(grams) else n
+            gram = np.empty(len(order), np.int64)
+            gram[order] = np.cumsum(new) - 1
+            own, succ, seen = (grams >> np.uint64(32)).astype(np.int64), grams.astype(np.uint32), n > 0
+            trie = Trie(contexts[own[seen]], succ[seen], n[seen], folder)
+            code, rest = trie.find(contexts, np.bincount(own, minlength=len(contexts)), succ)
             trie.close()
+            ends, starts = np.cumsum([len(p[level][2]) for p in parts])[:-1], np.cumsum([len(p[level][0]) for p in parts])[:-1]
+            for a, g, c in zip(answers, np.split(gram, ends), np.split(which, starts)):
+                a.append((code[g], rest[c]))
     rows = [pickle.dumps(a, 5) for a in answers]
     n = len(rows)
     return pa.table([batches, table.column("shard").to_pylist(), rows, [int(total.sum())] + [0] * (n - 1), [int((total > 0).sum())] + [0] * (n - 1)], schema)
