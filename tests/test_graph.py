@@ -34,6 +34,22 @@ def test_lock_roots_counts_all_descendants(spark):
     assert lock_roots(spark.createDataFrame([], "blocker long, blocked long")).count() == 0
 
 
+def test_lock_roots_make_no_pairs_of_all_nodes(spark, monkeypatch):
+    """Two knots of 60 with ways between, beside, in and out: each blocker a root, or some of them."""
+    from tidemark.operators import graph
+
+    rng, made, whole = random.Random(5), [], graph.reach
+    monkeypatch.setattr(graph, "reach", lambda *a: (found := whole(*a), made.append(found.count()))[0])
+    knots = [(at + rng.randrange(60), at + rng.randrange(60)) for at in (0, 100) for _ in range(300)]
+    knots += [(at + i, at + (i + 1) % 60) for at in (0, 100) for i in range(60)] + [(7, 200), (200, 201), (201, 107), (109, 202), (300, 301), (301, 300), (301, 5)]
+    ways = [(400 + i, rng.choice((i, 100 + i, 202, 400 + i + 1))) for i in range(20)] + [(400, 430), (430, 202), (431, 432), (432, 202)]
+    for edges in (knots, knots + ways, ways):
+        made.clear()
+        got = graph.lock_roots(spark.createDataFrame(edges, "blocker long, blocked long")).collect()
+        assert {r.root: r.affected for r in got} == _roots(edges) and len(got) == len(_roots(edges))
+        assert sum(made) < 300
+
+
 def test_waits_take_every_order(spark):
     from tidemark.operators.graph import waits
 

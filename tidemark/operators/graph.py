@@ -33,14 +33,79 @@ def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
     return seen.filter("depth > 0")
 
 
+def _on_ways(edges: DataFrame) -> DataFrame:
+    """The edges between nodes that have edges in and out, all others taken off again and again."""
+    n, left = -1, edges.count()
+    while left != n:
+        starts, ends = edges.select(F.col("blocker").alias("node")).distinct(), edges.select(F.col("blocked").alias("node")).distinct()
+        edges = settled(edges.join(ends, F.col("blocker") == F.col("node"), "left_semi").join(starts, F.col("blocked") == F.col("node"), "left_semi"))
+        n, left = left, edges.count()
+    return edges
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the nodes of edges (blocker, blocked) by the largest of all that reach a node and that it reaches too.
+
+    The largest node that reaches a node colours it, round by round; what reaches a colour's own node within the colour
+    is its component. What is left goes on within its colours, until no edge is left on a way round.
+    """
+    nodes = edges.select(F.explode(F.array("blocker", "blocked")).alias("node")).distinct()
+    found = edges.select(F.col("blocker").alias("node"), F.col("blocker").alias("component")).limit(0)
+    left = _on_ways(edges)
+    while not left.isEmpty():
+        colours = settled(left.select(F.col("blocker").alias("node")).distinct().select("node", F.col("node").alias("colour"), F.lit(True).alias("new")))
+        while not (changed := colours.filter("new")).isEmpty():
+            told = changed.join(left, F.col("node") == F.col("blocker")).groupBy(F.col("blocked").alias("node")).agg(F.max("colour").alias("told"))
+            colours = settled(colours.join(told, "node", "left").select("node", F.greatest("colour", "told").alias("colour"), F.coalesce(F.col("told") > F.col("colour"), F.lit(False)).alias("new")))
+        of = lambda end: colours.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour"))
+        left = settled(left.join(of("blocker"), "blocker").join(of("blocked"), "blocked").filter("blocker_colour = blocked_colour").select("blocker", "blocked", F.col("blocker_colour").alias("colour")))
+        seen = frontier = colours.filter("node = colour").select("node", "colour")
+        while not frontier.isEmpty():
+            nxt = frontier.select("node").join(left, F.col("node") == F.col("blocked")).select(F.col("blocker").alias("node"), "colour").distinct()
+            frontier = settled(nxt.join(seen.select("node"), "node", "left_anti"))
+            seen = seen.unionByName(frontier)
+        seen = settled(seen)
+        found = found.unionByName(seen.withColumnRenamed("colour", "component"))
+        gone = seen.select(F.col("node").alias("gone"))
+        left = _on_ways(settled(left.select("blocker", "blocked").join(gone, F.col("blocker") == F.col("gone"), "left_anti").join(gone, F.col("blocked") == F.col("gone"), "left_anti")))
+    return settled(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+
+
+def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(root, n): how many nodes other than itself each start (node) reaches; 0 where there are none.
+
+    Nodes that reach each other are one, and all that the largest of these reaches is counted once for whoever reaches
+    it, so pairs of a start and a node are made only for what lies beside.
+    """
+    whole = components(edges)
+    sizes = settled(whole.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
+    of = lambda end: whole.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+    steps = settled(edges.join(of("blocker"), "blocker").join(of("blocked"), "blocked").filter("blocker_in <> blocked_in").select(F.col("blocker_in").alias("blocker"), F.col("blocked_in").alias("blocked")).distinct())
+    roots = settled(start.select(F.col("node").alias("root")).join(whole, F.col("root") == F.col("node")).select("root", F.col("component").alias("node")))
+    hub = settled(sizes.orderBy(F.desc("size"), "component").limit(1).select(F.col("component").alias("node")))
+    below = settled(reach(steps, hub).select("node").unionByName(hub))
+    above = settled(reach(steps.select(F.col("blocked").alias("blocker"), F.col("blocker").alias("blocked")), hub).select("node").unionByName(hub))
+    starts = roots.select("node").distinct()
+    # A way from above the hub to a node that isn't below it never passes what is below; what isn't above leads to nothing above.
+    beside = reach(steps.join(below, F.col("blocked") == F.col("node"), "left_anti"), starts.join(above, "node", "left_semi"))
+    beside = beside.unionByName(reach(steps.join(above, F.col("blocker") == F.col("node"), "left_anti"), starts.join(above, "node", "left_anti")))
+    beside = beside.join(sizes, F.col("node") == F.col("component")).groupBy(F.col("root").alias("node")).agg(F.sum("size").alias("beside"))
+    under = below.join(sizes, F.col("node") == F.col("component")).agg(F.sum("size").alias("under"))
+    under = above.crossJoin(under).join(hub.withColumn("hub", F.lit(True)), "node", "left")
+    every = roots.join(sizes, F.col("node") == F.col("component")).join(beside, "node", "left").join(under, "node", "left")
+    own = F.when(F.col("hub"), 0).otherwise(F.col("size"))  # the hub is below itself
+    return every.select("root", (own + F.coalesce("under", F.lit(0)) + F.coalesce("beside", F.lit(0)) - 1).alias("n"))
+
+
 def lock_roots(edges: DataFrame) -> DataFrame:
     """Blockers that nobody blocks, and how many others wait on them, however far down; all blockers where each is blocked."""
-    edges = edges.select("blocker", "blocked").dropna()
+    edges = settled(edges.select("blocker", "blocked").dropna())
     blockers = edges.select(F.col("blocker").alias("node")).distinct()
     roots = settled(blockers.join(edges, F.col("node") == F.col("blocked"), "left_anti"))
     if roots.isEmpty():
         roots = settled(blockers)
-    waiting = reach(edges, roots).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    # A single root needs no components.
+    waiting = reached(edges, roots) if roots.count() > 1 else reach(edges, roots).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     return roots.select(F.col("node").alias("root")).join(waiting, "root", "left").select("root", F.coalesce("n", F.lit(0)).cast("long").alias("affected"))
 
 
