@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.functions.lineage import settled
 from tidemark.operators.search import Catalog, infer_metrics, resolve_metrics, retrieve, search_examples, search_schema
 from tidemark.sources.tables import table
 
@@ -58,6 +59,7 @@ def _retrieved(s: SparkSession, d: str) -> DataFrame:
 
 def _examples(s: SparkSession, d: str) -> DataFrame:
     catalog, questions = given_catalog(s, d)
+    questions = settled(questions)
     intents = questions.selectExpr("question", "CASE WHEN text LIKE 'how many%' THEN 'Count' ELSE 'sum' END AS intent")
     return search_examples(questions, catalog.examples, catalog.glossary, intents)
 
